@@ -1,6 +1,6 @@
 """Token-ID output: fixed-length sequences and masks in Arrow IPC files, read again by random access.
 
-A shard is one Arrow IPC file whose record batches hold fixed-size lists: `ids` (uint32, the sequence) and `mask`
+A shard is one Arrow IPC file whose record batches hold fixed-size lists: `ids` (the sequence, as uint16 where the vocabulary has at most 65,536 ids, else uint32) and `mask`
 (true where an id is real). All batches of a shard but the last have the same number of rows, so position p of a
 shard lies in sequence p // length, and that in batch (p // length) // batch_rows: reading it maps the file and
 copies nothing. Shards hold the documents in ascending doc_id order, shard after shard; only a shard's last
@@ -174,16 +174,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
+def schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32() if wide else pa.uint16(), False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
 
 
 class ShardWriter:
     """Writes ids in sequences; holds one record batch. The file takes its name when it is complete."""
 
-    def __init__(self, uri: str, length: int, batch_rows: int):
+    def __init__(self, uri: str, length: int, batch_rows: int, wide: bool):
         self.store, self.path = fs.FileSystem.from_uri(uri)
-        self.length, self.size, self.schema = length, length * batch_rows, schema(length)
+        self.length, self.size, self.schema, self.kind = length, length * batch_rows, schema(length, wide), "<u4" if wide else "<u2"
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
         self.store.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.out = self.store.open_output_stream(self.part)
@@ -203,7 +203,7 @@ class ShardWriter:
 
     def write(self, ids: np.ndarray) -> None:
         rows = -(-len(ids) // self.length)
-        full = np.zeros(rows * self.length, "<u4")
+        full = np.zeros(rows * self.length, self.kind)
         full[: len(ids)] = ids
         mask = np.arange(len(full)) < len(ids)
         self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((full, mask), self.schema, strict=True)], schema=self.schema))
@@ -253,11 +253,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
         from pyspark import TaskContext
 
         shard, encode, writer, at = TaskContext.get().partitionId(), encoder(tokenizer).encode, None, 0
+        wide = encoder(tokenizer).library.get_vocab_size() > 1 << 16
         end = packed([END_ID])
         for batch, texts in slices(batches):
             ids_column, starts, counts = batch.column(0), [], []
             for ids in encode(texts):
-                writer = writer or ShardWriter(f"{folder}/shard-{shard:06d}.arrow", length, batch_rows)
+                writer = writer or ShardWriter(f"{folder}/shard-{shard:06d}.arrow", length, batch_rows, wide)
                 ids += end
                 writer.add(ids)
                 starts.append(at)
