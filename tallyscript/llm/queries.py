@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: the module and function that make it.
 NAMED = {
+    "op2_language_id": ("tallyscript.llm.language", "op2"),
+    "op3_toxicity": ("tallyscript.llm.toxicity", "op3"),
+    "op6_decontaminate": ("tallyscript.llm.decontaminate", "op6"),
     "op7_secret_scan": ("tallyscript.llm.secrets", "op7"),
+    "op8_host_quality": ("tallyscript.llm.quality", "op8"),
     "op10_token_shards": ("tallyscript.llm.tokens", "op10"),
 }
 
+#: Query name: the module and the SQL in it.
+SQL = {
+    "op6_decontaminate": ("tallyscript.llm.decontaminate", "OP6_SQL"),
+    "op8_host_quality": ("tallyscript.llm.quality", "OP8_SQL"),
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(importlib.import_module(module), function) for name, (module, function) in NAMED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(importlib.import_module(module), sql) for name, (module, sql) in SQL.items()}
