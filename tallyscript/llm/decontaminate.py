@@ -179,7 +179,7 @@ WITH w AS (
 ), found AS (
   SELECT place.id, place.i, place.m, pattern.item_id FROM (SELECT id, m, i, array_to_string(words[i : i + m - 1], ' ') AS p FROM place) place JOIN pattern USING (m, p)
 ), hit AS (
-  SELECT id, count(DISTINCT at) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS at FROM found) GROUP BY id
+  SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS pos FROM found) GROUP BY id
 ), items AS (
   SELECT id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM found GROUP BY id
 )

@@ -102,8 +102,8 @@ WITH d AS (
 ), win AS (
   SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
 ), rep AS (
-  SELECT doc_id, count(DISTINCT at) AS n_repeat_words FROM (
-    SELECT win.doc_id, unnest([i, i + 1, i + 2]) AS at FROM win JOIN (SELECT doc_id, x FROM win GROUP BY doc_id, x HAVING count(*) > 1) USING (doc_id, x)) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (
+    SELECT win.doc_id, unnest([i, i + 1, i + 2]) AS pos FROM win JOIN (SELECT doc_id, x FROM win GROUP BY doc_id, x HAVING count(*) > 1) USING (doc_id, x)) GROUP BY doc_id
 ), m AS (
   SELECT d.doc_id, host, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
