@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMED = {
     "op2_language_id": ("tallyscript.llm.language", "op2"),
     "op3_toxicity": ("tallyscript.llm.toxicity", "op3"),
+    "op4_near_dedup": ("tallyscript.llm.near", "op4"),
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "op6"),
     "op7_secret_scan": ("tallyscript.llm.secrets", "op7"),
     "op8_host_quality": ("tallyscript.llm.quality", "op8"),
@@ -19,6 +20,7 @@ NAMED = {
 
 #: Query name: the module and the SQL in it.
 SQL = {
+    "op4_near_dedup": ("tallyscript.llm.near", "OP4_SQL"),
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "OP6_SQL"),
     "op8_host_quality": ("tallyscript.llm.quality", "OP8_SQL"),
 }
