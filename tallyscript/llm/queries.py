@@ -12,6 +12,7 @@ NAMED = {
     "op2_language_id": ("tallyscript.llm.language", "op2"),
     "op3_toxicity": ("tallyscript.llm.toxicity", "op3"),
     "op4_near_dedup": ("tallyscript.llm.near", "op4"),
+    "op5_source_mix": ("tallyscript.llm.mixing", "op5"),
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "op6"),
     "op7_secret_scan": ("tallyscript.llm.secrets", "op7"),
     "op8_host_quality": ("tallyscript.llm.quality", "op8"),
@@ -21,6 +22,7 @@ NAMED = {
 #: Query name: the module and the SQL in it.
 SQL = {
     "op4_near_dedup": ("tallyscript.llm.near", "OP4_SQL"),
+    "op5_source_mix": ("tallyscript.llm.mixing", "OP5_SQL"),
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "OP6_SQL"),
     "op8_host_quality": ("tallyscript.llm.quality", "OP8_SQL"),
 }
