@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: the module and function that make it.
 NAMED = {
+    "op1_shards": ("tallyscript.llm.shards", "op1"),
     "op2_language_id": ("tallyscript.llm.language", "op2"),
     "op3_toxicity": ("tallyscript.llm.toxicity", "op3"),
     "op4_near_dedup": ("tallyscript.llm.near", "op4"),
