@@ -118,16 +118,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     windows of pattern_bytes of items go to each task; the documents are searched without a shuffle. A larger benchmark is
     searched for block by block, and what the blocks hit is united by row.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = blocks_of(benchmark, pattern_bytes)
     first = next(blocks)
-    found = searched(docs.select("doc_id", "text"), first, window, kind)
+    found = searched(docs.select("doc_id", "text"), first, window)
     rest = list(blocks)
     if not rest:
         return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
     rows = docs.select(F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")).alias("doc_id"), "text")
-    both = rows.schema["doc_id"].dataType.simpleString()
-    parts = [searched(rows, block, window, both) for block in [first, *rest]]
+    parts = [searched(rows, block, window) for block in [first, *rest]]
     united = parts[0]
     for other in parts[1:]:
         united = united.unionByName(other)
@@ -139,9 +137,16 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ).drop("one")
 
 
-def searched(rows: DataFrame, items: list[tuple[str, bytes]], window: int, kind: str) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans of each row against the windows of some items."""
+def searched(rows: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+    """rows with what their texts hold of the windows of some items.
+
+    (doc_id, text) become doc_id, n_words, n_hit, items, spans; wider rows keep their columns, and these names get a "_".
+    """
     shared = rows.sparkSession.sparkContext.broadcast(items)
+    wide = len(rows.columns) > 2
+    keep = rows.columns if wide else ["doc_id"]
+    found_columns = ["_" * wide + c for c in ("n_words", "n_hit", "items", "spans")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, window)
@@ -154,9 +159,19 @@ def searched(rows: DataFrame, items: list[tuple[str, bytes]], window: int, kind:
                 hits.append(sum(e - s for s, e in found))
                 names.append(sorted(which))
                 spans.append([[s, e] for s, e in found])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            own = [part.column(part.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], keep + found_columns)
+
+    types = ("long", "long", "array<string>", "array<array<int>>")
+    return rows.mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} {t}" for c, t in zip(found_columns, types, strict=True)))
+
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<array<int>>")
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a window of a benchmark item occurs; others keep all their columns."""
+    columns = docs.columns
+    for block in blocks_of(table(spark, sf_dir, "benchmark"), PATTERN_BYTES):
+        docs = searched(docs, block, WINDOW).where("_n_hit = 0").select(*columns)
+    return docs
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

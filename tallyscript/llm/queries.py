@@ -17,6 +17,7 @@ NAMED = {
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "op6"),
     "op7_secret_scan": ("tallyscript.llm.secrets", "op7"),
     "op8_host_quality": ("tallyscript.llm.quality", "op8"),
+    "op9_repeats": ("tallyscript.llm.repeats", "op9"),
     "op10_token_shards": ("tallyscript.llm.tokens", "op10"),
 }
 
