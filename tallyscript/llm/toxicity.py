@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,11 @@ from tallyscript.llm.common import fold_remainder, slices, table
 
 #: Labelled examples of each class in the index, about; nearest ones that vote; examples in a block.
 EXAMPLES, NEAREST, BLOCK = 1500, 15, 64
-#: A term is in the vocabulary if its G statistic over the examples reaches this, and so many examples have it.
-G_LEAST, EXAMPLES_LEAST = 20.0, 8
+#: A term is in the vocabulary if its G statistic over the examples reaches this, and so many examples have it; of more
+#: terms those with the largest statistic.
+G_LEAST, EXAMPLES_LEAST, TERMS = 20.0, 8, 2048
+#: Minima of word hashes that near copies share; of examples that share all, one is in the index.
+SKETCH = 6
 #: Starts of words in bytes that are terms as the words are: they gather the forms of a word.
 STARTS = (4, 5, 6)
 #: Weight of the base rate beside the votes, in votes of toxic examples at cosine 1.
@@ -50,18 +54,25 @@ def g_statistic(a: int, b: int, n_a: int, n_b: int) -> float:
     return 2 * sum(x * math.log(x * total / e) for x, e in cells if x)
 
 
+def sketch(words: Counter) -> tuple[int, ...]:
+    return tuple(min((xxhash.xxh3_64_intdigest(w, k) for w in words), default=0) for k in range(SKETCH))
+
+
 class Examples:
-    """Unit TF-IDF vectors of examples as postings by term, in blocks of examples with each term's largest weight."""
+    """Unit TF-IDF vectors of examples, inverted: postings by block of examples and term, and each term's largest weight in it."""
 
     def __init__(self, examples: list[tuple[int, int, bytes]], class_sizes: tuple[int, int]):
         """examples: (id, label, text) in ascending id; class_sizes: all labelled rows of label 0 and 1."""
-        counted = [(i, y, term_counts(words_of(t))) for i, y, t in examples]
+        worded = [(i, y, words_of(t)) for i, y, t in examples]
+        once = {(y, sketch(w)): (i, y, w) for i, y, w in reversed(worded)}
+        counted = [(i, y, term_counts(w)) for i, y, w in sorted(once.values(), key=lambda e: e[0])]
         n = [sum(y == k for _, y, _ in counted) for k in (0, 1)]
         have: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
         for _, y, terms in counted:
             for t in terms:
                 have[t][y] += 1
-        chosen = sorted(t for t, (a, b) in have.items() if a + b >= EXAMPLES_LEAST and min(n) and g_statistic(a, b, *n) >= G_LEAST)
+        telling = [(-g, t) for t, (a, b) in have.items() if a + b >= EXAMPLES_LEAST and min(n) and (g := g_statistic(a, b, *n)) >= G_LEAST]
+        chosen = sorted(t for _, t in sorted(telling)[:TERMS])
         self.vocabulary = {t: k for k, t in enumerate(chosen)}
         self.gate = {t[:4] for t in chosen}  # a word that begins otherwise has no term
         self.idf = np.array([math.log((1 + sum(n)) / (1 + sum(have[t]))) + 1 for t in chosen])
@@ -73,16 +84,11 @@ class Examples:
         empty = np.array([v is None for v in vectors], bool)
         rate = lambda of: ((self.votes * self.labels)[of].sum() + 0.1) / (self.votes[of].sum() + 1.0)
         self.base, self.base_empty = (rate(slice(None)), rate(empty)) if len(empty) else (0.1, 0.1)
-        blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((len(chosen), blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        gathered: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
+        self.postings = np.zeros((-(-len(vectors) // BLOCK), len(chosen), BLOCK))
         for e, v in enumerate(vectors):
-            for t, w in zip(*v, strict=True) if v else ():
-                gathered[e // BLOCK, int(t)].append((e % BLOCK, float(w)))
-        for (b, t), held in gathered.items():
-            self.postings[b, t] = np.array([e for e, _ in held]), np.array([w for _, w in held])
-            self.most[t, b] = max(w for _, w in held)
+            if v:
+                self.postings[e // BLOCK, v[0], e % BLOCK] = v[1]
+        self.most = self.postings.max(2) if len(vectors) else np.zeros((0, len(chosen)))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
         if not counts:
@@ -108,18 +114,19 @@ class Examples:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """The k examples of largest cosine over 0, exactly, ties by place: blocks by their bound, until none can matter."""
-        bound = weights @ self.most[terms]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) >= k and bound[b] < found[k - 1][0] * (1 - 1e-9) - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if held := self.postings.get((b, t)):
-                    scores[held[0]] += w * held[1]
-            some = np.flatnonzero(scores > 0)
-            found = sorted(found + list(zip(scores[some].tolist(), (some + b * BLOCK).tolist(), strict=True)), key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return found
+        bound = self.most[:, terms] @ weights
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        scores, places, least, at, wave = np.empty(0), np.empty(0, np.int64), 0.0, 0, 4
+        while at < len(order) and (len(scores) < k or bound[order[at]] >= least * (1 - 1e-9)):
+            blocks = order[at : at + wave]
+            got = np.einsum("btk,t->bk", self.postings[blocks[:, None], terms], weights).ravel()
+            scores, places = np.append(scores, got), np.append(places, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel())
+            best = np.lexsort((places, -np.round(scores, 12)))[:k]
+            best = best[scores[best] > 0]
+            scores, places, at, wave = scores[best], places[best], at + wave, wave * 2
+            least = scores[-1] if len(scores) else 0.0
+        return list(zip(scores.tolist(), places.tolist(), strict=True))
 
     def score(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[float, str]:
         """(score, evidence): shares of cubed cosines, held towards the base rate; the three nearest examples."""
