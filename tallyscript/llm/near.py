@@ -1,4 +1,9 @@
-"""MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges."""
+"""MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges.
+
+A bucket compares its members with one centre. Whatever a star leaves open, as two members may be alike and the centre not,
+is compared in blocks: documents that share open buckets are cut into blocks of bounded size, a task counts the common
+shingles of two blocks as a product of matrices, and gives back a tree of links, not pairs.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +21,8 @@ SHINGLE, PERCENT = 5, 80
 #: Bins of the one permutation, and of them rows in each of the bands: a link at 85 percent shares a bucket but for 8 in
 #: 10 million, one at 80 percent but for 5 in 100,000.
 BINS, ROWS, BANDS = 128, 5, 25
-#: Rounds of stars at most; what is then still open is compared pair by pair.
-ROUNDS = 4
-#: Open pairs for each member of a bucket, up to which they are compared without a further round of stars.
-OPEN_PAIRS = 4
+#: Documents and shingles of a block, about; two blocks meet in a task. Shingles in one product of matrices.
+BLOCK_DOCUMENTS, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -108,24 +111,66 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
-def candidates(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) with a < b of joined (a, size_a, b, size_b) whose sizes allow a link."""
-    fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return joined.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def star(members: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's members with one centre, another one in each turn."""
-    centre = F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("size_a"), F.col("component").alias("ca")), F.xxhash64("rep", F.lit(turn)))
+def star(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each bucket's members and its centre, whose sizes allow a link."""
+    centre = F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("size_a")), F.xxhash64("rep"))
     centres = members.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.*")
-    return members.join(centres, "bucket").where("component <> ca").select("a", "size_a", F.col("rep").alias("b"), F.col("n").alias("size_b"))
-
-
-def open_pairs(members: DataFrame) -> DataFrame:
-    """All pairs within a bucket whose components differ."""
-    one = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("size_a"), F.col("component").alias("ca"))
-    other = members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("size_b"), F.col("component").alias("cb"))
-    return one.join(other, "bucket").where("ca < cb")
+    joined = members.join(centres, "bucket").where("rep <> a")
+    fit = 100 * F.least("size_a", "n") >= percent * F.greatest("size_a", "n")
+    return joined.where(fit).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+
+
+def open_documents(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, n, cluster of documents in buckets whose members are in several components; a cluster holds whole buckets."""
+    labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bucket", F.coalesce("component", "rep").alias("component"))
+    parted = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("first")).where("c0 < c1")
+    rest = written(labelled.join(parted.select("bucket", "first"), "bucket").select("rep", "n", "first").distinct(), "open")
+    clusters = components(rest.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    return rest.select("rep", "n").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("cluster"))
+
+
+def tree_of_links(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join all linked documents of two blocks. first marks the one block; if it holds all, they are one."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # a shingle of one document is common to none
+    row = np.repeat(np.arange(len(sets)), sizes)[shared]
+    names, column = np.unique(column[shared], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(names), COLUMNS):
+        some = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+        part = np.zeros((len(sets), min(COLUMNS, len(names) - at)), np.float32)
+        part[row[some], column[some] - at] = 1
+        common += part @ part.T
+    alike = 100 * common.astype(np.int64)
+    alike = alike >= percent * (sizes[:, None] + sizes[None, :] - common.astype(np.int64))
+    if not first.all():
+        alike &= first[:, None] != first[None, :]
+    root = np.arange(len(sets))
+    links = []
+    for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+        if root[a] != root[b]:
+            links.append((int(ids[a]), int(ids[b])))
+            root[root == root[b]] = root[a]
+    return links
+
+
+def blockwise(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all linked documents of each cluster."""
+    sizes = documents.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    blocks = sizes.where("k > 1").select("cluster", F.greatest(F.ceil(F.col("k") / BLOCK_DOCUMENTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = documents.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("rep", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+        links = tree_of_links(ids, [x.values.to_numpy() for x in group.column("shingles")], block == group.column("lo")[0].as_py(), percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return met.join(sets, "rep").groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -133,9 +178,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     docs has doc_id and text; other columns are ignored. A set holds a document's distinct shingles of lower-case words.
     Documents of equal sets are one class, whose least doc_id stands for it from there on. Classes that share a bucket are
-    candidates: each bucket compares its members with one centre, a star. Members that are by then in one component are
-    done; if any are not, they get another centre, and when few pairs are open, or after ROUNDS, all that are open are
-    compared, so that no link within a bucket is lost. Comparisons are on whole sets.
+    candidates: each bucket compares its members with one centre, a star. Buckets whose members are then in several
+    components are compared in blocks, so that no link within a bucket is lost. Comparisons are on whole sets.
 
     A null or empty text, or one of white space, has an empty set and no link: it is its own component. Rows with a null
     doc_id are left out. Rows that share a doc_id are placed each by its text. An empty table gives no row.
@@ -150,25 +194,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, shingle).withColumnRenamed("doc_id", "rep"), "sets")
 
-    held, links, tested, labels = members.withColumn("component", F.col("rep")), None, None, None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        if turn:
-            labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bucket", F.coalesce("component", "rep").alias("component"))
-            parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("open")).where("parts > 1")
-            held = written(labelled.join(parts, "bucket"), "open")
-            n, pairs_open = held.count(), held.select("bucket", "open").distinct().agg(F.sum("open")).first()[0]
-            if not n:
-                break
-            last = last or pairs_open <= 2 * OPEN_PAIRS * n
-        pairs = candidates(open_pairs(held) if last else star(held, turn), percent)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(linked(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if last:
-            break
+    links = written(linked(written(star(members, percent), "pairs"), sets, percent), "links")
+    rest = written(open_documents(members, components(links)), "documents")
+    labels = components(links.unionByName(written(blockwise(rest, sets, percent), "more")))
     places = classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     placed = prints.select("doc_id", "n_shingles", "set_key").join(places, "set_key", "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -188,7 +216,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Brute force over all pairs of distinct sets that share a shingle; components by repeated least labels.
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS sh FROM w)
 ), n AS (
