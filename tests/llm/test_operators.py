@@ -1,0 +1,411 @@
+"""The corpus operators against brute force, and on rows with nulls, empty and long texts, ties and clashing columns."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyscript.llm import decontaminate, graph, language, mixing, near, quality, queries, repeats, secrets, shards, tokens, toxicity
+from tallyscript.llm.common import new_path, table
+from tests.oracle import connect, rows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component long, `_copies` long, bucket string"
+
+
+def docs_of(spark, texts, lang="en", source="s"):
+    return spark.createDataFrame([(i, t, lang, source, len(t or ""), 7, 7, "x") for i, t in enumerate(texts)], SCHEMA)
+
+
+def odd(spark):
+    """Nulls, empty, blank, long and repeated texts, a repeated row, a null id, and columns with names used inside."""
+    long = " ".join(f"word{i % 997}" for i in range(60_000))
+    return docs_of(spark, [None, "", " \n", "one", long, long, "Ünï cödé 漢字 ☃"]).unionByName(docs_of(spark, [None]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs_of(spark, [None, "", " \n", "one"]).where("doc_id = 3"))
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, sf_dir, con, name):
+    assert rows(queries.queries()[name](spark, sf_dir).toPandas()) == rows(con.sql(queries.oracle_sql()[name]).df())
+
+
+def texts_of(con):
+    return con.sql("SELECT doc_id, text, source, lang FROM documents ORDER BY doc_id").fetchall()
+
+
+# 1 Sharding
+
+
+def test_shards_hold_every_row(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").repartition(9)
+    store = shards.ShardStore(spark, new_path(spark, "store"))
+    assert store.append(docs) == 1 and store.append(docs.limit(10)) == 2
+    before = store.manifest(2).count()
+    assert store.compact(1 << 30) == 3
+    after = store.manifest(3).collect()
+    assert len(after) < before and sum(r.rows for r in after) == docs.count() + 10
+    assert store.manifest(2).count() == before  # old versions stay
+    want = docs.unionByName(store.read(2).limit(0)).select("doc_id", "text").collect()
+    got = store.read(3).select("doc_id", "text").collect()
+    assert Counter(want) - Counter(got) == Counter() and len(got) == len(want) + 10
+    assert max(r.bytes for r in after if r.file.startswith("merged")) <= 1 << 30
+
+
+def test_commit_refuses_a_taken_version(spark):
+    store = shards.ShardStore(spark, new_path(spark, "store"))
+    store.append(odd(spark))
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.commit(store.manifest(1), 1)
+
+
+def test_shards_odd(spark):
+    got = shards.shard(odd(spark), new_path(spark, "store")).collect()
+    assert len(got) == odd(spark).count() and sum(r.text_crc32 is None for r in got) == 2
+    assert shards.shard(empty(spark), new_path(spark, "store")).count() == 0
+
+
+# 2 Language
+
+
+def test_language_accuracy(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.queries()["op2_language_id"](spark, sf_dir).collect()}
+    truth = {r.doc_id: r.lang for r in table(spark, sf_dir, "documents").select("doc_id", "lang").collect()}
+    held = [i for i, r in got.items() if r.held_out]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_codewords_differ():
+    for n in (2, 3, 4, 5, 9, 20):
+        code = language.codewords(n)
+        assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= (1 if n == 2 else code.shape[1] // 4)
+
+
+def test_language_odd(spark, sf_dir):
+    model = language.fit(table(spark, sf_dir, "documents"))
+    got = language.predict(odd(spark), model).collect()
+    assert [r.lang_pred for r in got if r.doc_id in (None, 0, 1, 2)] == ["und"] * 4
+    assert language.fit(empty(spark)) is None and {r.lang_pred for r in language.predict(odd(spark), None).collect()} == {"und"}
+    assert language.predict(empty(spark), model).count() == 0
+
+
+# 3 Toxicity
+
+
+def toxic_model(spark, sf_dir):
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def test_block_max_search_is_exact(spark, sf_dir):
+    rng = random.Random(3)
+    words = [f"w{i:03d}" for i in range(40)]
+    texts = [(i, int(i % 3 == 0), " ".join(rng.choices(words[: 10 if i % 3 == 0 else 40], k=rng.randint(1, 30))).encode()) for i in range(400)]
+    model = toxicity.Examples(texts, (266, 134))
+    assert len(model.vocabulary) > 3
+    whole = np.zeros((len(model.vocabulary), len(model.ids)))
+    for b, block in enumerate(model.postings):
+        whole[:, b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK] = block[:, : len(model.ids) - b * toxicity.BLOCK]
+    for _ in range(50):
+        vector = model.vector(model.query(" ".join(rng.choices(words, k=8)).encode(), {}))
+        if vector:
+            scores = vector[1] @ whole[vector[0]]
+            want = sorted(((-round(s, 12), e) for e, s in enumerate(scores) if s > 0))[: toxicity.NEAREST]
+            assert [(-round(s, 12), e) for s, e in model.nearest(*vector)] == want
+
+
+def test_toxicity_held_out():
+    rng = random.Random(5)
+    neutral = [f"plain{i:04d}" for i in range(3000)]
+
+    def text(toxic):
+        return " ".join(rng.choices(neutral, k=60) + rng.choices(["vile", "scumbag", "idiotic"], k=3 * toxic)).encode()
+
+    model = toxicity.Examples([(i, i % 2, text(i % 2)) for i in range(300)], (900, 100))
+    scores = [(toxic, model.score(text(toxic), {})[0]) for toxic in (0, 1) * 60]
+    assert all((s >= toxicity.DECISION) == bool(t) for t, s in scores)
+
+
+def test_toxicity_odd(spark, sf_dir):
+    model = toxic_model(spark, sf_dir)
+    got = toxicity.score(odd(spark), model).collect()
+    assert len(got) == odd(spark).count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    none = toxicity.fit(empty(spark), table(spark, sf_dir, "labels").limit(0))
+    assert all(r.predicted == 0 for r in toxicity.score(odd(spark), none).collect())
+
+
+# 4 Near duplicates
+
+
+def shingle_set(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
+
+
+def brute_components(texts, size, percent):
+    sets = [shingle_set(t, size) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(1)
+    texts = []
+    for size in (12, 30, 80, 300):
+        for _ in range(4):
+            base = [f"t{rng.randrange(500)}" for _ in range(size)]
+            texts += [" ".join(edited(rng, base, k)) for k in (0, 0, 1, 1, 2, size // 40, size // 25, size // 15)]
+            chain = base
+            for _ in range(5):  # each like the one before, the ends unlike
+                chain = edited(rng, chain, max(1, size // 60))
+                texts.append(" ".join(chain).title())
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(200)]
+    texts = [" ".join(edited(rng, base, 4)) for _ in range(300)] + ["alone by itself"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+def test_near_odd(spark):
+    got = {r.doc_id: r for r in near.near_duplicates(odd(spark)).collect()}
+    assert {i: (r.component_id, r.kept) for i, r in got.items()} == {0: (0, True), 1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (4, False), 6: (6, True)}
+    assert near.near_duplicates(empty(spark)).count() == 0
+    kept = near.near_stage(spark, odd(spark), "")
+    assert kept.columns == odd(spark).columns and kept.count() == odd(spark).count() - 1
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (9, 3), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (5, 5)] + [(100, k) for k in range(101, 130)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1} | {k: 20 for k in range(20, 26)} | {k: 100 for k in range(100, 130)}
+
+
+# 5 Mixing
+
+
+def test_mix_keeps_to_budgets(spark):
+    sizes = {"a": 900, "b": 90, "c": 10}
+    data = [(i, " ".join(["w"] * (1 + i % 7)), "en", s, 0, 0, 0, "") for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA), entropy=0.8, repeats=8.0).collect()
+    total = sum(r.tokens for r in got)
+    for s in sizes:
+        own = [r for r in got if r.source == s]
+        used, size, budget = sum(r.copies * r.tokens for r in own), sum(r.tokens for r in own), own[0].weight * total
+        assert budget - max(r.tokens for r in own) - 1 <= used <= budget + 1 and max(r.copies for r in own) - min(r.copies for r in own) <= 1
+        assert used <= 8 * size
+    weights = {r.source: r.weight for r in got}
+    assert abs(sum(weights.values()) - 1) < 1e-4
+    shown = -sum(w * np.log(w) for w in weights.values()) / np.log(3)
+    assert shown >= 0.8 - 1e-3 or max(weights[s] * total / sum(r.tokens for r in got if r.source == s) for s in sizes) > 8 - 1e-2
+
+
+def test_mix_odd(spark):
+    got = mixing.mix(odd(spark)).collect()
+    assert len(got) == odd(spark).count() and all(r.copies == 0 for r in got if r.tokens == 0)
+    assert mixing.mix(empty(spark)).count() == 0
+    null_source = odd(spark).withColumn("source", F.lit(None).cast("string"))
+    assert {r.copies for r in mixing.mix(null_source).where("tokens > 0").collect()} == {1}
+
+
+# 6 Decontamination
+
+
+def test_short_items_and_blocks(spark):
+    texts = ["A b c d e f g h i j k l m", "x A-B y", None, "", "a b c d e f g h i j", "only b c d e f g h i j k"]
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "b"), (3, "!!"), (4, None), (None, "x"), (5, "a, B")], "item_id long, text string")
+    whole = {r.doc_id: tuple(r)[1:] for r in decontaminate.find_benchmark(docs_of(spark, texts), bench).collect()}
+    assert {i: (r[0], r[1], r[2], r[4]) for i, r in whole.items()} == {0: (13, 11, 3, True), 1: (4, 2, 2, True), 2: (0, 0, 0, False), 3: (0, 0, 0, False), 4: (10, 10, 3, True), 5: (11, 10, 2, True)}
+    assert whole[0][3] == hashlib.sha256(b"1,2,5").hexdigest()
+    parts = {r.doc_id: tuple(r)[1:] for r in decontaminate.find_benchmark(docs_of(spark, texts), bench, pattern_bytes=1).collect()}
+    assert parts == whole
+
+
+def test_wu_manber_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(60))]
+        patterns = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(4)): [] for _ in range(3)}
+        want = sorted((i, p) for i in range(len(words) - 3) for p in patterns if tuple(words[i : i + 4]) == p)
+        assert sorted(decontaminate.WuManber(patterns, 4).search(words)) == want
+
+
+def test_decontaminate_odd(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark")
+    assert decontaminate.find_benchmark(odd(spark), bench).where("contaminated").count() == 0
+    assert decontaminate.find_benchmark(empty(spark), bench).count() == 0
+    assert decontaminate.find_benchmark(odd(spark), bench.limit(0)).count() == odd(spark).count()
+    stage = decontaminate.decontamination_stage(spark, table(spark, sf_dir, "documents"), sf_dir)
+    hit = {r.doc_id for r in decontaminate.find_benchmark(table(spark, sf_dir, "documents"), bench).where("contaminated").collect()}
+    assert hit and hit.isdisjoint(r.doc_id for r in stage.collect()) and stage.columns == table(spark, sf_dir, "documents").columns
+
+
+# 7 Secrets
+
+
+def plain_spans(text):
+    """The base patterns as the contract writes them, and failing matches dropped."""
+    found = [("assign", m.span()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    found += [("access", m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{s}:{e}" for k, (s, e) in sorted(found, key=lambda f: (f[1][0], ["assign", "access", "hex"].index(f[0]))))
+
+
+def test_secret_base_spans(spark, con):
+    rng = random.Random(6)
+    made = ["".join(rng.choices(["token", "API_key", "Secret", "password", "=", ": ", '"', "AKIA", "Z9", "deadbeef", "0123456789abcdef", "x", " ", "é", "token: api_key: AAAAAAAAAAAAAA"], k=rng.randrange(25))) for _ in range(500)]
+    for text in made + [t for _, t, _, _ in texts_of(con)]:
+        assert secrets.listed(secrets.base_spans(text)) == plain_spans(text)
+
+
+def test_entropy_window():
+    rng = random.Random(7)
+    for _ in range(100):
+        s = "".join(rng.choices("abcdefgh01", k=rng.randint(8, 40)))
+        best = max(-sum(n / 8 * np.log2(n / 8) for n in Counter(s[i : i + 8]).values()) for i in range(len(s) - 7))
+        assert secrets.reaches(s, 8, best - 1e-6) and not secrets.reaches(s, 8, best + 1e-6)
+
+
+def test_entropy_spans_and_allow_list():
+    secret = "qZ8vL2xN7bT4kR9wYc3mPf6JhD1sGa5E"
+    assert secrets.entropy_spans(f"id {secret} end", []) == [(3, 3, 35)]
+    for allowed in ("https", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "123e4567-e89b-12d3-a456-426614174000", "pneumonoultramicroscopicsilicovolcanoconiosis"):
+        assert secrets.entropy_spans(f"{allowed} x", []) == []
+    assert secrets.entropy_spans(secret, [(0, 0, 40)]) == []
+
+
+def test_secrets_odd(spark):
+    got = secrets.find_secrets(odd(spark)).collect()
+    assert len(got) == odd(spark).count() and {r.spans for r in got} == {""}
+    assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+# 8 Quality
+
+
+def test_host_verdicts(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    data = [(i, bad if i % 10 else good, "en", "bad", 0, 0, 0, "") for i in range(100)] + [(200 + i, good, "en", "good", 0, 0, 0, "") for i in range(100)] + [(400 + i, bad, "en", "small", 0, 0, 0, "") for i in range(3)] + [(500, good, "en", "small", 0, 0, 0, ""), (501, good, "en", None, 0, 0, 0, "")]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got[10] == (False, False) and got[11] == (True, False) and got[210] == (False, True) and got[500] == (False, True) and got[501] == (False, True)
+
+
+def test_quality_odd(spark):
+    got = {r.doc_id: r for r in quality.judge(odd(spark)).collect()}
+    assert got[0].base_failed and got[0].n_words == 0 and got[4].n_words == 60_000 and got[4].base_failed and got[6].word_chars == 12
+    assert quality.judge(empty(spark)).count() == 0
+
+
+# 9 Repeats
+
+
+def brute_removed(texts, length):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        mark = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                mark[i : i + length] = b"\1" * length
+        kept = bytes(c for c, m in zip(d, mark, strict=True) if not m)
+        out.append((len(d), sum(mark), sum(m and not p for m, p in zip(mark, b"\0" + bytes(mark), strict=False)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length,anchors", [(400, repeats.ANCHORS), (24, (10, 20, 24)), (8, (8,))])
+def test_repeats_against_brute_force(spark, length, anchors):
+    rng = random.Random(length)
+    piece = lambda n: "".join(rng.choices("abcdé ", k=n))
+    shared = [piece(n) for n in (length - 2, length, length + 1, 2 * length, 5 * length)]
+    texts = [None, "", piece(length - 1), "ab" * (3 * length), "q" * (4 * length)] + [piece(rng.randrange(3 * length)) + rng.choice(shared)[rng.randrange(3) :] + piece(rng.randrange(3 * length)) + rng.choice(shared) for _ in range(60)]
+    texts += [texts[9], texts[9]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs_of(spark, texts), length, anchors).collect()}
+    assert got == dict(enumerate(brute_removed(texts, length)))
+
+
+def test_repeats_odd(spark):
+    got = repeats.remove_repeats(odd(spark)).collect()
+    assert len(got) == odd(spark).count() and {r.n_removed == r.n_bytes for r in got if r.doc_id in (4, 5)} == {True}
+    assert repeats.remove_repeats(empty(spark)).count() == 0
+
+
+# 10 Tokens
+
+
+def test_tokens_against_the_library(spark, con, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    at = 0
+    got = {r.doc_id: r for r in queries.queries()["op10_token_shards"](spark, sf_dir).collect()}
+    for i, text, _, _ in texts_of(con):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_encoder_on_odd_texts():
+    import public_tokenizers
+
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    parts = list("ab'Z9 \n\t<|é÷Ω漢ßİſ.!?-\x1c\x85\xa0ǅ²½Σς") + ["<|endoftext|>", "'re", "don't", "x" * 40, "Aé", "9" * 30]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(2000)] + ["", "y" * 5000]
+    for text, got in zip(texts, encode.encode([t.encode() for t in texts]), strict=True):
+        assert tokens.packed(encode.library.encode(text, add_special_tokens=False).ids) == got
+
+
+def test_shard_files(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(i * 3)) for i in range(40)]
+    folder = new_path(spark, "tokens")
+    index = tokens.write_tokens(docs_of(spark, texts), folder, public_tokenizers.path("word_bpe_49k.json"), length=16, batch_rows=4, shard_bytes=2000)
+    placed = {r.doc_id: r for r in index.collect()}
+    assert len({r.shard for r in placed.values()}) > 1
+    one = tokens.Shard(f"{folder}/shard-000000.arrow")
+    assert one.file.schema.field("ids").type == pa.list_(pa.field("item", pa.uint16(), False), 16)
+    ends = [np.concatenate(list(one.ids(r.local_start, r.local_start + r.n_tokens)))[-1] for r in placed.values() if r.shard == 0]
+    assert set(ends) == {tokens.END_ID}
+
+
+def test_tokens_odd(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = new_path(spark, "tokens")
+    got = tokens.read_documents(tokens.write_tokens(odd(spark), folder, path), folder).collect()
+    assert len(got) == odd(spark).count() and [r.n_tokens for r in got if r.doc_id in (None, 0, 1, 2)] == [1] * 4
+    folder = new_path(spark, "tokens")
+    assert tokens.read_documents(tokens.write_tokens(empty(spark), folder, path), folder).count() == 0
