@@ -105,13 +105,17 @@ def test_language_odd(spark, sf_dir):
 # 3 Toxicity
 
 
+def spelt(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
 def toxic_model(spark, sf_dir):
     return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def test_block_max_search_is_exact(spark, sf_dir):
     rng = random.Random(3)
-    words = [f"w{i:03d}" for i in range(40)]
+    words = [spelt(i) for i in range(40)]
     texts = [(i, int(i % 3 == 0), " ".join(rng.choices(words[: 10 if i % 3 == 0 else 40], k=rng.randint(1, 30))).encode()) for i in range(400)]
     model = toxicity.Examples(texts, (266, 134))
     assert len(model.vocabulary) > 3
@@ -128,7 +132,7 @@ def test_block_max_search_is_exact(spark, sf_dir):
 
 def test_toxicity_held_out():
     rng = random.Random(5)
-    neutral = [f"plain{i:04d}" for i in range(3000)]
+    neutral = [spelt(i * 37) for i in range(3000)]
 
     def text(toxic):
         return " ".join(rng.choices(neutral, k=60) + rng.choices(["vile", "scumbag", "idiotic"], k=3 * toxic)).encode()
@@ -320,7 +324,7 @@ def test_host_verdicts(spark):
 
 def test_quality_odd(spark):
     got = {r.doc_id: r for r in quality.judge(odd(spark)).collect()}
-    assert got[0].base_failed and got[0].n_words == 0 and got[4].n_words == 60_000 and got[4].base_failed and got[6].word_chars == 12
+    assert got[0].base_failed and got[0].n_words == 0 and got[4].n_words == 60_000 and got[4].base_failed and got[6].word_chars == 10
     assert quality.judge(empty(spark)).count() == 0
 
 
