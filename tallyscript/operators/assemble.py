@@ -124,3 +124,10 @@ def preview(texts: DataFrame, keys: tuple[str, ...], most: int = 100) -> DataFra
     """keys, content (the first lines), total_lines, truncated."""
     lines = lines_of(F.col("text"))
     return texts.select(*keys, F.array_join(F.slice(lines, 1, most), "\n").alias("content"), F.size(lines).alias("total_lines"), (F.size(lines) > most).alias("truncated"))
+
+
+def header(chunks: DataFrame, compat: bool = True) -> DataFrame:
+    """Per job the figures of a document's head: total_chunks, enhanced, rate in percent with one place."""
+    voiced = ~F.coalesce("fallback_mode", F.lit(compat))
+    out = chunks.groupBy("job_id").agg(F.count("*").alias("total_chunks"), F.count_if(voiced).alias("enhanced"))
+    return out.withColumn("rate", F.format_string("%.1f%%", F.col("enhanced") / F.col("total_chunks") * 100))

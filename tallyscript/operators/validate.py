@@ -99,3 +99,11 @@ def first_valid(checked: DataFrame) -> DataFrame:
 
 def is_failure(texts: DataFrame) -> DataFrame:
     return texts.withColumn("failed", failed(F.col("text")))
+
+
+def commonest(texts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, content, n of the content that most lines with a colon have, the first by its text of equals."""
+    lines = texts.select(*keys, F.explode(lines_of(strip(F.col("text")))).alias("line")).where(F.col("line").contains(":"))
+    counted = lines.groupBy(*keys, content_after_colon(F.col("line")).alias("content")).agg(F.count("*").alias("n"))
+    best = F.min_by(F.struct("content", "n"), F.struct(-F.col("n"), F.col("content")))
+    return counted.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
