@@ -114,7 +114,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def star(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of each bucket's members and its centre, whose sizes allow a link."""
     centre = F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("size_a")), F.xxhash64("rep"))
-    centres = members.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.*")
+    centres = written(members.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.*"), "centres")
     joined = members.join(centres, "bucket").where("rep <> a")
     fit = 100 * F.least("size_a", "n") >= percent * F.greatest("size_a", "n")
     return joined.where(fit).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
@@ -124,7 +124,8 @@ def open_documents(members: DataFrame, labels: DataFrame) -> DataFrame:
     """rep, n, cluster of documents in buckets whose members are in several components; a cluster holds whole buckets."""
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bucket", F.coalesce("component", "rep").alias("component"))
     parted = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("first")).where("c0 < c1")
-    rest = written(labelled.join(parted.select("bucket", "first"), "bucket").select("rep", "n", "first").distinct(), "open")
+    parted = written(parted.select("bucket", "first"), "parted")
+    rest = written(labelled.join(parted, "bucket").select("rep", "n", "first").distinct(), "open")
     clusters = components(rest.select(F.col("first").alias("a"), F.col("rep").alias("b")))
     return rest.select("rep", "n").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("cluster"))
 
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     own = prints.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
     members = written(own.select("rep", "n", F.posexplode("bands").alias("band", "hash")).select("rep", "n", F.xxhash64("band", "hash").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket")
-    members = written(members.join(shared, "bucket"), "shared")
+    members = written(members.join(written(shared, "shared"), "bucket"), "kept")  # a written side, as Spark can then split a large bucket
     texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, shingle).withColumnRenamed("doc_id", "rep"), "sets")
 
