@@ -105,13 +105,14 @@ def cut(contexts: DataFrame, k: int, length: int) -> DataFrame:
 def one_round(contexts: DataFrame, k: int, length: int) -> tuple[DataFrame, DataFrame]:
     """Repeated stretches of windows (id, h, lo, n), and segments for the next round (id, h, start, lo, n)."""
     every = written(cut(contexts, k, length), "segments")
-    often = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # small sides are written before they are joined, as Spark can then split the rows of an anchor among tasks
+    often = written(every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "often")
     shared = written(every.join(often, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "digest").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "start", "lo", "n")).alias("one"))
     kinds = written(kinds, "kinds")
     repeated = written(shared.join(kinds.where("k > 1").select("anchor", "digest"), ["anchor", "digest"]).select("id", "h", "lo", "n").distinct(), "repeated")
     # an anchor with one kind of segment only, or of which every kind is repeated, is done
-    undecided = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("k").alias("least")).where("kinds > 1 and least = 1").select("anchor")
+    undecided = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("k").alias("least")).where("kinds > 1 and least = 1").select("anchor"), "undecided")
     ahead = written(kinds.join(undecided, "anchor").select("one.*"), "ahead")
     return repeated, ahead
 
