@@ -48,9 +48,10 @@ def weights(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     one = shares.where("total > 0").select("total", total.alias("budget"), F.transform("each", lambda v: v / F.col("total")).alias("p"))
     for_entropy = F.when(wide(F.lit(1.0)), 1.0).otherwise(bisected(lambda x: ~wide(x))["lo"])
     for_repeats = F.when(often(F.lit(0.0)), 0.0).otherwise(bisected(lambda x: often(x))["hi"])
-    one = one.select("total", "budget", "p", F.greatest(for_entropy, for_repeats).alias("exponent")).select("total", "budget", "exponent", norm(F.col("exponent")).alias("z"))
-    weight = F.pow(F.col("tokens") / F.col("total"), F.col("exponent")) / F.col("z")
-    return some.crossJoin(F.broadcast(one)).select("source", "tokens", weight.alias("weight"), "exponent", F.floor(F.round(weight * F.col("budget"), 3)).cast("long").alias("budget"))  # one is one row
+    found = one.select("total", "budget", "p", F.greatest(for_entropy, for_repeats).alias("exponent")).select("total", "budget", "exponent", norm(F.col("exponent")).alias("z")).first()
+    total_, budget_, exponent, z = found or (1.0, 0.0, 1.0, 1.0)  # without tokens there is no source either
+    weight = F.pow(F.col("tokens") / F.lit(float(total_)), F.lit(exponent)) / F.lit(z)
+    return some.select("source", "tokens", weight.alias("weight"), F.lit(exponent).alias("exponent"), F.floor(F.round(weight * F.lit(budget_), 3)).cast("long").alias("budget"))
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: str = SEED) -> DataFrame:
