@@ -66,9 +66,9 @@ def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, documents: int =
     chance = p * (1 - p)
     between = F.try_divide(F.col("kk") - n * p * p - (h - 1) * chance, n - F.try_divide("nn", "n"))  # what the rates vary beyond chance
     weight = F.when((h > 1) & (n > h) & (between > chance / (PRIOR_MOST + 1)), F.try_divide(chance, between) - 1).otherwise(F.lit(PRIOR_MOST))
-    prior = moments.select(p.alias("mean"), F.greatest(F.lit(0.0), F.least(F.lit(PRIOR_MOST), weight)).alias("weight"))
-    shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("failure_rate"), ((shrunk >= rate) & (F.col("n_docs") >= documents)).alias("host_rejected"))  # prior is one row
+    mean, most = moments.select(p.alias("mean"), F.greatest(F.lit(0.0), F.least(F.lit(PRIOR_MOST), weight)).alias("weight")).first()
+    shrunk = (F.col("n_failed") + F.lit((mean or 0.0) * most)) / (F.col("n_docs") + F.lit(most))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("failure_rate"), ((shrunk >= rate) & (F.col("n_docs") >= documents)).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source", rate: float = HOST_RATE, documents: int = HOST_DOCUMENTS) -> DataFrame:
