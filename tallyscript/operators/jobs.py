@@ -63,8 +63,8 @@ def duplicate(prompts: DataFrame, wanted: DataFrame) -> DataFrame:
 def prompt_of(wanted: DataFrame, prompts: DataFrame, fallback: str = "basic") -> DataFrame:
     """wanted (key) with prompt_text of that id or name, else of the fallback; an error if neither is there."""
     by_key = prompts.select(F.explode(F.array_distinct(F.array("id", "name"))).alias("key"), "prompt_text").groupBy("key").agg(F.min("prompt_text").alias("prompt_text"))
-    other = by_key.where(F.col("key") == fallback).agg(F.first("prompt_text").alias("other"))  # one row
-    rows = wanted.join(by_key, "key", "left").crossJoin(F.broadcast(other))
+    other = by_key.where(F.col("key") == fallback).select(F.col("key").alias("fallback"), F.col("prompt_text").alias("other"))
+    rows = wanted.join(by_key, "key", "left").withColumn("fallback", F.lit(fallback)).join(F.broadcast(other), "fallback", "left")  # other: one row at most
     return rows.select("key", F.coalesce("prompt_text", "other", F.raise_error(F.concat(F.lit("no prompt "), F.col("key"))).cast("string")).alias("prompt_text"))
 
 
