@@ -112,9 +112,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def star(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of each bucket's members and its centre, whose sizes allow a link."""
-    centre = F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("size_a")), F.xxhash64("rep"))
-    centres = written(members.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.*"), "centres")
+    """Distinct pairs (a, b), a < b, of each bucket's members and its centre, whose sizes allow a link.
+
+    The centre is the member that shares most places with others over all its buckets: what most copies are alike to. So one
+    document is the centre of most buckets of its group, and a member has few centres.
+    """
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weighed = members.join(written(weights, "weights"), "rep")
+    centre = F.max_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("size_a")), F.struct("weight", "rep"))
+    centres = written(weighed.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.*"), "centres")
     joined = members.join(centres, "bucket").where("rep <> a")
     fit = 100 * F.least("size_a", "n") >= percent * F.greatest("size_a", "n")
     return joined.where(fit).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
@@ -190,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = written(prints.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     own = prints.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
     members = written(own.select("rep", "n", F.posexplode("bands").alias("band", "hash")).select("rep", "n", F.xxhash64("band", "hash").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket")
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size")
     members = written(members.join(written(shared, "shared"), "bucket"), "kept")  # a written side, as Spark can then split a large bucket
     texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, shingle).withColumnRenamed("doc_id", "rep"), "sets")
