@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import slices, table
+from tallyscript.llm.common import slices, table, written
 
 #: Words in a window.
 WINDOW = 10
@@ -105,10 +105,6 @@ def blocks_of(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, byte
     yield held
 
 
-def digest(items: set[str] | list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -120,12 +116,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     blocks = blocks_of(benchmark, pattern_bytes)
     first = next(blocks)
-    found = searched(docs.select("doc_id", "text"), first, window)
-    rest = list(blocks)
-    if not rest:
+    second = next(blocks, None)
+    if second is None:
+        found = searched(docs.select("doc_id", "text"), first, window)
         return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
     rows = docs.select(F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")).alias("doc_id"), "text")
-    parts = [searched(rows, block, window) for block in [first, *rest]]
+    parts = [written(searched(rows, block, window), "hits") for block in itertools.chain((first, second), blocks)]
     united = parts[0]
     for other in parts[1:]:
         united = united.unionByName(other)
