@@ -48,7 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again by whatever follows, also after a lost executor."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.written_path = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_path.rsplit("/", 1)[0])
 
 
 def fold_remainder(id_column: str, modulus: int) -> Column:

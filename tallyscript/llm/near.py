@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import per_text, table, written
+from tallyscript.llm.common import discard, per_text, table, written
 from tallyscript.llm.graph import components
 
 #: Defaults of the operator: words in a shingle, and the least similarity of a link in percent.
@@ -197,13 +197,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     own = prints.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
     members = written(own.select("rep", "n", F.posexplode("bands").alias("band", "hash")).select("rep", "n", F.xxhash64("band", "hash").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size")
-    members = written(members.join(written(shared, "shared"), "bucket"), "kept")  # a written side, as Spark can then split a large bucket
+    banded, members = members, written(members.join(written(shared, "shared"), "bucket"), "kept")  # a written side, as Spark can then split a large bucket
     texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, shingle).withColumnRenamed("doc_id", "rep"), "sets")
 
     links = written(linked(written(star(members, percent), "pairs"), sets, percent), "links")
     rest = written(open_documents(members, components(links)), "documents")
     labels = components(links.unionByName(written(blockwise(rest, sets, percent), "more")))
+    discard(banded, members, sets)  # labels are written
     places = classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     placed = prints.select("doc_id", "n_shingles", "set_key").join(places, "set_key", "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
