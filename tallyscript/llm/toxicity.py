@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter, defaultdict
+import pickle
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from tallyscript.llm.common import fold_remainder, slices, table
 
 #: Labelled examples of each class in the index, about; nearest ones that vote; examples in a block.
 EXAMPLES, NEAREST, BLOCK = 1500, 15, 64
-#: A term is in the vocabulary if its G statistic over the examples reaches this, and so many examples have it; of more
-#: terms those with the largest statistic.
-G_LEAST, EXAMPLES_LEAST, TERMS = 20.0, 8, 2048
-#: Minima of word hashes that near copies share; of examples that share all, one is in the index.
-SKETCH = 6
+#: Every term of an example is in the index; its G statistic over the examples is a weight: at this, half of the largest.
+G_HALF = 20.0
+#: A term that one of COMMON examples has is an array over all examples; one of at most FEW examples is added up in full;
+#: for those between, the index has where each block's postings start, and their largest weight.
+COMMON, FEW = 16, 4
+#: Texts whose common terms are multiplied at once.
+TEXTS = 128
 #: Starts of words in bytes that are terms as the words are: they gather the forms of a word.
 STARTS = (4, 5, 6)
 #: Weight of the base rate beside the votes, in votes of toxic examples at cosine 1.
@@ -47,80 +51,145 @@ def words_of(text: bytes) -> Counter:
     return Counter(text.translate(LETTERS).split())
 
 
-def g_statistic(a: int, b: int, n_a: int, n_b: int) -> float:
-    """2 * sum(observed * log(observed / expected)) of having a term against the class."""
+def g_statistic(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """2 * sum(observed * log(observed / expected)) of having a term against the class; 0 if there is one class only."""
     total, have = n_a + n_b, a + b
     cells = ((a, n_a * have), (b, n_b * have), (n_a - a, n_a * (total - have)), (n_b - b, n_b * (total - have)))
-    return 2 * sum(x * math.log(x * total / e) for x, e in cells if x)
+    return np.maximum(2 * sum(x * np.log(np.maximum(x, 1) * total / np.maximum(e, 1)) for x, e in cells), 0.0)
 
 
-def sketch(words: Counter) -> tuple[int, ...]:
-    return tuple(min((xxhash.xxh3_64_intdigest(w, k) for w in words), default=0) for k in range(SKETCH))
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start up to its end, and how many each has."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
 class Examples:
-    """Unit TF-IDF vectors of examples, inverted: postings by block of examples and term, and each term's largest weight in it."""
-
-    def __init__(self, examples: list[tuple[int, int, bytes]], class_sizes: tuple[int, int]):
-        """examples: (id, label, text) in ascending id; class_sizes: all labelled rows of label 0 and 1."""
-        worded = [(i, y, words_of(t)) for i, y, t in examples]
-        once = {(y, sketch(w)): (i, y, w) for i, y, w in reversed(worded)}
-        counted = [(i, y, term_counts(w)) for i, y, w in sorted(once.values(), key=lambda e: e[0])]
-        n = [sum(y == k for _, y, _ in counted) for k in (0, 1)]
-        have: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
-        for _, y, terms in counted:
-            for t in terms:
-                have[t][y] += 1
-        telling = [(-g, t) for t, (a, b) in have.items() if a + b >= EXAMPLES_LEAST and min(n) and (g := g_statistic(a, b, *n)) >= G_LEAST]
-        chosen = sorted(t for _, t in sorted(telling)[:TERMS])
-        self.vocabulary = {t: k for k, t in enumerate(chosen)}
-        self.gate = {t[:4] for t in chosen}  # a word that begins otherwise has no term
-        self.idf = np.array([math.log((1 + sum(n)) / (1 + sum(have[t]))) + 1 for t in chosen])
-        self.ids = [i for i, _, _ in counted]
-        self.labels = np.array([y for _, y, _ in counted], float)
-        share = [size / max(k, 1) for size, k in zip(class_sizes, n, strict=True)]
+    """Unit TF-IDF vectors of examples, inverted: sparse postings by term and block of examples, each with its largest weight."""
+
+    def __init__(self, examples: list[tuple[int, int, bytes]], class_sizes: tuple[int, int], documents: tuple[int, dict[bytes, int]] | None = None):
+        """examples: (id, label, text) in ascending id; class_sizes: all labelled rows of label 0 and 1.
+
+        documents: how many there are, and how many of them have each term; the examples themselves if not given.
+        """
+        self.vocabulary: dict[bytes, int] = {}
+        counted = []
+        for _, _, text in examples:
+            terms = term_counts(words_of(text))
+            ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in terms], np.int64)
+            order = np.argsort(ids)
+            counted.append((ids[order], np.array(list(terms.values()), float)[order]))
+        size = len(self.vocabulary)
+        self.ids = [i for i, _, _ in examples]
+        self.labels = np.array([y for _, y, _ in examples], float)
+        n = [int((self.labels == k).sum()) for k in (0, 1)]
+        have = [sum((np.bincount(t, minlength=size) for (t, _), y in zip(counted, self.labels, strict=True) if y == k), np.zeros(size, np.int64)) for k in (0, 1)]
+        of_all, having = (sum(n), have[0] + have[1]) if documents is None else (documents[0], np.array([documents[1].get(t, 0) for t in self.vocabulary], float))
+        g = g_statistic(*have, *n)
+        self.idf = (np.log((1 + of_all) / (1 + np.minimum(having, of_all))) + 1) * (1 + g) / (1 + g + G_HALF)
+        share = [size_ / max(k, 1) for size_, k in zip(class_sizes, n, strict=True)]
         self.votes = np.where(self.labels == 1, 1.0, share[0] / share[1] if share[1] else 1.0)
-        vectors = [self.vector({self.vocabulary[t]: c for t, c in terms.items() if t in self.vocabulary}) for _, _, terms in counted]
-        empty = np.array([v is None for v in vectors], bool)
+        empty = np.array([not len(t) for t, _ in counted], bool)
         rate = lambda of: ((self.votes * self.labels)[of].sum() + 0.1) / (self.votes[of].sum() + 1.0)
         self.base, self.base_empty = (rate(slice(None)), rate(empty)) if len(empty) else (0.1, 0.1)
-        self.postings = np.zeros((-(-len(vectors) // BLOCK), len(chosen), BLOCK))
-        for e, v in enumerate(vectors):
-            if v:
-                self.postings[e // BLOCK, v[0], e % BLOCK] = v[1]
-        self.most = self.postings.max(2) if len(vectors) else np.zeros((0, len(chosen)))
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        if not counts:
-            return None
-        terms = np.array(sorted(counts))
-        weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
-        return terms, weights / math.sqrt((weights * weights).sum())
-
-    def query(self, text: bytes, known: dict[bytes, list[int]]) -> dict[int, int]:
+        self.texts = [(t.astype(np.int32), c.astype(np.int32)) for t, c in counted]
+        self.invert()
+
+    def __getstate__(self) -> bytes:
+        """What the index is made of, as Spark writes what it sends out to each executor's disk."""
+        names = ("vocabulary", "ids", "labels", "idf", "votes", "base", "base_empty", "texts")
+        return zlib.compress(pickle.dumps({n: getattr(self, n) for n in names}, 5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+        self.invert()
+
+    def invert(self) -> None:
+        vectors, size = [self.weighed(t, c) for t, c in self.texts], len(self.vocabulary)
+        self.blocks = -(-len(vectors) // BLOCK)
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        place = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        common = np.flatnonzero(np.bincount(term, minlength=size) * COMMON >= max(len(vectors), 1))
+        self.column = np.full(size, -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        self.common = np.zeros((len(common), self.blocks * BLOCK))
+        self.common[self.column[term[dense]], place[dense]] = weight[dense]
+        order = np.lexsort((place[~dense], term[~dense]))
+        term, self.place, self.weight = term[~dense][order], place[~dense][order].astype(np.int32), weight[~dense][order]
+        self.start = np.searchsorted(term, np.arange(size + 1))
+        between = np.flatnonzero(np.diff(self.start) > FEW)
+        self.row = np.full(size, -1)
+        self.row[between] = np.arange(len(between))
+        inside = np.flatnonzero(self.row[term] >= 0)
+        part = self.row[term[inside]], self.place[inside] // BLOCK
+        self.most = np.zeros((len(between), self.blocks))
+        np.maximum.at(self.most, part, self.weight[inside])
+        held = np.zeros((len(between), self.blocks + 1), np.int32)
+        np.add.at(held, (part[0], part[1] + 1), 1)
+        self.block_start = (self.start[between][:, None] + held.cumsum(1)).astype(np.int32)
+
+    @property
+    def postings(self) -> Iterator[np.ndarray]:
+        """Each block as an array of its weights by term and example."""
+        for b in range(self.blocks):
+            block = np.zeros((len(self.vocabulary), BLOCK))
+            some = self.column >= 0
+            block[some] = self.common[self.column[some], b * BLOCK : (b + 1) * BLOCK]
+            for t in np.flatnonzero(~some):
+                held = np.arange(self.start[t], self.start[t + 1])
+                held = held[self.place[held] // BLOCK == b]
+                block[t, self.place[held] % BLOCK] = self.weight[held]
+            yield block
+
+    def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        return terms, weights / math.sqrt((weights * weights).sum() or 1.0)
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        return self.weighed(*counts) if len(counts[0]) else None
+
+    def query(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms of the vocabulary and their counts; known holds those of words seen."""
-        counts: dict[int, int] = {}
-        gate = self.gate
-        for word, n in Counter([w for w in text.translate(LETTERS).split() if w[:4] in gate]).items():
-            terms = known.get(word)
-            if terms is None:
-                terms = [self.vocabulary[t] for t in terms_of_word(word) if t in self.vocabulary]
-                if len(known) >= 200_000:
-                    known.clear()
-                known[word] = terms
-            for t in terms:
-                counts[t] = counts.get(t, 0) + n
-        return counts
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
-        """The k examples of largest cosine over 0, exactly, ties by place: blocks by their bound, until none can matter."""
-        bound = self.most[:, terms] @ weights
+        words = words_of(text)
+        lists = [known.get(w) or terms_known(w, self.vocabulary, known) for w in words]
+        counts = np.repeat(np.fromiter(words.values(), float, len(words)), np.fromiter(map(len, lists), np.int64, len(words)))
+        terms, at = np.unique(np.fromiter(itertools.chain.from_iterable(lists), np.int64, len(counts)), return_inverse=True)
+        return terms, np.bincount(at, counts, len(terms))
+
+    def common_scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosine of each vector and example."""
+        queries = np.zeros((len(vectors), len(self.common)))
+        for row, (terms, weights) in zip(queries, vectors, strict=True):
+            column = self.column[terms]
+            row[column[column >= 0]] = weights[column >= 0]
+        return queries @ self.common
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine over 0, exactly, ties by place: blocks by their bound, until none can matter.
+
+        A block's bound is the most that common terms and those of few examples give one of its examples, and each other
+        term's largest weight in it.
+        """
+        if not self.blocks:
+            return []
+        row = self.row[terms]
+        few = row < 0
+        found, n = ranges(self.start[terms[few]], self.start[terms[few] + 1])
+        held = self.common_scores([(terms, weights)])[0] if common is None else common
+        held = (held + np.bincount(self.place[found], np.repeat(weights[few], n) * self.weight[found], len(held))).reshape(self.blocks, BLOCK)
+        row, weights = row[~few], weights[~few]
+        starts = self.block_start[row]
+        bound = held.max(1) + weights @ self.most[row]
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > 0)]
-        scores, places, least, at, wave = np.empty(0), np.empty(0, np.int64), 0.0, 0, 4
+        scores, places, least, at, wave = np.empty(0), np.empty(0, np.int64), 0.0, 0, 8
         while at < len(order) and (len(scores) < k or bound[order[at]] >= least * (1 - 1e-9)):
             blocks = order[at : at + wave]
-            got = np.einsum("btk,t->bk", self.postings[blocks[:, None], terms], weights).ravel()
+            found, n = ranges(starts[:, blocks].ravel(), starts[:, blocks + 1].ravel())
+            added = np.bincount(self.place[found], np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[found], held.size)
+            got = (held[blocks] + added.reshape(held.shape)[blocks]).ravel()
             scores, places = np.append(scores, got), np.append(places, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel())
             best = np.lexsort((places, -np.round(scores, 12)))[:k]
             best = best[scores[best] > 0]
@@ -130,10 +199,17 @@ class Examples:
 
     def score(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[float, str]:
         """(score, evidence): shares of cubed cosines, held towards the base rate; the three nearest examples."""
-        vector = self.vector(self.query(text, known))
-        if vector is None:
-            return float(self.base_empty), ""
-        near = self.nearest(*vector)
+        return self.score_all([text], known)[0]
+
+    def score_all(self, texts: list[bytes], known: dict[bytes, list[int]]) -> list[tuple[float, str]]:
+        rows = []
+        for start in range(0, len(texts), TEXTS):
+            vectors = [self.vector(self.query(t, known)) for t in texts[start : start + TEXTS]]
+            common = iter(self.common_scores([v for v in vectors if v]))
+            rows += [self.voted(self.nearest(*v, common=next(common))) if v else (float(self.base_empty), "") for v in vectors]
+        return rows
+
+    def voted(self, near: list[tuple[float, int]]) -> tuple[float, str]:
         total, toxic = PRIOR, PRIOR * self.base
         for cosine, e in near:
             vote = self.votes[e] * cosine**3
@@ -142,10 +218,43 @@ class Examples:
         return float(min(1.0, max(0.0, toxic / total))), ",".join(f"{self.ids[e]}:{cosine:.4f}" for cosine, e in near[:3])
 
 
+def terms_known(word: bytes, vocabulary: dict[bytes, int], known: dict[bytes, list[int]]) -> list[int]:
+    terms = known.get(word)
+    if terms is None:
+        terms = [vocabulary[t] for t in terms_of_word(word) if t in vocabulary]
+        if len(known) >= 200_000:
+            known.clear()
+        known[word] = terms
+    return terms
+
+
+def document_counts(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict[bytes, int]]:
+    """How many rows of docs have a text, and how many of those have each term. The driver gets a row per term."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[int]] = {}
+        vocabulary, n = shared.value, np.zeros(len(shared.value) + 1, np.int64)  # the last one counts texts
+        for _, texts in slices(batches):
+            for text in texts:
+                have: set[int] = set()
+                for word in set(text.translate(LETTERS).split()):
+                    have.update(terms_known(word, vocabulary, known))
+                n[np.fromiter(have, np.int64, len(have))] += 1
+                n[-1] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["term", "n"])
+
+    rows = docs.select("text").where("text is not null").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    return got.pop(len(terms), 0), {terms[k]: n for k, n in got.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Examples:
     """An index of labelled rows: some `examples` of each class by the hash of their id, of which distinct texts stay.
 
-    docs has doc_id and text, labels doc_id and toxic. The driver gets these rows only. Rows with a null id, text or label
+    All their terms are indexed; how rare a term is follows from all of docs. docs has doc_id and text, labels doc_id and
+    toxic. The driver gets these rows, and a count for each of their terms. Rows with a null id, text or label
     teach nothing; of labels for the same id the largest holds.
     """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -157,13 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Example
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
     picked = texts.join(F.broadcast(marked.where(wanted)), "doc_id").collect()  # about two times `examples` rows
     once = {bytes(r["text"]): (r["doc_id"], r["toxic"], bytes(r["text"])) for r in sorted(picked, key=lambda r: -r["doc_id"])}
-    return Examples(sorted(once.values()), (sizes.get(0, 0), sizes.get(1, 0)))
+    terms = sorted({t for text in once for w in words_of(text) for t in terms_of_word(w)})
+    return Examples(sorted(once.values()), (sizes.get(0, 0), sizes.get(1, 0)), document_counts(docs, terms))
 
 
 def score(docs: DataFrame, model: Examples) -> DataFrame:
     """One row per row of docs: doc_id, score, predicted, evidence.
 
-    Only text is looked at; a null or empty text, or one without a term of the vocabulary, gets the rate of labelled
+    Only text is looked at; a null or empty text, or one without a term of an example, gets the rate of labelled
     rows without one. Repeated rows and null ids are scored row by row; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -171,7 +281,7 @@ def score(docs: DataFrame, model: Examples) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list[int]] = {}
         for part, texts in slices(batches):
-            got = [shared.value.score(t, known) for t in texts]
+            got = shared.value.score_all(texts, known)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= DECISION) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], ["doc_id", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -142,6 +142,26 @@ def test_toxicity_held_out():
     assert all((s >= toxicity.DECISION) == bool(t) for t, s in scores)
 
 
+def test_toxicity_of_rare_wording():
+    """A toxic example's words that no other example has find its near copies."""
+    rng = random.Random(11)
+    words = [spelt(i * 37) for i in range(9000)]
+    texts = [(i, int(i % 10 == 0), " ".join(rng.sample(words[20 * i : 20 * i + 20], 20)).encode()) for i in range(200)]
+    model = toxicity.Examples(texts, (180, 20))
+    for i, label, text in texts:
+        copy = b" ".join(text.split()[2:] + [b"another", b"ending"])
+        score, evidence = model.score(copy, {})
+        assert evidence.startswith(f"{i}:") and (score >= toxicity.DECISION) == bool(label)
+
+
+def test_toxicity_counts_all_documents(spark):
+    docs = docs_of(spark, ["vile words", "good words", "words", None, "", "other"])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    assert toxicity.document_counts(docs, [b"vile", b"words", b"word*", b"none"]) == (5, {b"vile": 1, b"words": 3, b"word*": 3})
+    model = toxicity.fit(docs, labels)
+    assert model.idf[model.vocabulary[b"vile"]] > model.idf[model.vocabulary[b"words"]]
+
+
 def test_toxicity_odd(spark, sf_dir):
     model = toxic_model(spark, sf_dir)
     got = toxicity.score(odd(spark), model).collect()
