@@ -27,9 +27,10 @@ CLASSES = (
     ("hex", re.compile(r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])"), 24, 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0),
 )
-#: Strings that look random and are no secret: addresses, digests that name themselves, hexadecimal UUIDs, plain words.
+#: What stands before the // of an address, and strings that look random and are no secret: digests that name themselves, hexadecimal UUIDs, plain words.
+SCHEME = re.compile(r"https?:$", re.IGNORECASE | re.ASCII)
 ALLOWED = re.compile(
-    r"https?|www|//|sha(?:1|256|512)-|md5-|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*$|^[0-9_/+=-]+$"
+    r"^(?:[^=]*=)?(?:sha(?:1|256|512)-|md5-)|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*$|^[0-9_/+=-]+$"
 )
 
 
@@ -62,16 +63,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of high entropy that no base span touches and the allow-list does not know."""
+    """Candidates of high entropy that the allow-list does not know: their parts outside base spans, but for plain words."""
     spans: list[tuple[int, int, int]] = []
     for _, pattern, window, bits in CLASSES:
         for m in pattern.finditer(text):
             start, end = m.span()
-            if not ALLOWED.search(m[0]) and not any(s < end and start < e for s, _, e in base + spans) and reaches(m[0], window, bits):
-                spans.append((start, 3, end))
+            if ALLOWED.search(m[0]) or m[0].startswith("//") and SCHEME.search(text[max(0, start - 6) : start]):
+                continue
+            parts = outside(start, end, base + spans)
+            if parts != [(start, end)]:
+                parts = [(s, e) for s, e in parts if (part := text[s:e].strip("-_/=+")) and not ALLOWED.search(part)]
+            if parts and reaches(m[0], window, bits):
+                spans += [(s, 3, e) for s, e in parts]
     return spans
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts from start to end that no span covers."""
+    parts = []
+    for s, _, e in sorted(spans):
+        if start < min(s, end):
+            parts.append((start, min(s, end)))
+        start = max(start, e)
+    return parts + [(start, end)] if start < end else parts
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 

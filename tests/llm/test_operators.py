@@ -326,6 +326,20 @@ def test_entropy_spans_and_allow_list():
     assert secrets.entropy_spans(secret, [(0, 0, 40)]) == []
 
 
+def test_entropy_spans_of_long_secrets():
+    secret = "qZ8vL2xN7bT4kR9wYc3mPf6JhD1sGa5E"
+    for inside in ("//", "www", "https", "md5-"):
+        text = f"id {secret}{inside}{secret} end"
+        assert secrets.entropy_spans(text, []) == [(3, 3, len(text) - 4)]
+    for allowed in (f"https://{secret}/x", f"sha256-{secret}", f"integrity=sha256-{secret}"):
+        assert secrets.entropy_spans(allowed, []) == []
+    text = f"{secret}0123456789abcdef{secret}"
+    base = secrets.base_spans(text)
+    assert base == [(32, 2, 48)] and secrets.entropy_spans(text, base) == [(0, 3, 32), (48, 3, 80)]
+    text = f"my_password={secret}"
+    assert secrets.entropy_spans(text, secrets.base_spans(text)) == []
+
+
 def test_secrets_odd(spark):
     got = secrets.find_secrets(odd(spark)).collect()
     assert len(got) == odd(spark).count() and {r.spans for r in got} == {""}
