@@ -21,6 +21,12 @@ def test_every_query_has_sql():
     assert sorted(QUERIES) == sorted(SQL)
 
 
+def test_clock_roundtrip_of_all_events(spark, tmp_path):
+    spark.createDataFrame([(7,), (359_939,), (359_940,), (6_000_001,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.clock, r.seconds) for r in QUERIES["clock_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {7: ("00:07", 7.0), 359_939: ("5998:59", 359_939.0), 359_940: ("5999:00", 359_940.0), 6_000_001: ("100000:01", 6_000_001.0)}
+
+
 def test_no_cartesian_product(spark, sf_dir):
     for name in ("nearest_match", "consensus_v04_flagged", "consensus_v03_flagged", "chunk_vad_info", "speech_segments"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
