@@ -16,6 +16,8 @@ from tallyscript.llm.common import new_path, table
 
 #: Bytes of a merged file; shards whose sizes are within a factor FANOUT are of one tier; shards that one window orders.
 TARGET_BYTES, FANOUT, LANE_SHARDS = 32 << 20, 4, 4096
+#: Bytes of text of an arriving shard, about, whatever the read split: far under the target.
+ARRIVAL_BYTES = 8 << 20
 #: Smallest tier.
 LEAST_BYTES = 64 << 10
 #: Rows of a manifest up to which it is broadcast (some 200 bytes each); a longer one is joined by shuffles.
@@ -68,12 +70,14 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/data/{n}" for n in names])
 
-    def append(self, docs: DataFrame) -> int:
-        """Write docs as they arrive, a shard a task, without a shuffle; commit and return the version that holds them."""
+    def append(self, docs: DataFrame, arrival: int = ARRIVAL_BYTES) -> int:
+        """Write docs as they arrive, shards of about `arrival` bytes of text, without a shuffle; commit and return the version that holds them."""
         version, batch = self.version() + 1, f"arrival-{uuid.uuid4().hex}"
         if version == 1:
             docs.limit(0).write.mode("ignore").parquet(f"{self.folder}/schema")
-        docs.write.option("compression", "zstd").parquet(f"{self.folder}/data/{batch}")
+        about = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        per_shard = max(1, arrival * about["rows"] // max(1, about["bytes"]))
+        docs.write.option("compression", "zstd").option("maxRecordsPerFile", per_shard).parquet(f"{self.folder}/data/{batch}")
         added = self.listed(self.spark.read.schema(docs.schema).parquet(f"{self.folder}/data/{batch}"))
         self.commit(self.manifest(version - 1).unionByName(added), version)
         return version

@@ -64,6 +64,15 @@ def test_shards_hold_every_row(spark, sf_dir):
     assert max(r.bytes for r in after if r.file.startswith("merged")) <= 1 << 30
 
 
+def test_arrivals_are_small_whatever_the_split(spark):
+    docs = docs_of(spark, [f"{i} " + "w" * 1000 for i in range(100)]).coalesce(1)
+    store = shards.ShardStore(spark, new_path(spark, "store"))
+    store.append(docs, arrival=10_000)
+    assert store.manifest(1).count() >= 10 and store.read(1).count() == 100
+    store.compact(1 << 30)
+    assert store.manifest(2).count() == 1 and store.read(2).count() == 100
+
+
 def test_commit_refuses_a_taken_version(spark):
     store = shards.ShardStore(spark, new_path(spark, "store"))
     store.append(odd(spark))
