@@ -81,9 +81,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for; rows that share a doc_id follow the largest number."""
-    copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as mix() plans, rows with a null doc_id too. Rows of the same doc_id, source and tokens share out their numbers."""
+    id_, source, tokens = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.col("tokens")
+    keys = ["id", "source", "tokens"]
+    plan = mix(docs).where("copies > 0").groupBy(id_.alias("id"), source.alias("source"), tokens).agg(F.sort_array(F.collect_list("copies"), False).alias("each"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("id"), source.alias("source"), tokens_of(F.col("text")).alias("tokens"), F.xxhash64("text").alias("hash"))
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).join(plan, keys).where("n <= size(each)")
+    return placed.select("row", F.explode(F.sequence(F.lit(1), F.element_at("each", F.col("n"))))).select("row.*")
 
 
 OP5_SQL = r"""

@@ -269,6 +269,17 @@ def test_mix_odd(spark):
     assert {r.copies for r in mixing.mix(null_source).where("tokens > 0").collect()} == {1}
 
 
+def test_mixing_stage_keeps_null_and_shared_ids(spark):
+    texts = [(None, "a b"), (None, "a b"), (1, "c d e"), (1, "c d e f"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[k % 2], 0, 0, 7, "x") for k, (i, t) in enumerate(texts)], SCHEMA)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.tokens] += r.copies
+    got = mixing.mixing_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in got.collect()) == +want and any(i is None for i, _, _ in +want)
+
+
 # 6 Decontamination
 
 
