@@ -141,8 +141,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: those without letters, and those that fit no learned language.
+    """Drop documents without letters, or all if nothing was labelled; nothing else is rejected.
 
+    A text with a letter in a language or script that was not learned is taken for a learned one and kept, as is noise.
     The model learns from rows whose id's crc32 modulo 4 is not 2. docs keeps its columns and its other rows.
     """
     model = fit(docs.where(fold_remainder("doc_id", 4) != 2))
