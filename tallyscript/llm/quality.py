@@ -55,7 +55,8 @@ def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, documents: int =
     """Per host: n_docs, n_failed, failure_rate (shrunken), host_rejected.
 
     The beta prior's mean is the share of failures over all hosts, its weight follows from how much more the hosts'
-    rates vary than chance alone would have them (method of moments). Null hosts have no verdict.
+    rates vary than chance alone would have them (method of moments). A host with fewer than `documents` documents is never
+    rejected, whatever its rate. Null hosts have no verdict.
     """
     hosts = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     moments = hosts.agg(
