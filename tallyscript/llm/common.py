@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 2 << 20
+#: Logarithm of the bits of a filter of ids at most (8 MB), and where in a hash its three places start.
+FILTER_BITS, FILTER_SHIFTS = 26, (0, 19, 38)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where the session names none."""
+    """The folder that the driver and all executors share. A session on one machine may name none; a cluster must."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -59,6 +63,41 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.written_path.rsplit("/", 1)[0])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many "_" as it takes to differ from all columns; case doesn't count, as in Spark."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def large_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input: never a broadcast, so that the plan is one and the same at every size."""
+    return left.join(right.hint("merge"), on, how)
+
+
+class IdFilter:
+    """A Bloom filter of ids, FILTER_BITS at most: what it lets through is joined exactly, so a full one only saves nothing."""
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column. The driver gets a row for each 64 bits that has a bit set."""
+        self.size = size = min(FILTER_BITS, max(16, (12 * ids.count()).bit_length()))
+        place = F.explode(F.array(*[F.shiftrightunsigned(F.col("h"), s).bitwiseAND(F.lit((1 << size) - 1)) for s in FILTER_SHIFTS]))
+        places = ids.select(F.xxhash64(ids.columns[0]).alias("h")).select(place.alias("place"))
+        bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+        rows = places.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.words = np.zeros(1 << size - 6, np.int64)
+        self.words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the ids with these values of xxhash64() may be among those of the filter."""
+        hashes, found = hashes.astype(np.int64).view(np.uint64), np.ones(len(hashes), bool)
+        for shift in FILTER_SHIFTS:
+            place = (hashes >> np.uint64(shift)) & np.uint64((1 << self.size) - 1)
+            found &= (self.words[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
 def fold_remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the contract's split of held-out rows."""
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(modulus))

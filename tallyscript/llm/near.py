@@ -7,13 +7,16 @@ shingles of two blocks as a product of matrices, and gives back a tree of links,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import discard, per_text, table, written
+from tallyscript.llm.common import IdFilter, discard, large_join, per_text, slices, table, unused, written
 from tallyscript.llm.graph import components
 
 #: Defaults of the operator: words in a shingle, and the least similarity of a link in percent.
@@ -83,7 +86,7 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits over the whole set; null if empty), bands, of each row with an id."""
+    """doc_id, text_hash, n_shingles, set_key (128 bits over the whole set; null if empty), bands, of each row with an id."""
 
     def make(texts: list[bytes]) -> list[list]:
         sets = [shingle_hashes(t, shingle) for t in texts]
@@ -91,22 +94,37 @@ def fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
         bands: list = [None] * len(sets)
         for i, row in zip(some, bands_of(signatures([sets[i] for i in some])).view(np.int64) if some else (), strict=True):
             bands[i] = row.tolist()
-        keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         return [[len(s) for s in sets], keys, bands]
 
-    fields = pa.schema([("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64()))])
-    return per_text(docs.where("doc_id is not null"), "n_shingles long, set_key string, bands array<long>", fields, make)
+    fields = pa.schema([("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return per_text(rows, "n_shingles long, set_key binary, bands array<long>", fields, make, keep=("doc_id", "text_hash"))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and the whole set of shingle hashes of the rows whose ids are among ids (one column, doc_id).
 
+    A filter of the ids leaves most texts where they are; the sets of the rest, no texts, are then joined with the ids.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(IdFilter(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pa.array(shared.value.maybe(batch.column(1).to_numpy(zero_copy_only=False))))
+            for own, texts in slices([rows]) if rows.num_rows else ():
+                sets = [shingle_hashes(t, shingle).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and its whole set of shingle hashes."""
-    fields = pa.schema([("shingles", pa.list_(pa.int64()))])
-    return per_text(docs, "shingles array<long>", fields, lambda texts: [[shingle_hashes(t, shingle).view(np.int64) for t in texts]])
+    hashed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    found = hashed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+    return large_join(found, ids, "doc_id", "left_semi")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union, on whole sets."""
-    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = large_join(pairs, sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = large_join(both, sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
@@ -118,10 +136,10 @@ def star(members: DataFrame, percent: int) -> DataFrame:
     document is the centre of most buckets of its group, and a member has few centres.
     """
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighed = members.join(written(weights, "weights"), "rep")
+    weighed = large_join(members, written(weights, "weights"), "rep")
     centre = F.max_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("size_a")), F.struct("weight", "rep"))
     centres = written(weighed.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.*"), "centres")
-    joined = members.join(centres, "bucket").where("rep <> a")
+    joined = large_join(members, centres, "bucket").where("rep <> a")
     fit = 100 * F.least("size_a", "n") >= percent * F.greatest("size_a", "n")
     return joined.where(fit).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
@@ -131,12 +149,12 @@ def open_documents(members: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bucket", F.coalesce("component", "rep").alias("component"))
     parted = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("first")).where("c0 < c1")
     parted = written(parted.select("bucket", "first"), "parted")
-    rest = written(labelled.join(parted, "bucket").select("rep", "n", "first").distinct(), "open")
+    rest = written(large_join(labelled, parted, "bucket").select("rep", "n", "first").distinct(), "open")
     clusters = components(rest.select(F.col("first").alias("a"), F.col("rep").alias("b")))
     return rest.select("rep", "n").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("cluster"))
 
 
-def tree_of_links(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def tree_of_links(ids: list, sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple]:
     """Links that join all linked documents of two blocks. first marks the one block; if it holds all, they are one."""
     sizes = np.array([len(x) for x in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -159,7 +177,7 @@ def tree_of_links(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, pe
     links = []
     for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
         if root[a] != root[b]:
-            links.append((int(ids[a]), int(ids[b])))
+            links.append((ids[a], ids[b]))
             root[root == root[b]] = root[a]
     return links
 
@@ -173,11 +191,34 @@ def blockwise(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = met.select("rep", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+        ids, block = group.column("rep").to_pylist(), group.column("block").to_numpy()
         links = tree_of_links(ids, [x.values.to_numpy() for x in group.column("shingles")], block == group.column("lo")[0].as_py(), percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        kind = group.schema.field("rep").type
+        return pa.table({"a": pa.array([x for x, _ in links], kind), "b": pa.array([x for _, x in links], kind)})
+
+    kind = documents.schema["rep"].dataType.simpleString()
+    return large_join(met, sets, "rep").groupBy("cluster", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
-    return met.join(sets, "rep").groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+def placements(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, set_key, n_shingles, component_id of each row with an id."""
+    rows = docs.select("doc_id", "text").where("doc_id is not null")
+    prints = written(fingerprint(rows, shingle), "prints")
+    one = F.min(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")).alias("one")
+    classes = written(prints.where("set_key is not null").groupBy("set_key").agg(one).select("set_key", "one.*"), "classes")
+    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")  # a written side, as Spark can then split a large bucket
+    members = written(large_join(members, shared, "bucket"), "members")
+    needed = written(members.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    sets = written(shingle_sets(rows, needed, shingle).withColumnRenamed("doc_id", "rep"), "sets")
+
+    links = written(linked(written(star(members, percent), "pairs"), sets, percent), "links")
+    rest = written(open_documents(members, components(links)), "documents")
+    labels = components(links.unionByName(written(blockwise(rest, sets, percent), "more")))
+    discard(shared, members, sets)  # labels are written
+    places = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    placed = prints.select("doc_id", "text_hash", "n_shingles", "set_key").join(places, "set_key", "left")
+    return placed.select("doc_id", "text_hash", "set_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -189,26 +230,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     components are compared in blocks, so that no link within a bucket is lost. Comparisons are on whole sets.
 
     A null or empty text, or one of white space, has an empty set and no link: it is its own component. Rows with a null
-    doc_id are left out. Rows that share a doc_id are placed each by its text. An empty table gives no row.
+    doc_id are left out. Rows that share a doc_id are one node: each is placed by its text, and the links of all count. An
+    empty table gives no row.
     """
-    rows = docs.select("doc_id", "text").where("doc_id is not null")
-    prints = written(fingerprint(rows, shingle), "prints")
-    classes = written(prints.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    own = prints.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
-    members = written(own.select("rep", "n", F.posexplode("bands").alias("band", "hash")).select("rep", "n", F.xxhash64("band", "hash").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size")
-    banded, members = members, written(members.join(written(shared, "shared"), "bucket"), "kept")  # a written side, as Spark can then split a large bucket
-    texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, shingle).withColumnRenamed("doc_id", "rep"), "sets")
-
-    links = written(linked(written(star(members, percent), "pairs"), sets, percent), "links")
-    rest = written(open_documents(members, components(links)), "documents")
-    labels = components(links.unionByName(written(blockwise(rest, sets, percent), "more")))
-    discard(banded, members, sets)  # labels are written
-    places = classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    placed = prints.select("doc_id", "n_shingles", "set_key").join(places, "set_key", "left")
-    placed = placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return placed.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return placements(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +241,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component; documents without an id stay."""
-    placed = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(placed, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keep one document of each component, that of the least doc_id.
+
+    Rows of one doc_id with the same set of shingles, repeated rows among them, are one document, and one of them stays; those
+    with other sets stay beside it. A null or empty text has no copy but rows of its own doc_id and text. Rows with a
+    null doc_id all stay. An empty table stays empty; all columns are kept, whatever their names.
+
+    Only rows whose id a filter takes for one with something to drop are shuffled.
+    """
+    placed = written(placements(docs, SHINGLE, PERCENT), "placed")
+    again = F.count("*").alias("n")
+    of_set = placed.groupBy("doc_id", F.coalesce("set_key", F.lit(b"")).alias("set_key")).agg(again, F.min("text_hash").alias("text_hash"), F.min("component_id").alias("component_id"))
+    judged = written(of_set, "judged")
+    suspects = written(judged.where("n > 1 or doc_id <> component_id").select("doc_id").distinct(), "suspects")
+    shared = spark.sparkContext.broadcast(IdFilter(suspects))
+
+    @F.pandas_udf("boolean")
+    def suspected(hashes: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.maybe(hashes.to_numpy()))
+
+    maybe = F.col("doc_id").isNotNull() & suspected(F.xxhash64("doc_id"))
+    hash_ = unused("text_hash", docs.columns)
+    good = judged.where("doc_id = component_id").select("doc_id", F.col("text_hash").alias(hash_))
+    rest = docs.where(maybe).withColumn(hash_, F.xxhash64("text")).dropDuplicates(["doc_id", hash_])
+    return docs.where(~maybe).unionByName(large_join(rest, good, ["doc_id", hash_], "left_semi").select(*docs.columns))
 
 
 #: Brute force over all pairs of distinct sets that share a shingle; components by repeated least labels.

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import new_path, table
+from tallyscript.llm.common import new_path, table, unused
 
 #: Bytes of a merged file; shards whose sizes are within a factor FANOUT are of one tier; shards that one window orders.
 TARGET_BYTES, FANOUT, LANE_SHARDS = 32 << 20, 4, 4096
