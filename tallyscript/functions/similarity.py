@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyscript.functions.text import plain_words, without_visual
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
 
@@ -18,21 +25,26 @@ def word_set(text: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct words: 1 if both are empty, 0 if one is."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
+    share = bound(F.size(F.array_intersect(a, b)), lambda common: common / (F.size(a) + F.size(b) - common))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
 
 
 def jaccard_v04(a: Column, b: Column) -> Column:
-    return overlap(word_set(F.lower(a)), word_set(F.lower(b)))
+    return bound(F.struct(word_set(F.lower(a)).alias("a"), word_set(F.lower(b)).alias("b")), lambda w: overlap(w["a"], w["b"]))
 
 
 def jaccard_v03(a: Column, b: Column) -> Column:
     """Of spoken words in plain form; raised by a fifth if both texts have at most three distinct words."""
-    pa, pb = plain_words(without_visual(a)), plain_words(without_visual(b))
-    wa, wb = word_set(pa), word_set(pb)
-    score = overlap(wa, wb)
-    raised = F.when((F.size(wa) <= 3) & (F.size(wb) <= 3), F.least(score * 1.2, F.lit(1.0))).otherwise(score)
-    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(pa == pb, 1.0).otherwise(raised)
+
+    def raised(w: Column) -> Column:
+        short = (F.size(w["a"]) <= 3) & (F.size(w["b"]) <= 3)
+        return bound(overlap(w["a"], w["b"]), lambda score: F.when(short, F.least(score * 1.2, F.lit(1.0))).otherwise(score))
+
+    def of_plain(p: Column) -> Column:
+        return F.when(p["a"] == p["b"], 1.0).otherwise(bound(F.struct(word_set(p["a"]).alias("a"), word_set(p["b"]).alias("b")), raised))
+
+    plain = F.struct(plain_words(without_visual(a)).alias("a"), plain_words(without_visual(b)).alias("b"))
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(bound(plain, of_plain))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -48,8 +60,7 @@ def embedding_similarity(a: Column, b: Column) -> Column:
 
 def short_boost(score: Column, a: Column, b: Column) -> Column:
     """Raise the score of short utterances by their mean number of words, up to 1; a null score stays null."""
-    mean = (F.size(words(a)) + F.size(words(b))) / 2
-    raised = F.when(mean <= 3, score * 1.3).when(mean <= 5, score * 1.1).otherwise(score)
+    raised = bound((F.size(words(a)) + F.size(words(b))) / 2, lambda mean: F.when(mean <= 3, score * 1.3).when(mean <= 5, score * 1.1).otherwise(score))
     return F.when(score.isNotNull(), F.least(raised, F.lit(1.0)))
 
 

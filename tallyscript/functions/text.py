@@ -84,6 +84,15 @@ def keeps_context(line: Column) -> Column:
     return line.contains(":") & F.substring(line, 1, 10).rlike("[0-9]")
 
 
+#: Fixed marks of a failed transcript in the older format: those that context leaves out, and the one that assembly does.
+FAILED_CONTEXT_V03, FAILED_PART_V03 = ("[CONSENSUS_FAILED", "[VALIDATION_FAILED"), ("[CONSENSUS_FAILED",)
+
+
 def failed(text: Column) -> Column:
     """Whether a transcript is the text of a failure."""
     return text.startswith("[")
+
+
+def failed_v03(text: Column, marks: tuple[str, ...] = FAILED_CONTEXT_V03) -> Column:
+    """The same by the older format's marks, which let other bracketed texts pass."""
+    return is_metadata(text, marks)

@@ -16,18 +16,22 @@ TOLERANCE = 5
 CHUNK = ("job_id", "chunk_no")
 
 
-def nearest(base: DataFrame, other: DataFrame, keys: tuple[str, ...] = CHUNK, tolerance: int = TOLERANCE) -> DataFrame:
+def nearest(base: DataFrame, other: DataFrame, keys: tuple[str, ...] = CHUNK, tolerance: int = TOLERANCE, differ: str | None = None) -> DataFrame:
     """For each line of base and each run of other the line with the least |seconds|, the first on ties; none beyond tolerance.
 
+    differ: a column of both in which the two lines must differ.
+
     base: keys, base_run, line_no, sec, speaker, content. other: keys, run_no, line_no, sec, speaker, content. Both meet on
     keys and on time slots of the tolerance's width, so a long chunk is joined in many small parts. Out: keys, base_run,
     line_no, run_no, other_line_no, distance, speaker, content, other_speaker, other_content.
     """
     slot = F.floor(F.col("sec") / F.lit(tolerance))
     left = base.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    right = other.select(*keys, "run_no", slot.alias("slot"), F.struct(F.col("line_no").alias("line"), F.col("sec").alias("at"), F.col("speaker").alias("who"), F.col("content").alias("what")).alias("o"))
+    unlike = [F.col(differ).alias("_differ")] if differ else []
+    right = other.select(*keys, "run_no", slot.alias("slot"), *unlike, F.struct(F.col("line_no").alias("line"), F.col("sec").alias("at"), F.col("speaker").alias("who"), F.col("content").alias("what")).alias("o"))
     apart = F.abs(F.col("sec") - F.col("o.at"))
     met = left.join(right, [*keys, "slot"]).where(apart <= tolerance)
+    met = met.where(F.col(differ) != F.col("_differ")) if differ else met
     best = F.min_by(F.struct("o", apart.alias("distance")), F.struct(apart, F.col("o.line")))
     out = met.groupBy(*keys, "base_run", "line_no", "run_no").agg(F.first("speaker").alias("speaker"), F.first("content").alias("content"), best.alias("best"))
     return out.select(*keys, "base_run", "line_no", "run_no", F.col("best.o.line").alias("other_line_no"), F.col("best.distance").alias("distance"), "speaker", "content", F.col("best.o.who").alias("other_speaker"), F.col("best.o.what").alias("other_content"))
@@ -57,11 +61,9 @@ def agreement(lines: DataFrame, runs: DataFrame, keys: tuple[str, ...] = CHUNK)
     A matched pair of lines counts 0.6 for the same speaker, by exact name, and 0.4 times the similarity of content. A
     chunk's only run gets 30, one without lines 0, one without a matched pair 15.
     """
-    texts = runs.select(*keys, "run_no", F.sha2("text", 256).alias("text"))
-    pairs = compared(nearest(as_base(lines), lines, keys), lambda a, b: a == b, jaccard_v03)
-    one, two = texts.select(*keys, F.col("run_no").alias("base_run"), F.col("text").alias("t1")), texts.select(*keys, "run_no", F.col("text").alias("t2"))
-    different = pairs.join(one, [*keys, "base_run"]).join(two, [*keys, "run_no"]).where("t1 <> t2")
-    means = different.groupBy(*keys, F.col("base_run").alias("run_no")).agg(F.avg(F.col("same_speaker") * 0.6 + F.col("similarity") * 0.4).alias("mean"))
+    marked = lines.join(runs.select(*keys, "run_no", F.sha2("text", 256).alias("text_sha")), [*keys, "run_no"])
+    pairs = compared(nearest(as_base(marked), marked, keys, differ="text_sha"), lambda a, b: a == b, jaccard_v03)
+    means = pairs.groupBy(*keys, F.col("base_run").alias("run_no")).agg(F.avg(F.col("same_speaker") * 0.6 + F.col("similarity") * 0.4).alias("mean"))
     counts = runs.groupBy(*keys).agg(F.count("*").alias("n_runs"))
     parsed = lines.select(*keys, "run_no").distinct().withColumn("parsed", F.lit(True))
     score = F.when(F.col("n_runs") <= 1, 30.0).when(F.col("parsed").isNull(), 0.0).otherwise(F.coalesce(30 * F.col("mean"), F.lit(15.0)))

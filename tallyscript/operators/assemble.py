@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscript.functions.text import METADATA_V03, METADATA_V04, ONE_WORD_LINE, QUALITY_MARKS, clock_seconds, failed, is_metadata, keeps_context, lines_of, seconds_clock, strip
+from tallyscript.functions.text import METADATA_V03, METADATA_V04, ONE_WORD_LINE, QUALITY_MARKS, FAILED_PART_V03, clock_seconds, failed, failed_v03, is_metadata, keeps_context, lines_of, seconds_clock, strip
 
 
 def shift_lines(chunks: DataFrame, v03: bool = False) -> DataFrame:
@@ -46,12 +46,12 @@ def context_v03(text: Column) -> Column:
     return F.array_join(last(clean, 50), "\n")
 
 
-def carry_context(chunks: DataFrame) -> DataFrame:
+def carry_context(chunks: DataFrame, v03: bool = False) -> DataFrame:
     """chunks (job_id, chunk_no, text) with the text of the last earlier chunk that did not fail: context_chunk_no, previous, context."""
     before = Window.partitionBy("job_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    good = F.when(~failed(F.col("text")), F.struct("chunk_no", "text"))
+    good = F.when(~(failed_v03 if v03 else failed)(F.col("text")), F.struct("chunk_no", "text"))
     held = chunks.withColumn("held", F.last(good, ignorenulls=True).over(before))
-    return held.select(*chunks.columns, F.col("held.chunk_no").alias("context_chunk_no"), F.col("held.text").alias("previous"), context_v04(F.col("held.text")).alias("context"))
+    return held.select(*chunks.columns, F.col("held.chunk_no").alias("context_chunk_no"), F.col("held.text").alias("previous"), (context_v03 if v03 else context_v04)(F.col("held.text")).alias("context"))
 
 
 def continuity(chunk_no: Column, previous: Column) -> Column:
@@ -102,6 +102,17 @@ def assemble(chunks: DataFrame) -> DataFrame:
     return parts.groupBy("job_id").agg(F.count("*").alias("n_chunks"), F.count_if("bad").alias("n_failed"), joined.alias("document"))
 
 
+def assemble_v03(chunks: DataFrame) -> DataFrame:
+    """chunks (job_id, chunk_no, start_s, text) to job_id, n_chunks, n_left_out, document: empty and failed chunks are left out."""
+    text = strip(F.col("text"))
+    left_out = (text == "") | failed_v03(text, FAILED_PART_V03)
+    head = F.concat(F.lit("--- Chunk "), F.col("chunk_no").cast("string"), F.format_string(" (Starting at %.1f minutes) ---", F.col("start_s") / 60))
+    parts = chunks.select("job_id", "chunk_no", left_out.alias("out"), F.when(~left_out, F.concat_ws("\n", head, shift_text(text, F.col("start_s"), v03=True), F.lit(""))).alias("part"))
+    kept = F.collect_list(F.when(F.col("part").isNotNull(), F.struct("chunk_no", "part")))
+    joined = F.array_join(F.transform(F.array_sort(kept), lambda s: s["part"]), "\n")
+    return parts.groupBy("job_id").agg(F.count("*").alias("n_chunks"), F.count_if("out").alias("n_left_out"), joined.alias("document"))
+
+
 def voice_line(segments: Column, ratio: Column, confidence: Column) -> Column:
     return F.concat(segments.cast("string"), F.format_string(" segments, %.1f%% speech, confidence %.2f", ratio * 100, confidence))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: States of a job, those that begin and end work, file endings of videos.
 STATES = ("queued", "processing", "complete", "failed", "cancelled")
 ENDED = ("complete", "failed", "cancelled")
+#: Field of a job's settings that is not stored.
+SECRET = "apiKey"
 VIDEOS = (".mp4", ".mov", ".avi", ".mkv", ".webm")
 
 
@@ -24,6 +26,13 @@ def by_id(jobs: DataFrame, id_: int) -> DataFrame:
     return jobs.where(F.col("id") == id_)
 
 
+def insert(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """jobs and those of new (id, video_path, prompt_name, config), queued. config, JSON, is stored without its secret; a missing one as {}."""
+    config = F.coalesce(F.from_json("config", "map<string, variant>"), F.from_json(F.lit("{}"), "map<string, variant>"))
+    fresh = new.select("id", "video_path", F.substring_index("video_path", "/", -1).alias("video_filename"), "prompt_name", F.to_json(F.map_filter(config, lambda k, _: k != SECRET)).alias("config_json"), F.lit(STATES[0]).alias("status"))
+    return jobs.unionByName(fresh, allowMissingColumns=True)
+
+
 def lifecycle(events: DataFrame) -> DataFrame:
     """events (id, seq, status, ts, error_message, output_path) to each job's state: status, created_at, started_at, completed_at,
     error_message, output_path. Events of unknown status are left out."""
@@ -50,13 +59,48 @@ def seed(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
+def required(ids: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The distinct ids; reading one that no prompt has is an error."""
+    held = prompts.select("id").distinct().withColumn("_held", F.lit(True))
+    found = ids.select("id").distinct().join(held, "id", "left")
+    return found.select(F.when(F.col("_held"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("Prompt not found: "), F.col("id"))).cast("string")).alias("id"))
+
+
+def prompts_of(ids: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The prompts of these ids; an error if one is missing."""
+    return prompts.join(required(ids, prompts), "id").select(*prompts.columns)
+
+
 def without(prompts: DataFrame, ids: DataFrame) -> DataFrame:
-    return prompts.join(ids, "id", "left_anti")
+    """prompts but for those of these ids; an error if one is missing."""
+    return prompts.join(required(ids, prompts), "id", "left_anti")
+
+
+def save_prompts(prompts: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Upsert by id: a change replaces the prompt of its id whole, a new one is added. updated_at becomes now, and created_at if it is missing in a new one.
+
+    changes has a row per id, with a null id for a new prompt.
+    """
+    known = prompts.select("id", F.lit(True).alias("_known"))
+    made = changes.withColumn("id", F.coalesce("id", F.uuid())).join(known, "id", "left")
+    made = made.withColumn("updated_at", now).withColumn("created_at", F.when(F.col("_known"), F.col("created_at")).otherwise(F.coalesce("created_at", now)))
+    return prompts.join(changes.select("id"), "id", "left_anti").select(*prompts.columns).unionByName(made.select(*prompts.columns))
+
+
+def listing(prompts: DataFrame) -> DataFrame:
+    """key, name, description of each prompt, and a line that shows them."""
+    line = F.concat(F.format_string("  %-20s - ", "id"), "name", F.lit("\n" + " " * 25), "description")
+    return prompts.select(F.col("id").alias("key"), "name", "description", line.alias("line"))
+
+
+def exported(prompts: DataFrame) -> DataFrame:
+    """path, json of each prompt: what another library can import, without id and times."""
+    return prompts.select(F.concat("name", F.lit(".json")).alias("path"), F.to_json(F.struct("name", "description", "prompt_text")).alias("json"))
 
 
 def duplicate(prompts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """prompts and copies of those in wanted (id, new_id, now), by the name of "... (copy)"."""
-    copies = prompts.join(wanted, "id").select(F.col("new_id").alias("id"), F.concat("name", F.lit(" (copy)")).alias("name"), "description", "prompt_text", F.col("now").alias("created_at"), F.col("now").alias("updated_at"))
+    """prompts and copies of those in wanted (id, new_id, now), by the name of "... (copy)"; an error if one is missing."""
+    copies = prompts.join(wanted.join(required(wanted, prompts), "id"), "id").select(F.col("new_id").alias("id"), F.concat("name", F.lit(" (copy)")).alias("name"), "description", "prompt_text", F.col("now").alias("created_at"), F.col("now").alias("updated_at"))
     return prompts.unionByName(copies)
 
 

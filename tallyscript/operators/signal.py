@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 FRAME_S, PERCENTILE, WIDTH, WEIGHTS, SPEECH, SHORTEST_S = 0.02, 0.3, 5, (0.7, 1 - 0.7), 0.6, 0.1
 
 
+def frame_energy(samples: DataFrame, hop: int) -> DataFrame:
+    """samples (stream_id, idx, x) to frames (stream_id, frame_idx, energy): the sum of squares over two hops, a frame beginning at each hop.
+
+    Squares are summed by hop first, so that a stream's samples meet in many small groups. A last, shorter frame is left out.
+    """
+    hops = samples.groupBy("stream_id", F.floor(F.col("idx") / hop).alias("frame_idx")).agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count("*").alias("n")).where(F.col("n") == hop)
+    following = hops.select("stream_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("e").alias("e2"))
+    return hops.join(following, ["stream_id", "frame_idx"]).select("stream_id", "frame_idx", (F.col("e") + F.col("e2")).alias("energy"))
+
+
 def threshold(frames: DataFrame, share: float = PERCENTILE) -> DataFrame:
     """frames (stream_id, frame_idx, energy) with threshold, the stream's percentile, and voiced, 1 where energy is above."""
     limits = frames.groupBy("stream_id").agg(F.percentile("energy", F.lit(share)).alias("threshold"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscript.functions.similarity import bound
 from tallyscript.functions.text import failed, lines_of, strip
 from tallyscript.operators.parsing import KEYS
 
@@ -19,32 +20,44 @@ def content_after_colon(line: Column) -> Column:
     return strip(F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1))
 
 
+def loops(text: Column, compat: bool = True) -> Column:
+    """n_lines, n_contents, most, excessive of a stripped text: a row's contents are sorted and equal neighbours counted."""
+
+    def longest(contents: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("of"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("most"))
+        count = lambda s, c: F.when(s["of"].eqNullSafe(c), s["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.aggregate(F.array_sort(contents), start, lambda s, c: bound(count(s, c), lambda n: F.struct(c.alias("of"), n.alias("n"), F.greatest(s["most"], n).alias("most"))))["most"]
+
+    def counted(lines: Column) -> Column:
+        content = content_after_colon if compat else lambda x: strip(F.regexp_replace(x, r"^\s*\d{1,2}:\d{2}\s+[^:]+:|^[^:]*:", ""))
+        contents = F.transform(F.filter(lines, lambda x: x.contains(":")), content)
+        return bound(contents, lambda c: F.struct(F.size(lines).cast("long").alias("n_lines"), F.size(c).cast("long").alias("n_contents"), longest(c).alias("most")))
+
+    judged = lambda r: (r["n_lines"] >= REPEATED_LINES) & (r["n_contents"] >= REPEATED_CONTENTS) & (r["most"] > r["n_contents"] * REPEATED_SHARE)
+    return bound(bound(lines_of(text), counted), lambda r: F.struct(r["n_lines"].alias("n_lines"), r["n_contents"].alias("n_contents"), r["most"].alias("most"), judged(r).alias("excessive")))
+
+
 def repetition(texts: DataFrame, keys: tuple[str, ...] = KEYS, compat: bool = True) -> DataFrame:
     """keys, n_lines, n_contents, most, excessive: whether one content makes up over 30 % of the lines with a colon.
 
-    compat=False compares what follows clock and speaker instead. Lines are counted by content before they meet in their text.
+    compat=False compares what follows clock and speaker instead. Each text is judged in its row, without a shuffle.
     """
-    lines = texts.where("text is not null").select(*keys, F.explode(lines_of(strip(F.col("text")))).alias("line"))
-    content = content_after_colon(F.col("line")) if compat else strip(F.regexp_replace("line", r"^\s*\d{1,2}:\d{2}\s+[^:]+:|^[^:]*:", ""))
-    counted = lines.groupBy(*keys, F.when(F.col("line").contains(":"), content).alias("content")).agg(F.count("*").alias("n"))
-    has = F.col("content").isNotNull()
-    out = counted.groupBy(*keys).agg(F.sum("n").alias("n_lines"), F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("n_contents"), F.coalesce(F.max(F.when(has, F.col("n"))), F.lit(0)).alias("most"))
-    return out.withColumn("excessive", (F.col("n_lines") >= REPEATED_LINES) & (F.col("n_contents") >= REPEATED_CONTENTS) & (F.col("most") > F.col("n_contents") * REPEATED_SHARE))
+    return texts.where("text is not null").select(*keys, loops(strip(F.col("text")), compat).alias("found")).select(*keys, "found.*")
 
 
 def validate(texts: DataFrame, keys: tuple[str, ...] = KEYS, min_length: int = MIN_LENGTH) -> DataFrame:
-    """keys, text, ok, reason of the first rule that fails."""
-    text = strip(F.coalesce("text", F.lit("")))
+    """keys, text, ok, reason of the first rule that fails. Each text is judged in its row, without a shuffle."""
+    rows = texts.select(*keys, "text", strip(F.coalesce("text", F.lit(""))).alias("_text"))
+    text = F.col("_text")
     reason = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "Empty or invalid transcript")
     for pattern in ERRORS:
         reason = reason.when(text.rlike("(?i)" + pattern), f"Error marker detected: {pattern}")
     reason = reason.when(F.length(text) < min_length, F.concat(F.lit("Transcript too short: "), F.length(text).cast("string"), F.lit(f" chars (min: {min_length})")))
-    structured = F.exists(lines_of(text), lambda x: strip(x).rlike(TIMED) | x.contains(":"))
+    structured = F.exists(lines_of(text), lambda x: x.contains(":") | strip(x).rlike(TIMED))
     reason = reason.when(~structured, "No valid transcript lines with timestamps/speakers found")
-    checked = texts.select(*keys, "text", reason.alias("reason"))
-    looped = repetition(texts, keys).where("excessive").select(*keys, "excessive")
-    reason = F.coalesce("reason", F.when(F.col("excessive"), "Excessive repetition detected (likely AI generation loop)"), F.lit("Valid transcript"))
-    return checked.join(looped, list(keys), "left").select(*keys, "text", (F.col("reason").isNull() & F.col("excessive").isNull()).alias("ok"), reason.alias("reason"))
+    reason = reason.when(loops(text)["excessive"], "Excessive repetition detected (likely AI generation loop)").otherwise("Valid transcript")
+    checked = rows.select(*keys, "text", reason.alias("reason"))
+    return checked.select(*keys, "text", (F.col("reason") == "Valid transcript").alias("ok"), "reason")
 
 
 def suppress_repeats(texts: DataFrame, keys: tuple[str, ...] = KEYS, kept: int = KEPT_REPEATS) -> DataFrame:
@@ -81,13 +94,13 @@ def stop_early(checked: DataFrame, runs: int) -> DataFrame:
     return checked.withColumn("_failed", F.coalesce(F.sum((~F.col("ok")).cast("int")).over(before), F.lit(0))).where(F.col("_failed") < max(runs // 2, 1)).drop("_failed")
 
 
-def unwrap(attempts: DataFrame) -> DataFrame:
+def unwrap(attempts: DataFrame, v03: bool = False) -> DataFrame:
     """attempts (finish_reason, text) with response and error, as a hosted model's answer is taken."""
     reasons = F.create_map(*[F.lit(x) for pair in ((0, "UNSPECIFIED"), (1, "STOP"), (2, "MAX_TOKENS"), (3, "SAFETY"), (4, "RECITATION")) for x in pair])
     why = F.coalesce(F.try_element_at(reasons, F.col("finish_reason")), F.concat(F.lit("UNKNOWN("), F.col("finish_reason").cast("string"), F.lit(")")))
     stopped = F.concat(F.lit("Generation stopped due to "), why)
-    response = F.when(F.col("finish_reason") == 1, F.col("text")).when(F.col("text").isNotNull(), F.concat(F.lit("[PARTIAL_VAD: "), stopped, F.lit("]\n\n"), F.col("text")))
-    error = F.when(response.isNull(), F.when(F.col("finish_reason") == 1, "No content parts in response").otherwise(stopped))
+    response = F.when(F.col("finish_reason") == 1, F.col("text")).when(F.col("text").isNotNull(), F.concat(F.lit("[PARTIAL: " if v03 else "[PARTIAL_VAD: "), stopped, F.lit("]\n\n"), F.col("text")))
+    error = F.when(response.isNull(), F.when(F.col("finish_reason") == 1, "No content parts in response").otherwise(F.concat(stopped, F.lit(" with no content")) if v03 else stopped))
     return attempts.withColumn("response", response).withColumn("error", error)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.operators import assemble, chunking, consensus, cost, jobs, parsing, validate
-from tallyscript.plans.queries import JOB_CHUNKS_SQL, PROGRESS_SQL, SHIFT_SQL, V03_SQL, chunks_of_jobs, lines_v03, query
+from tallyscript.operators import assemble, chunking, consensus, cost, jobs, parsing, signal, validate
+from tallyscript.plans.queries import FLAGGED_SQL, JOB_CHUNKS_SQL, PLAIN_FLAG_SQL, PROGRESS_SQL, SHIFT_SQL, V03_SQL, V04_SQL, chunks_of_jobs, flagged_v04, lines_v03, query, rounded, shared_folder
 from tallyscript.sources import derived, tables
 from tallyscript.sources.derived import CALLS_SQL, JOBS_SQL, RUNS_SQL
 from tallyscript.sources.tables import table
@@ -131,10 +131,10 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", progress.percent_done(F.col("l_linenumber"), F.col("l_suppkey") % 8).alias("percent"))
 
 
-@query("SELECT user_id % 50 AS job_id, event_id AS seq, 'error' AS kind, 'Process exited with code ' || event_id % 3 AS message FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 0")
+@query("SELECT user_id AS job_id, event_id AS seq, 'error' AS kind, 'Process exited with code ' || event_id % 3 AS message FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 0")
 def exit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 3)
-    return progress.exit_events(table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("job_id"), F.col("event_id").alias("seq"), code.alias("code")))
+    return progress.exit_events(table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), code.alias("code")))
 
 
 @query("SELECT l_orderkey, l_linenumber, abs(l_tax * 100 - l_discount * 100) > 1 AS duration_off, l_quantity * 2 > 95 AS too_large, l_quantity * 2 < 0.1 AS too_small FROM lineitem")
@@ -181,7 +181,7 @@ def distinct_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_v04(derived.runs(spark, sf_dir)).groupBy("job_id", "chunk_no").agg(F.count_distinct("speaker").alias("speakers"), F.count("*").alias("n_lines"))
 
 
-@query(f"WITH {PROGRESS_SQL}, e AS (SELECT job_id, seq, kind, message FROM parsed UNION ALL SELECT user_id % 50, event_id, 'error', 'Process exited with code ' || event_id % 3 FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 0) SELECT job_id, kind, count(*) AS n, max(seq) AS last_seq FROM e GROUP BY ALL")
+@query(f"WITH {PROGRESS_SQL}, e AS (SELECT job_id, seq, kind, message FROM parsed UNION ALL SELECT user_id, event_id, 'error', 'Process exited with code ' || event_id % 3 FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 0) SELECT job_id, kind, count(*) AS n, max(seq) AS last_seq FROM e GROUP BY ALL")
 def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = progress.parse(derived.progress_log(spark, sf_dir)).select("job_id", "seq", "kind", "message")
     return parsed.unionByName(exit_events(spark, sf_dir)).groupBy("job_id", "kind").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
@@ -192,3 +192,114 @@ def settings_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("key"), "value", F.col("ts").alias("updated_at"))
     held = jobs.as_map(jobs.latest(rows, rows.limit(0), "key", "updated_at"))
     return held.select(F.explode("settings").alias("key", "value"))
+
+
+# Forms of the older format
+
+
+@query("""WITH a AS (SELECT o_orderkey AS attempt, o_orderkey % 6 AS r, CASE WHEN o_orderkey % 5 <> 0 THEN 't' || o_orderkey END AS t FROM orders), w AS (SELECT *, 'Generation stopped due to ' || coalesce(['UNSPECIFIED', 'STOP', 'MAX_TOKENS', 'SAFETY', 'RECITATION'][r + 1], 'UNKNOWN(' || r || ')') AS s FROM a)
+SELECT attempt, CASE WHEN r = 1 THEN t WHEN t IS NOT NULL THEN '[PARTIAL: ' || s || ']' || chr(10) || chr(10) || t END AS response, CASE WHEN t IS NULL THEN CASE WHEN r = 1 THEN 'No content parts in response' ELSE s || ' with no content' END END AS error FROM w""")
+def unwrap_responses_v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.unwrap(attempts(spark, sf_dir).withColumn("text", F.when(F.col("attempt") % 5 != 0, F.col("text"))), v03=True).select("attempt", "response", "error")
+
+
+@query(
+    rf"""WITH {JOB_CHUNKS_SQL}, held AS (SELECT job_id, chunk_no, last_value(CASE WHEN NOT (starts_with(text, '[CONSENSUS_FAILED') OR starts_with(text, '[VALIDATION_FAILED')) THEN {{'n': chunk_no, 't': text}} END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM job_chunks)
+SELECT job_id, chunk_no, coalesce(h.n, -1)::BIGINT AS context_chunk_no, array_to_string(list_filter(list_transform(string_split(h.t, chr(10)), lambda x: trim(x)), lambda x: contains(x, ':') AND regexp_matches(substr(x, 1, 10), '[0-9]'))[-50:], chr(10)) AS context FROM held"""
+)
+def carry_context_v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.carry_context(chunks_of_jobs(spark, sf_dir), v03=True).select("job_id", "chunk_no", F.coalesce("context_chunk_no", F.lit(-1)).alias("context_chunk_no"), "context")
+
+
+@query(
+    rf"""WITH {JOB_CHUNKS_SQL}, {SHIFT_SQL}, body AS (SELECT job_id, chunk_no, string_agg(line, chr(10) ORDER BY line_no) AS body FROM shifted WHERE NOT (starts_with(line, 'Prompt:') OR starts_with(line, 'Chunk size:') OR starts_with(line, 'Validation:')) GROUP BY ALL),
+p AS (SELECT c.job_id, c.chunk_no, starts_with(text, '[CONSENSUS_FAILED') AS gone, '--- Chunk ' || c.chunk_no || printf(' (Starting at %.1f minutes) ---', start_s / 60) || chr(10) || body || chr(10) AS part FROM job_chunks c LEFT JOIN body ON body.job_id = c.job_id AND body.chunk_no = c.chunk_no)
+SELECT job_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_left_out, coalesce(string_agg(part, chr(10) ORDER BY chunk_no) FILTER (NOT gone), '') AS document FROM p GROUP BY job_id"""
+)
+def assemble_transcript_v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.assemble_v03(chunks_of_jobs(spark, sf_dir))
+
+
+@query(f"WITH {V04_SQL}, {PLAIN_FLAG_SQL}, f AS (SELECT {FLAGGED_SQL} FROM flagged) SELECT job_id, chunk_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM f GROUP BY ALL")
+def consensus_v04_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagged lines of each chunk, formatted and joined."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"])
+    return flagged_v04(spark, sf_dir).groupBy("job_id", "chunk_no").agg(F.array_join(ordered, "\n").alias("text"))
+
+
+# Jobs and prompts as tables
+
+
+@query("SELECT c_custkey AS id, '/in/' || c_name || '.mp4' AS video_path, c_name || '.mp4' AS video_filename, c_mktsegment AS prompt_name, CASE WHEN c_custkey % 4 = 0 THEN '{}' ELSE '{\"model\":\"m\",\"runs\":' || c_custkey % 5 || '}' END AS config_json, 'queued' AS status FROM customer")
+def insert_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = F.when(F.col("c_custkey") % 4 != 0, F.to_json(F.struct(F.lit("k").alias("apiKey"), F.lit("m").alias("model"), (F.col("c_custkey") % 5).alias("runs"))))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("/in/"), "c_name", F.lit(".mp4")).alias("video_path"), F.col("c_mktsegment").alias("prompt_name"), config.alias("config"))
+    held = spark.createDataFrame([], "id long, video_path string, video_filename string, prompt_name string, config_json string, status string")
+    return jobs.insert(held, new)
+
+
+@query(f"WITH {JOBS_SQL} SELECT id, status, created_at, minutes FROM jobs WHERE id = (SELECT max(l_orderkey) FROM lineitem)")
+def job_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    return jobs.by_id(derived.jobs(spark, sf_dir), wanted)
+
+
+@query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS description, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 't0' WHEN p_partkey % 3 = 0 THEN 't1' ELSE 't0' END AS created_at, CASE WHEN p_partkey % 3 = 0 THEN 't1' ELSE 't0' END AS updated_at FROM part")
+def prompt_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third prompt is saved: of these, even ones are there and are replaced, odd ones are new."""
+    key = F.col("id").cast("long")
+    prompts = derived.prompts(spark, sf_dir).withColumns({"created_at": F.lit("t0"), "updated_at": F.lit("t0")})
+    held = prompts.where((key % 3 != 0) | (key % 2 == 0))
+    changes = prompts.where(key % 3 == 0).select("id", F.concat(F.lit("new "), "name").alias("name"), F.lit(None).cast("string").alias("description"), "prompt_text", F.when(key % 2 == 0, F.lit("t0")).alias("created_at"), F.lit(None).cast("string").alias("updated_at"))
+    return jobs.save_prompts(held, changes, F.lit("t1")).select("id", "name", "description", "created_at", "updated_at")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_partkey % 7 = 2")
+def prompt_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = derived.prompts(spark, sf_dir)
+    return jobs.prompts_of(held.where("cast(id as long) % 7 = 2").select("id"), held).select("id", "name")
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name AS name, p_type AS description, printf('  %-20s - ', p_partkey::VARCHAR) || p_name || chr(10) || repeat(' ', 25) || p_type AS line FROM part")
+def prompt_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.listing(derived.prompts(spark, sf_dir))
+
+
+@query("SELECT p_name || '.json' AS path, p_name AS name, p_type AS description FROM part")
+def prompt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported prompts, read back from their JSON."""
+    fields = F.from_json("json", "name string, description string, prompt_text string")
+    return jobs.exported(derived.prompts(spark, sf_dir)).select("path", fields.alias("p")).select("path", "p.name", "p.description")
+
+
+@query("SELECT p_partkey, p_name || chr(10) || chr(10) || 'VAD CONTEXT: Standard chunking mode (VAD preprocessing unavailable).' || chr(10) || chr(10) || CASE WHEN p_size = 1 THEN 'SEQUENCE CONTEXT: This is the start of the video - begin transcription from the beginning.' ELSE 'SEQUENCE CONTEXT: Continuing from chunk ' || p_size - 1 || ' (previous context unavailable).' END AS prompt FROM part")
+def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("double")
+    whole = assemble.full_prompt(F.col("p_name"), assemble.voice_context(F.lit(True), none, none, none), assemble.continuity(F.col("p_size"), F.lit("")))
+    return table(spark, sf_dir, "part").select("p_partkey", whole.alias("prompt"))
+
+
+# Sinks, and energy of samples
+
+
+@query(rf"WITH {JOB_CHUNKS_SQL}, {SHIFT_SQL} SELECT job_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM shifted GROUP BY job_id")
+def transcript_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted lines, written as text by job and read back."""
+    folder = shared_folder(spark, "transcripts")
+    tables.write_transcripts(assemble.shift_lines(chunks_of_jobs(spark, sf_dir)), folder)
+    return tables.read_transcripts(spark, folder).groupBy("job_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"WITH {JOB_CHUNKS_SQL} SELECT job_id, count(*) AS n_chunks, count(*) FILTER (starts_with(text, '[')) AS n_failed FROM job_chunks GROUP BY job_id")
+def summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of each job, written as JSON and read back."""
+    folder = shared_folder(spark, "summaries")
+    rows = assemble.assemble(chunks_of_jobs(spark, sf_dir).withColumn("voice_line", F.lit(None).cast("string"))).drop("document")
+    tables.write_summaries(rows, folder)
+    return tables.read_summaries(spark, folder, rows.schema)
+
+
+@query("WITH s AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS idx, value / 100 AS x FROM events WHERE user_id IS NOT NULL), h AS (SELECT stream_id, idx // 4 AS frame_idx, sum(x * x) AS e FROM s GROUP BY ALL HAVING count(*) = 4) SELECT a.stream_id, a.frame_idx, round(a.e + b.e, 6) AS energy FROM h a JOIN h b ON b.stream_id = a.stream_id AND b.frame_idx = a.frame_idx + 1")
+def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = derived.frames(spark, sf_dir).select("stream_id", F.col("frame_idx").cast("long").alias("idx"), (F.col("energy") / 100).alias("x"))
+    return rounded(signal.frame_energy(samples, 4), "energy")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from tallyscript.operators import align, assemble, chunking, consensus, cost, jo
 from tallyscript.plans.voice import VOICE_SQL, runs_voice
 from tallyscript.sources import derived
 from tallyscript.sources.derived import CALLS_SQL, FRAMES_SQL, JOBS_SQL, RUNS_SQL, STREAMS_SQL
-from tallyscript.sources.tables import table
+from tallyscript.sources.tables import event_lines, table
 from tallyscript.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,17 +53,17 @@ def parse_lines_v04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of_runs(spark, sf_dir)
 
 
-@query(rf"""WITH bracketed AS (SELECT doc_id, printf('%02d:%02d', doc_id // 60 % 60, doc_id % 60) || ' ' || lang || ': ' || regexp_replace(split_part(text, chr(10), 1), '(\w+) (\w+)', '\1 [\2]') AS line FROM documents),
-p AS (SELECT doc_id, regexp_extract(line, '^(\d{{1,2}}:\d{{2}})\s+([^:]+):\s*(.*)$', 1) AS ts, regexp_extract(line, '^(\d{{1,2}}:\d{{2}})\s+([^:]+):\s*(.*)$', 2) AS speaker, regexp_extract(line, '^(\d{{1,2}}:\d{{2}})\s+([^:]+):\s*(.*)$', 3) AS c FROM bracketed)
-SELECT doc_id, 0 AS line_no, ts, string_split(ts, ':')[1]::INT * 60 + string_split(ts, ':')[2]::INT AS sec, {STRIP.format("speaker")} AS speaker, {STRIP.format("regexp_replace(" + STRIP.format("c") + r", '\[([^\]]+)\]', '', 'g')")} AS content, array_to_string(regexp_extract_all(c, '\[([^\]]+)\]', 1), ' ') AS visual FROM p WHERE ts <> ''""")
+@query(rf"""WITH bracketed AS (SELECT doc_id, i - 1 AS line_no, printf('%02d:%02d', doc_id // 60 % 60, doc_id % 60) || ' ' || lang || ': ' || regexp_replace(l[i], '(\w+) (\w+)', '\1 [\2]') AS line FROM (SELECT doc_id, lang, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))),
+p AS (SELECT doc_id, line_no, regexp_extract(line, '^(\d{{1,2}}:\d{{2}})\s+([^:]+):\s*(.*)$', 1) AS ts, regexp_extract(line, '^(\d{{1,2}}:\d{{2}})\s+([^:]+):\s*(.*)$', 2) AS speaker, regexp_extract(line, '^(\d{{1,2}}:\d{{2}})\s+([^:]+):\s*(.*)$', 3) AS c FROM bracketed)
+SELECT doc_id, line_no::INT AS line_no, ts, string_split(ts, ':')[1]::INT * 60 + string_split(ts, ':')[2]::INT AS sec, {STRIP.format("speaker")} AS speaker, {STRIP.format("regexp_replace(" + STRIP.format("c") + r", '\[([^\]]+)\]', '', 'g')")} AS content, array_to_string(regexp_extract_all(c, '\[([^\]]+)\]', 1), ' ') AS visual FROM p WHERE ts <> ''""")
 def parse_lines_v03(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    first = F.regexp_replace(F.substring_index("text", "\n", 1), r"^(.*?)(\w+) (\w+)", "$1$2 [$3]")
-    line = F.concat(tx.seconds_clock(F.col("doc_id") % 3600), F.lit(" "), F.col("lang"), F.lit(": "), first)
-    return parsing.parse_v03(docs.select("doc_id", line.alias("text")), ("doc_id",))
+    head = F.concat(tx.seconds_clock(F.col("doc_id") % 3600), F.lit(" "), F.col("lang"), F.lit(": "))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.col("head"), F.regexp_replace(x, r"^(.*?)(\w+) (\w+)", "$1$2 [$3]")))
+    return parsing.parse_v03(docs.withColumn("head", head).select("doc_id", F.array_join(lines, "\n").alias("text")), ("doc_id",))
 
 
-@query("SELECT event_id, printf('%02d:%02d', event_id // 60, event_id % 60) AS clock, event_id::DOUBLE AS seconds FROM events WHERE event_id < 359940")
+@query("SELECT event_id, printf('%02d:%02d', event_id // 60, event_id % 60) AS clock, event_id::DOUBLE AS seconds FROM events")
 def clock_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = tx.seconds_clock(F.col("event_id"))
     return table(spark, sf_dir, "events").select("event_id", clock.alias("clock"), tx.clock_seconds(clock).alias("seconds"))
@@ -438,14 +438,18 @@ def chunk_vad_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Assembly
 
 
+#: How failed chunks begin: in either format, in the older one only, and in the newer one only.
+FAILURES = ("[CONSENSUS_FAILED] ", "[VALIDATION_FAILED] ", "[FAILED] ")
+
+
 def chunks_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first run of each chunk, of which every ninth failed; a chunk starts two minutes after the one before."""
-    runs = derived.runs(spark, sf_dir).where("run_no = 0")
-    text = F.when(F.col("chunk_no") % 9 == 4, F.concat(F.lit("[FAILED] "), F.col("text"))).otherwise(F.col("text"))
-    return runs.select("job_id", "chunk_no", (F.floor(F.col("chunk_no") / 10) * 120.0).alias("start_s"), text.alias("text"))
+    """Every run of each chunk, a job for each run; every ninth chunk failed; a chunk starts two minutes after the one before."""
+    runs = derived.runs(spark, sf_dir).withColumn("job_id", F.col("job_id") * derived.RUNS + F.col("run_no"))
+    mark = F.when((F.col("job_id") + F.col("chunk_no")) % 9 == 4, F.element_at(F.array(*map(F.lit, FAILURES)), (F.col("chunk_no") % 3 + 1).cast("int")))
+    return runs.select("job_id", "chunk_no", ((F.col("chunk_no") - 1) * 120.0).alias("start_s"), F.concat(F.coalesce(mark, F.lit("")), "text").alias("text"))
 
 
-JOB_CHUNKS_SQL = f"{RUNS_SQL}, job_chunks AS (SELECT job_id, chunk_no, (chunk_no // 10) * 120.0::DOUBLE AS start_s, CASE WHEN chunk_no % 9 = 4 THEN '[FAILED] ' ELSE '' END || text AS text FROM runs WHERE run_no = 0)"
+JOB_CHUNKS_SQL = f"{RUNS_SQL}, job_chunks AS (SELECT job_id * 3 + run_no AS job_id, chunk_no, (chunk_no - 1) * 120.0::DOUBLE AS start_s, CASE WHEN (job_id * 3 + run_no + chunk_no) % 9 = 4 THEN ['[CONSENSUS_FAILED] ', '[VALIDATION_FAILED] ', '[FAILED] '][chunk_no % 3 + 1] ELSE '' END || text AS text FROM runs)"
 SHIFT_SQL = r"""cl AS (SELECT job_id, chunk_no, start_s, i - 1 AS line_no, regexp_replace(l[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT job_id, chunk_no, start_s, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT job_id, chunk_no, start_s, string_split(text, chr(10)) AS l FROM job_chunks))),
 shifted AS (SELECT job_id, chunk_no, line_no::INT AS line_no, CASE WHEN regexp_matches(line, '^(\d{1,2}:\d{2})\s+(\w+):\s*(.*)$') THEN printf('%02d:%02d', (start_s::BIGINT + split_part(line, ':', 1)::BIGINT * 60 + substr(split_part(line, ':', 2), 1, 2)::BIGINT) // 60, (start_s::BIGINT + split_part(line, ':', 1)::BIGINT * 60 + substr(split_part(line, ':', 2), 1, 2)::BIGINT) % 60) || ' ' || regexp_extract(line, '^(\d{1,2}:\d{2})\s+(\w+):\s*(.*)$', 2) || ': ' || regexp_extract(line, '^(\d{1,2}:\d{2})\s+(\w+):\s*(.*)$', 3) ELSE line END AS line
   FROM cl WHERE line <> '' AND NOT (starts_with(line, '===') OR starts_with(line, '---') OR starts_with(line, 'Generated:') OR starts_with(line, 'Model:')))"""
@@ -573,7 +577,7 @@ def admit_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Progress
 
-PROGRESS_SQL = """ev AS (SELECT user_id % 50 AS job_id, event_id AS seq, event_type AS t, event_id % 23 = 0 AS err, event_id % 17 = 0 AS blank, event_id % 12 + 1 AS c, event_id FROM events WHERE user_id IS NOT NULL),
+PROGRESS_SQL = """ev AS (SELECT user_id AS job_id, event_id AS seq, event_type AS t, event_id % 23 = 0 AS err, event_id % 17 = 0 AS blank, event_id % 12 + 1 AS c, event_id FROM events WHERE user_id IS NOT NULL),
 js AS (SELECT *, '{"type":"' || t || '","chunk":' || c || ',"total":12,"percent":' || c * 100 // 12 || ',"status":"step ' || c || '","message":"m' || event_id % 100 || '","level":"info"}' AS j FROM ev),
 ln AS (SELECT *, CASE t WHEN 'view' THEN 'PROGRESS:' || j WHEN 'purchase' THEN 'COMPLETE:' || j WHEN 'error' THEN 'ERROR:' || j WHEN 'signup' THEN 'LOG:' || CASE WHEN event_id % 3 = 0 THEN '{"type":' ELSE j END ELSE 'line ' || event_id END AS line FROM js WHERE NOT blank),
 parsed AS (SELECT job_id, seq, CASE WHEN err OR t IN ('click', 'signup') THEN 'log' WHEN t = 'view' THEN 'progress' WHEN t = 'purchase' THEN 'complete' ELSE 'error' END AS kind, CASE WHEN NOT err AND t <> 'click' THEN c END AS chunk, CASE WHEN NOT err AND t <> 'click' THEN 12 END AS total, CASE WHEN NOT err AND t <> 'click' THEN c * 100 // 12 END AS percent, CASE WHEN NOT err AND t <> 'click' THEN 'step ' || c END AS status, CASE WHEN err OR t = 'click' THEN line ELSE 'm' || event_id % 100 END AS message, CASE WHEN err THEN 'error' ELSE 'info' END AS level FROM ln WHERE err OR NOT (t = 'signup' AND event_id % 3 = 0))"""
@@ -594,17 +598,15 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LATEST_SQL)
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """progress_latest as a stream over the events' files, run until it has read what is there."""
-    events = table(spark, sf_dir, "events")
-    feed = spark.readStream.schema(events.schema).format("parquet").load(f"{sf_dir}/event*.parquet")
-    name = "progress_" + tempfile.mktemp(dir="").strip("/")
-    run = progress.follow(derived.progress_lines(feed), checkpoint_folder(spark, name), name)
-    run.processAllAvailable()
-    run.stop()
-    return spark.table(name)
-
-
-def checkpoint_folder(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's state beside other shared files."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/{name}" if root else tempfile.mkdtemp(prefix="spark-stream-")
+    """progress_latest as a stream: the lines are written as text files, and followed until all that is there has been read."""
+    folder = shared_folder(spark, "progress")
+    progress.to_text(derived.progress_log(spark, sf_dir)).write.text(f"{folder}/lines")
+    lines = progress.from_text(event_lines(spark, f"{folder}/lines"))
+    progress.follow(lines, f"{folder}/checkpoint", f"{folder}/state").awaitTermination()
+    return progress.followed(spark, f"{folder}/state")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the driver and all executors see it: below the checkpoints, or the warehouse if the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

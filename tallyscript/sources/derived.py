@@ -13,8 +13,8 @@ HOP_S, ASR_EVERY, ASR_FRAMES = 0.01, 25, 10
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job_id, chunk_no, run_no, text: three differing transcripts of every conversation."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("job_id"), F.col("conv_id").alias("chunk_no"), "turn", "role", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1).alias("words"))
+    """job_id, chunk_no, run_no, text: three differing transcripts of every conversation; ten conversations are a job."""
+    turns = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 10).alias("job_id"), (F.col("conv_id") % 10 + 1).alias("chunk_no"), "turn", "role", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1).alias("words"))
     rows = turns.withColumn("run_no", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))).where("(turn + chunk_no + run_no) % 7 <> 0")
     sec = F.greatest(F.lit(0).cast("long"), F.col("turn") * 7 + F.col("chunk_no") % 5 + F.col("run_no") * (F.col("turn") % 3 - 1) * 2)
     speaker = F.when((F.col("turn") * 3 + F.col("chunk_no") + F.col("run_no")) % 11 == 0, "system").otherwise(F.col("role"))
@@ -25,7 +25,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS_SQL = r"""
-turns AS (SELECT conv_id % 10 AS job_id, conv_id AS chunk_no, turn, role, string_split(replace(text, chr(10), ' '), ' ') AS words FROM conversations),
+turns AS (SELECT conv_id // 10 AS job_id, conv_id % 10 + 1 AS chunk_no, turn, role, string_split(replace(text, chr(10), ' '), ' ') AS words FROM conversations),
 turn_runs AS (
   SELECT job_id, chunk_no, run_no, turn, greatest(0, turn * 7 + chunk_no % 5 + run_no * (turn % 3 - 1) * 2) AS sec, CASE WHEN (turn * 3 + chunk_no + run_no) % 11 = 0 THEN 'system' ELSE role END AS speaker, array_to_string(words[run_no + 1 :], ' ') AS content
   FROM turns, (SELECT unnest([0, 1, 2]) AS run_no) WHERE (turn + chunk_no + run_no) % 7 <> 0
@@ -62,8 +62,8 @@ STREAMS_SQL = "streams AS (SELECT stream_id, count(*) * 0.01::DOUBLE AS duration
 
 
 def calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(segments, streams) of customers: an order is a speech segment, its time the day of the year, its length from the price."""
-    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("stream_id"), "o_orderkey", (F.dayofyear("o_orderdate") * 4.0).alias("start_s"), F.col("o_totalprice"))
+    """(segments, streams), a stream for each customer: an order is a speech segment, its time the day of the year, its length from the price."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream_id"), "o_orderkey", (F.dayofyear("o_orderdate") * 4.0).alias("start_s"), F.col("o_totalprice"))
     rows = orders.select("stream_id", "o_orderkey", "start_s", (F.col("start_s") + 1 + F.floor(F.col("o_totalprice")) % 40 / 8).alias("end_s"), (F.floor(F.col("o_totalprice")) % 100 / 100).alias("confidence"))
     order = Window.partitionBy("stream_id").orderBy("start_s", "end_s", "o_orderkey")
     segments = rows.select("stream_id", F.row_number().over(order).alias("seg_no"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration"), "confidence")
@@ -71,7 +71,7 @@ def calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 CALLS_SQL = """
-call_rows AS (SELECT o_custkey % 200 AS stream_id, o_orderkey, dayofyear(o_orderdate) * 4.0::DOUBLE AS start_s, dayofyear(o_orderdate) * 4.0::DOUBLE + 1 + (floor(o_totalprice)::BIGINT % 40) / 8 AS end_s, (floor(o_totalprice)::BIGINT % 100) / 100 AS confidence FROM orders),
+call_rows AS (SELECT o_custkey AS stream_id, o_orderkey, dayofyear(o_orderdate) * 4.0::DOUBLE AS start_s, dayofyear(o_orderdate) * 4.0::DOUBLE + 1 + (floor(o_totalprice)::BIGINT % 40) / 8 AS end_s, (floor(o_totalprice)::BIGINT % 100) / 100 AS confidence FROM orders),
 segments AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_s, end_s, o_orderkey)::INT AS seg_no, start_s, end_s, end_s - start_s AS duration, confidence FROM call_rows),
 streams AS (SELECT stream_id, max(end_s) + stream_id % 7 AS duration_s FROM segments GROUP BY stream_id)"""
 
@@ -86,7 +86,7 @@ def progress_lines(events: DataFrame) -> DataFrame:
     chunk, total = F.col("event_id") % 12 + 1, F.lit(12)
     json = F.format_string('{"type":"%s","chunk":%d,"total":%d,"percent":%d,"status":"step %d","message":"m%d","level":"info"}', "event_type", chunk, total, F.floor(chunk * 100 / total), chunk, F.col("event_id") % 100)
     raw = F.when(F.col("event_id") % 17 == 0, "").when(F.col("event_type") == "view", F.concat(F.lit("PROGRESS:"), json)).when(F.col("event_type") == "purchase", F.concat(F.lit("COMPLETE:"), json)).when(F.col("event_type") == "error", F.concat(F.lit("ERROR:"), json)).when(F.col("event_type") == "signup", F.concat(F.lit("LOG:"), F.when(F.col("event_id") % 3 == 0, '{"type":').otherwise(json))).otherwise(F.concat(F.lit("  line "), F.col("event_id").cast("string")))
-    return e.select((F.col("user_id") % 50).alias("job_id"), F.col("event_id").alias("seq"), raw.alias("raw"), F.when(F.col("event_id") % 23 == 0, "stderr").otherwise("stdout").alias("source"))
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), raw.alias("raw"), F.when(F.col("event_id") % 23 == 0, "stderr").otherwise("stdout").alias("source"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,5 +45,15 @@ def write_transcripts(rows: DataFrame, path: str) -> None:
     rows.select("job_id", "line").write.partitionBy("job_id").text(path)
 
 
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """What write_transcripts() wrote: job_id, line."""
+    return spark.read.schema("value string, job_id long").text(path).select("job_id", F.col("value").alias("line"))
+
+
 def write_summaries(rows: DataFrame, path: str) -> None:
+    """Sink: a JSON object per row."""
     rows.write.json(path)
+
+
+def read_summaries(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed prefixes of event lines, and the fields of their JSON.
@@ -49,6 +49,31 @@ def percent_done(chunk: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(chunk * 100, total).cast("int"), F.lit(0))
 
 
-def follow(raw: DataFrame, checkpoint: str, table: str):
-    """Start a query that keeps latest_state of a stream of raw lines in a memory table; a row of state a job."""
-    return latest_state(parse(raw)).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).start()
+def from_text(lines: DataFrame) -> DataFrame:
+    """Lines (raw) of tab-separated job, number, source and text to job_id, seq, source, raw."""
+    part = lambda k: F.element_at(F.split("raw", "\t", 4), k)
+    return lines.select(part(1).cast("long").alias("job_id"), part(2).cast("long").alias("seq"), part(3).alias("source"), part(4).alias("raw"))
+
+
+def to_text(log: DataFrame) -> DataFrame:
+    """The reverse: value."""
+    return log.select(F.concat_ws("\t", "job_id", "seq", "source", "raw").alias("value"))
+
+
+def follow(raw: DataFrame, checkpoint: str, path: str):
+    """Start a query that keeps latest_state of a stream of raw lines, a row a job, as Parquet files below path: a folder per batch, the last one holds.
+
+    It reads what is there and ends. The state is one row a job, in Spark's state store under checkpoint.
+    """
+
+    def keep(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+
+    return latest_state(parse(raw)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def followed(spark: SparkSession, path: str) -> DataFrame:
+    """The state that follow() left last."""
+    states = spark.read.parquet(path)
+    last = states.agg(F.max("batch")).first()[0]
+    return states.where(F.col("batch") == last).drop("batch")

@@ -104,6 +104,8 @@ def test_attempts(spark):
     got = validate.unwrap(answers).collect()
     assert [r.response for r in got] == ["x", "[PARTIAL_VAD: Generation stopped due to MAX_TOKENS]\n\ny", None]
     assert got[2].error == "Generation stopped due to UNKNOWN(9)"
+    old = validate.unwrap(answers, v03=True).collect()
+    assert [r.response for r in old] == ["x", "[PARTIAL: Generation stopped due to MAX_TOKENS]\n\ny", None] and old[2].error == "Generation stopped due to UNKNOWN(9) with no content"
 
 
 def test_smooth_and_threshold(spark):
@@ -155,6 +157,67 @@ def test_shift_and_context(spark):
     assert (whole.n_chunks, whole.n_failed) == (3, 1) and "❌ CHUNK 2 FAILED:" in whole.document and "02:05 A: hi" in whole.document
 
 
+def test_older_failures(spark):
+    texts = ["00:01 A: one", "[VALIDATION_FAILED] x", "[CONSENSUS_FAILED] y", "[noise] 00:02 B: two", "00:03 C: three"]
+    chunks = spark.createDataFrame([(1, i + 1, i * 60.0, t) for i, t in enumerate(texts)], "job_id long, chunk_no int, start_s double, text string")
+    assert [r.context_chunk_no for r in assemble.carry_context(chunks, v03=True).orderBy("chunk_no").collect()] == [None, 1, 1, 1, 4]
+    assert [r.context_chunk_no for r in assemble.carry_context(chunks).orderBy("chunk_no").collect()] == [None, 1, 1, 1, 1]
+    whole = assemble.assemble_v03(chunks).first()
+    assert (whole.n_chunks, whole.n_left_out) == (5, 1)
+    assert whole.document == "--- Chunk 1 (Starting at 0.0 minutes) ---\n00:01 A: one\n\n--- Chunk 2 (Starting at 1.0 minutes) ---\n[VALIDATION_FAILED] x\n\n--- Chunk 4 (Starting at 3.0 minutes) ---\n[noise] 00:02 B: two\n\n--- Chunk 5 (Starting at 4.0 minutes) ---\n04:03 C: three\n"
+
+
+def test_insert_drops_the_secret(spark):
+    held = spark.createDataFrame([(1, "complete")], "id long, status string")
+    new = spark.createDataFrame([(2, "/a/b.mp4", "basic", '{"apiKey":"k","runs":3,"vad":{"on":true}}'), (3, "c.mov", "basic", None)], "id long, video_path string, prompt_name string, config string")
+    rows = {r.id: r for r in jobs.insert(held, new).collect()}
+    assert rows[1].status == "complete" and (rows[2].status, rows[2].video_filename, rows[2].config_json) == ("queued", "b.mp4", '{"runs":3,"vad":{"on":true}}') and rows[3].config_json == "{}"
+
+
+def test_prompt_table(spark):
+    prompts = spark.createDataFrame([("1", "basic", "d", "B", "t0", "t0"), ("2", "other", "d", "O", "t0", "t0")], "id string, name string, description string, prompt_text string, created_at string, updated_at string")
+    changes = spark.createDataFrame([("2", "new", "e", "N", "t0", None), (None, "third", "f", "T", None, None)], prompts.schema)
+    rows = {r.name: r for r in jobs.save_prompts(prompts, changes, F.lit("t1")).collect()}
+    assert sorted(rows) == ["basic", "new", "third"] and (rows["new"].id, rows["new"].updated_at) == ("2", "t1") and rows["third"].id and rows["third"].created_at == "t1"
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert [r.id for r in jobs.without(prompts, ids("1")).collect()] == ["2"] and [r.name for r in jobs.prompts_of(ids("2"), prompts).collect()] == ["other"]
+    for missing in (jobs.without(prompts, ids("9")), jobs.prompts_of(ids("1", "9"), prompts), jobs.duplicate(prompts, ids("9").selectExpr("id", "'x' as new_id", "'t' as now"))):
+        with pytest.raises(Exception, match="Prompt not found: 9"):
+            missing.collect()
+    assert jobs.exported(prompts).first().json == '{"name":"basic","description":"d","prompt_text":"B"}'
+    assert jobs.listing(prompts).first().line == "  1                    - basic\n                         d"
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "00:01 A: x"), (2, "00:02 B: y"), (2, "")], "job_id long, line string")
+    tables.write_transcripts(lines, f"{tmp_path}/t")
+    assert sorted(map(tuple, tables.read_transcripts(spark, f"{tmp_path}/t").collect())) == sorted(map(tuple, lines.collect()))
+    assert tables.transcripts(spark, f"{tmp_path}/t/*/*.txt").count() >= 2
+    rows = spark.createDataFrame([(1, 2.5, "é")], "job_id long, rate double, note string")
+    tables.write_summaries(rows, f"{tmp_path}/s")
+    assert tables.read_summaries(spark, f"{tmp_path}/s", rows.schema).collect() == rows.collect()
+
+
+def test_followed_text(spark, tmp_path):
+    raw = spark.createDataFrame([(1, 1, "stdout", 'PROGRESS:{"chunk":1,"total":4,"percent":25,"status":"a\\tb"}'), (1, 2, "stderr", "oops"), (2, 3, "stdout", "")], "job_id long, seq long, source string, raw string")
+    progress.to_text(raw).write.text(f"{tmp_path}/lines")
+    progress.follow(progress.from_text(tables.event_lines(spark, f"{tmp_path}/lines")), f"{tmp_path}/c", f"{tmp_path}/state").awaitTermination()
+    got = progress.followed(spark, f"{tmp_path}/state").collect()
+    assert [(r.job_id, r.percent, r.n_logs) for r in got] == [(1, 25, 1)]
+
+
+def test_frame_energy(spark):
+    samples = spark.createDataFrame([(1, i, float(i)) for i in range(9)] + [(2, 0, 1.0)], "stream_id long, idx long, x double")
+    got = sorted((r.stream_id, r.frame_idx, r.energy) for r in signal.frame_energy(samples, 2).collect())
+    assert got == [(1, 0, 14.0), (1, 1, 54.0), (1, 2, 126.0)]
+
+
+def test_repetition_counts(spark):
+    looped = "\n".join(f"x: the same thing {i // 8}" for i in range(12)) + "\nno colon"
+    row = validate.repetition(runs_frame(spark, looped)).first()
+    assert (row.n_lines, row.n_contents, row.most, row.excessive) == (13, 12, 8, True)
+
+
 def test_jobs(spark):
     t = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(1, 1, "queued", t, None, None), (1, 2, "processing", t + datetime.timedelta(1), None, None), (1, 3, "failed", t + datetime.timedelta(2), "e", None), (1, 4, "odd", t, None, None)], "id long, seq long, status string, ts timestamp, error_message string, output_path string")
