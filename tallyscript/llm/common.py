@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +98,16 @@ class IdFilter:
             found &= (self.words[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
         return found
 
+    def column(self, name: str) -> Column:
+        """maybe() of a column as an expression; only its hashes go to Python. A null is not among the ids."""
+        shared = SparkSession.active().sparkContext.broadcast(self)
+
+        @F.pandas_udf("boolean")
+        def among(hashes: pd.Series) -> pd.Series:
+            return pd.Series(shared.value.maybe(hashes.to_numpy()))
+
+        return F.col(name).isNotNull() & among(F.xxhash64(name))
+
 
 def fold_remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the contract's split of held-out rows."""

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -254,13 +253,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of_set = placed.groupBy("doc_id", F.coalesce("set_key", F.lit(b"")).alias("set_key")).agg(again, F.min("text_hash").alias("text_hash"), F.min("component_id").alias("component_id"))
     judged = written(of_set, "judged")
     suspects = written(judged.where("n > 1 or doc_id <> component_id").select("doc_id").distinct(), "suspects")
-    shared = spark.sparkContext.broadcast(IdFilter(suspects))
-
-    @F.pandas_udf("boolean")
-    def suspected(hashes: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.maybe(hashes.to_numpy()))
-
-    maybe = F.col("doc_id").isNotNull() & suspected(F.xxhash64("doc_id"))
+    maybe = IdFilter(suspects).column("doc_id")
     hash_ = unused("text_hash", docs.columns)
     good = judged.where("doc_id = component_id").select("doc_id", F.col("text_hash").alias(hash_))
     rest = docs.where(maybe).withColumn(hash_, F.xxhash64("text")).dropDuplicates(["doc_id", hash_])
