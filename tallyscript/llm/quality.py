@@ -12,8 +12,8 @@ from tallyscript.llm.common import per_text, table, written
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
-#: A host is rejected if its shrunken failure rate is at least this, and if it has so many documents.
-HOST_RATE, HOST_DOCUMENTS = 0.7, 20
+#: A host is rejected if its shrunken failure rate, less so many of its standard deviations, is at least this.
+HOST_RATE, DEVIATIONS = 0.5, 2.0
 #: Most documents that the prior may weigh as much as, for hosts whose rates hardly differ.
 PRIOR_MOST = 1000.0
 
@@ -51,12 +51,12 @@ def repeated_words(words: list[bytes]) -> int:
     return sum(covered)
 
 
-def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, documents: int = HOST_DOCUMENTS) -> DataFrame:
-    """Per host: n_docs, n_failed, failure_rate (shrunken), host_rejected.
+def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """Per host: n_docs, n_failed, host_rate (shrunken failure rate), host_rejected.
 
     The beta prior's mean is the share of failures over all hosts, its weight follows from how much more the hosts'
-    rates vary than chance alone would have them (method of moments). A host with fewer than `documents` documents is never
-    rejected, whatever its rate. Null hosts have no verdict.
+    rates vary than chance alone would have them (method of moments). With the host's own counts it gives a beta distribution of the host's rate; the verdict takes
+    the rate at `deviations` under its mean, which few documents don't lift over the limit. Null hosts have no verdict.
     """
     hosts = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     moments = hosts.agg(
@@ -68,15 +68,17 @@ def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, documents: int =
     between = F.try_divide(F.col("kk") - n * p * p - (h - 1) * chance, n - F.try_divide("nn", "n"))  # what the rates vary beyond chance
     weight = F.when((h > 1) & (n > h) & (between > chance / (PRIOR_MOST + 1)), F.try_divide(chance, between) - 1).otherwise(F.lit(PRIOR_MOST))
     mean, most = moments.select(p.alias("mean"), F.greatest(F.lit(0.0), F.least(F.lit(PRIOR_MOST), weight)).alias("weight")).first()
-    shrunk = (F.col("n_failed") + F.lit((mean or 0.0) * most)) / (F.col("n_docs") + F.lit(most))
-    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("failure_rate"), ((shrunk >= rate) & (F.col("n_docs") >= documents)).alias("host_rejected"))
+    mean, most = mean or 0.0, most or 0.0
+    shrunk = (F.col("n_failed") + F.lit(mean * most)) / (F.col("n_docs") + F.lit(most))
+    sure = shrunk - F.lit(deviations) * F.sqrt(shrunk * (1 - shrunk) / (F.col("n_docs") + F.lit(most) + 1))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (sure >= rate).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, host: str = "source", rate: float = HOST_RATE, documents: int = HOST_DOCUMENTS) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate.
+def judge(docs: DataFrame, host: str = "source", rate: float = HOST_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate, host_rejected.
 
     docs has doc_id, text and the host column; other columns are ignored. A null text has no words and fails. A document
-    that doesn't fail is kept unless its host is rejected; with a null host it is kept. Repeated rows and null doc_ids are
+    that doesn't fail is kept unless its host is rejected; with a null host it is kept, and its host_rate is null. Repeated rows and null doc_ids are
     judged row by row. An empty table gives no row.
     """
     fields = pa.schema([(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
@@ -84,10 +86,11 @@ def judge(docs: DataFrame, host: str = "source", rate: float = HOST_RATE, docume
     measured = per_text(picked, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long", fields, measures, keep=("doc_id", "host"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     measured = written(measured.withColumn("base_failed", failed), "measured")
-    hosts = host_verdicts(measured, rate, documents).select("host", "failure_rate", "host_rejected")
+    hosts = host_verdicts(measured, rate, deviations).select("host", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
     return measured.join(hosts, "host", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept")
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"),
+        "host_rate", F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"),
+    )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +123,7 @@ WITH d AS (
 ), prior AS (
   SELECT p, greatest(0, least(1000, CASE WHEN h > 1 AND n > h AND between_ > chance / 1001 THEN chance / between_ - 1 ELSE 1000 END)) AS weight FROM b
 ), v AS (
-  SELECT host, (k + p * weight) / (n + weight) >= 0.7 AND n >= 20 AS host_rejected FROM h, prior
+  SELECT host, r AS host_rate, r - 2 * sqrt(r * (1 - r) / (n + weight + 1)) >= 0.5 AS host_rejected FROM (SELECT host, h.n, weight, (k + p * weight) / (h.n + weight) AS r FROM h, prior)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_rejected, false) AS kept FROM f LEFT JOIN v USING (host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_rejected, false) AS kept, round(host_rate, 6) AS host_rate, coalesce(host_rejected, false) AS host_rejected FROM f LEFT JOIN v USING (host)
 """
