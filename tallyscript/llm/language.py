@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import fold_remainder, slices, table, written
+from tallyscript.llm.common import fold_remainder, slices, table, unused
 
 #: Labelled rows of each language that a model learns from, about; buckets of hashed three-byte strings.
 ROWS_PER_LANGUAGE, BUCKETS = 4000, 1 << 14
 #: Bits of a codeword for more languages than all two-way splits can serve.
 BITS_PER_LANGUAGE_BIT = 8
-#: A score under this is flagged as ambiguous.
-AMBIGUOUS = 0.6
+#: Share of the rightly decoded rows of the labelled sample whose margin is too small for certainty: what is as near to a second
+#: codeword is flagged as ambiguous.
+AMBIGUOUS = 0.01
+#: A text with a smaller share of three-byte strings that the sample has is in none of its languages.
+KNOWN = 0.5
 #: Strings of three bytes that count as independent at most; more in a text don't make a prediction surer.
 EVIDENCE = 50
 
@@ -60,6 +63,7 @@ class CodeModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         """counts: occurrences by language and bucket in the labelled sample."""
         self.languages, self.code = languages, codewords(len(languages))
+        self.seen, self.ambiguous_under = (counts.sum(0) > 0).astype(np.float32), 0.0
         share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
         self.weights = np.empty((BUCKETS, self.code.shape[1]), np.float32)
         self.loss_weight = np.ones(self.code.shape[1])
@@ -70,24 +74,27 @@ class CodeModel:
             self.loss_weight[bit] = (one * np.log(one / mean) + other * np.log(other / mean)).sum() / 2 + 1e-6  # how far the sides differ
         self.loss_weight /= self.loss_weight.sum()
 
-    def predict(self, text: bytes) -> tuple[str, float, float]:
-        """(language, score, margin): the codeword of least weighted logistic loss, and how far the next one is."""
+    def predict(self, text: bytes) -> tuple[str, float, float, float]:
+        """(language, score, margin, known): the codeword of least weighted logistic loss, how far the next one is, and which
+        share of the text's strings the sample has."""
         codes = buckets_of(text)
-        total = np.zeros(self.code.shape[1])
+        total, known = np.zeros(self.code.shape[1]), 0.0
         for part in pieces(codes):
             total += self.weights.take(part, axis=0).sum(0, dtype=np.float64)
+            known += float(self.seen.take(part).sum(dtype=np.float64))
         bits = total * (min(len(codes), EVIDENCE) / max(len(codes), 1))
         losses = np.logaddexp(0, -self.code * bits) @ self.loss_weight
         order = np.argsort(losses, kind="stable")
         likely = np.exp(-(losses - losses[order[0]]))
         score = float(1 / likely.sum())
-        return self.languages[order[0]], score, float(losses[order[1]] - losses[order[0]]) if len(order) > 1 else score
+        return self.languages[order[0]], score, float(losses[order[1]] - losses[order[0]]) if len(order) > 1 else score, known / max(len(codes), 1)
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> CodeModel | None:
     """A model of labelled (doc_id, text, lang); of a language with more rows, some rows_per_language by the hash of their id.
 
-    The driver gets a row per language and bucket. None without labelled text.
+    The driver gets a row per language and bucket. None without labelled text. The margin
+    under which a prediction is ambiguous is then taken from the model's predictions of the sample.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -111,41 +118,55 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Code
         return None
     counts = np.zeros((len(languages), BUCKETS))
     counts[[languages.index(x) for x in counted.column("lang").to_pylist()], counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    return CodeModel(languages, counts)
+    model = CodeModel(languages, counts)
+    right = predict(sample, model, ("lang",)).where("lang = lang_pred")
+    model.ambiguous_under = right.agg(F.percentile("margin", F.lit(AMBIGUOUS))).first()[0] or 0.0
+    return model
 
 
-def predict(docs: DataFrame, model: CodeModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the kept columns, lang_pred, score (0 to 1), margin, ambiguous.
+#: Names of what predict() adds.
+PREDICTED = ("lang_pred", "score", "margin", "ambiguous", "known")
 
-    Only text is looked at. A null text, one without a letter, or any text without a model is `und` with score 0 and
-    ambiguous. Repeated rows and null ids are predicted row by row; nothing is shuffled.
+
+def predict(docs: DataFrame, model: CodeModel | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = PREDICTED) -> DataFrame:
+    """One row per row of docs: the kept columns, lang_pred, score (0 to 1), margin, ambiguous, known, under these or other names.
+
+    Only text is looked at. A null text, one without a letter, or any text without a model is `und` with score, margin and
+    known 0 and ambiguous. Repeated rows and null ids are predicted row by row; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = unused("text", list(keep)) if "text" in keep else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            got = [shared.value.predict(t) if shared.value and any(map(str.isalpha, t.decode())) else ("und", 0.0, 0.0) for t in texts]
-            columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), pa.array([g[1] < AMBIGUOUS for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + columns, [*keep, "lang_pred", "score", "margin", "ambiguous"])
+        model = shared.value
+        for part, texts in slices(batches, text):
+            got = [model.predict(t) if model and any(map(str.isalpha, t.decode())) else ("und", 0.0, 0.0, 0.0) for t in texts]
+            columns = [pa.array([g[k] for g in got], pa.float64()) for k in (1, 2, 3)]
+            columns.insert(2, pa.array([g[0] == "und" or model is not None and g[2] < model.ambiguous_under for g in got], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array([g[0] for g in got], pa.string()), *columns], [*keep, *names])
 
-    picked = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}, lang_pred string, score double, margin double, ambiguous boolean")
+    picked = docs.select(*keep, F.col("text").alias(text))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
+    return picked.mapInArrow(run, ", ".join(kinds + [f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double", "boolean", "double"), strict=True)]))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = (fold_remainder("doc_id", 4) == 2).alias("held_out")
     model = fit(docs.where(fold_remainder("doc_id", 4) != 2))
-    return predict(docs, model).select("doc_id", held, "lang_pred", "score", "margin", "ambiguous")
+    return predict(docs, model).select("doc_id", held, *PREDICTED)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, or all if nothing was labelled; nothing else is rejected.
+    """Drop documents without letters and those in none of the learned languages; all, if nothing was labelled.
 
-    A text with a letter in a language or script that was not learned is taken for a learned one and kept, as is noise.
-    The model learns from rows whose id's crc32 modulo 4 is not 2. docs keeps its columns and its other rows.
+    A document is in none of them if the labelled sample has less than KNOWN of its three-byte strings: other scripts and
+    noise. A document between two learned languages stays. The model learns from rows whose id's crc32 modulo 4 is not 2, or
+    is null. docs keeps its columns, whatever their names, and its other rows: repeated ones, ones with a null id or lang. A
+    null or empty text goes. An empty table stays empty.
     """
-    model = fit(docs.where(fold_remainder("doc_id", 4) != 2))
-    judged = predict(docs, model, tuple(docs.columns))
-    return judged.where("lang_pred <> 'und'").select(*docs.columns)
+    fold = fold_remainder("doc_id", 4)
+    model = fit(docs.where(fold.isNull() | (fold != 2)))
+    names = tuple(unused(n, docs.columns) for n in PREDICTED)
+    judged = predict(docs, model, tuple(docs.columns), names)
+    return judged.where((F.col(names[0]) != "und") & (F.col(names[4]) >= KNOWN)).select(*docs.columns)
