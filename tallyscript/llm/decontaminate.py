@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -10,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import slices, table, written
+from tallyscript.llm.common import slices, table, unused, written
 
 #: Words in a window.
 WINDOW = 10
-#: Bytes of benchmark text that one search holds; a larger benchmark is searched for in blocks of items.
-PATTERN_BYTES = 16 << 20
+#: Bytes of benchmark text that one search holds, some 125 times as many bytes of memory; a larger benchmark is searched for in blocks of items.
+PATTERN_BYTES = 2 << 20
 
 #: Bytes of words are 0-9, a-z and all beyond ASCII, once A-Z are lower case.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -83,6 +84,20 @@ class Windows:
         return merged(spans), items
 
 
+class Items:
+    """Items to be sent out; each Python worker makes their windows once."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.items, self.window = items, window
+
+    def __getstate__(self) -> dict:
+        return {"items": self.items, "window": self.window}
+
+    @functools.cached_property
+    def windows(self) -> Windows:
+        return Windows(self.items, self.window)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -133,40 +148,44 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ).drop("one")
 
 
-def searched(rows: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    """rows with what their texts hold of the windows of some items.
+#: Names of what searched() adds.
+FOUND = ("n_words", "n_hit", "items", "spans")
 
-    (doc_id, text) become doc_id, n_words, n_hit, items, spans; wider rows keep their columns, and these names get a "_".
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(items)
-    wide = len(rows.columns) > 2
-    keep = rows.columns if wide else ["doc_id"]
-    found_columns = ["_" * wide + c for c in ("n_words", "n_hit", "items", "spans")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
+
+def searched(rows: DataFrame, items: list[tuple[str, bytes]], window: int, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = FOUND) -> DataFrame:
+    """The kept columns of rows, and what their texts hold of the windows of some items, under FOUND's or other names."""
+    shared = rows.sparkSession.sparkContext.broadcast(Items(items, window))
+    text = unused("text", list(keep))
+    picked = rows.select(*keep, F.col("text").alias(text))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, window)
-        for part, texts in slices(batches):
-            n_words, hits, names, spans = [], [], [], []
-            for text in texts:
-                words = words_of(text)
+        windows = shared.value.windows
+        for part, texts in slices(batches, text):
+            n_words, hits, which_items, spans = [], [], [], []
+            for raw in texts:
+                words = words_of(raw)
                 found, which = windows.find(words)
                 n_words.append(len(words))
                 hits.append(sum(e - s for s, e in found))
-                names.append(sorted(which))
+                which_items.append(sorted(which))
                 spans.append([[s, e] for s, e in found])
-            own = [part.column(part.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays(own + [pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], keep + found_columns)
+            own = [part.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(which_items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*keep, *names])
 
     types = ("long", "long", "array<string>", "array<array<int>>")
-    return rows.mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} {t}" for c, t in zip(found_columns, types, strict=True)))
+    return picked.mapInArrow(run, ", ".join(kinds + [f"`{n}` {t}" for n, t in zip(names, types, strict=True)]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a window of a benchmark item occurs; others keep all their columns."""
+    """Drop documents in which a window of a benchmark item occurs; others keep all their columns, whatever their names.
+
+    Null and empty texts hold no window and stay, as do repeated rows and rows with a null id. An empty table stays empty.
+    """
     columns = docs.columns
+    names = tuple(unused(n, columns) for n in FOUND)
     for block in blocks_of(table(spark, sf_dir, "benchmark"), PATTERN_BYTES):
-        docs = searched(docs, block, WINDOW).where("_n_hit = 0").select(*columns)
+        docs = searched(docs, block, WINDOW, tuple(columns), names).where(F.col(names[1]) == 0).select(*columns)
     return docs
 
 

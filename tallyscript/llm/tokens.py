@@ -10,6 +10,7 @@ sequence is padded. The manifest has a row per shard with the ids before it, and
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import uuid
@@ -32,12 +33,14 @@ LENGTH, BATCH_ROWS = 2048, 64
 END_ID = 1
 #: Bytes of text for which a shard is planned.
 SHARD_BYTES = 16 << 20
-#: Pieces that a worker remembers (some 40 bytes each); when there are more, it starts anew.
-REMEMBERED = 3_000_000
+#: Pieces that a worker remembers (some 70 bytes each); when there are more, it starts anew.
+REMEMBERED = 2_000_000
 
 #: The piece pattern of the tokenizer file, and the byte-level alphabet's printable bytes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 #: Words for which lower-casing and composing act on each character alone.
 SIMPLE = regex.compile(r"[!-~\xc0-įĲ-ɏ]*")
@@ -61,7 +64,8 @@ class Encoder:
 
     The tokenizer cuts a text into pieces by character class and encodes each for itself. Pieces of plain ASCII words are
     cut here on arrays of bytes; a word with any other character, an apostrophe or `<|` stays whole and goes through
-    the library's own rules. Ids are looked up by a 64-bit hash of the piece; unseen pieces go to the library.
+    the library's own rules. Pieces are looked up by a hash and compared: up to 24 bytes by themselves, longer ones by 128 bits
+    of a digest. Unseen pieces go to the library. With a tokenizer of other rules, whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -70,15 +74,22 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        known = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and rules["post_processor"] is None
+        self.by_piece = known and all(t["content"].startswith("<|") for t in rules["added_tokens"])
         self.alphabet = byte_alphabet()
         self.forget()
 
     def forget(self) -> None:
         self.slots = np.full(SLOTS, -1, np.int32)
-        self.hashes, self.counts, self.starts, self.ids = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, "<u4")
+        self.pieces = np.empty((0, 4), np.uint64)
+        self.counts, self.starts, self.ids = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, "<u4")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_piece:
+            return [packed(e.ids) for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         joined = b"\n".join(texts) + b"\n"
         data = np.frombuffer(joined, np.uint8)
         ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
@@ -111,42 +122,47 @@ class Encoder:
     def rows(self, low: np.ndarray, cuts: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """The row of each piece's ids: an open-addressed table, by a hash of up to 24 bytes, the length and the kind."""
         eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-        key = (sizes.astype(np.uint64) * np.uint64(8) + kinds) * MIX[3]
+        pieces = np.zeros((len(cuts), 4), np.uint64)  # 24 bytes, and the length with the kind
+        pieces[:, 3] = sizes.astype(np.uint64) * np.uint64(8) + kinds
+        key = pieces[:, 3] * MIX[3]
         for k in range(3):
             some = np.flatnonzero(sizes > 8 * k)
-            key[some] += (eight[cuts[some] + 8 * k] & KEEP[np.minimum(sizes[some] - 8 * k, 8)]) * MIX[k]
+            pieces[some, k] = eight[cuts[some] + 8 * k] & KEEP[np.minimum(sizes[some] - 8 * k, 8)]
+        for i in np.flatnonzero(sizes > 24).tolist():
+            digest = xxhash.xxh3_128_intdigest(low[cuts[i] : cuts[i] + sizes[i]].tobytes())
+            pieces[i, 0], pieces[i, 1] = digest >> 64, digest & (1 << 64) - 1
+        for k in range(3):
+            key += pieces[:, k] * MIX[k]
             key ^= key >> np.uint64(29)
-        long = np.flatnonzero(sizes > 24)
-        key[long] = [xxhash.xxh3_64_intdigest(low[c : c + n].tobytes(), k) for c, n, k in zip(cuts[long].tolist(), sizes[long].tolist(), kinds[long].tolist(), strict=True)]
         key *= MIX[0]
-        if len(self.hashes) > REMEMBERED:
+        if len(self.pieces) > REMEMBERED:
             self.forget()
-        rows = self.find(key)
+        rows = self.find(key, pieces)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            new, one = np.unique(key[missing], return_index=True)
+            _, one = np.unique(pieces[missing].view([("", np.uint64)] * 4).ravel(), return_index=True)
             one = missing[one]
             made = [self.piece(low[c : c + n].tobytes(), k) for c, n, k in zip(cuts[one].tolist(), sizes[one].tolist(), kinds[one].tolist(), strict=True)]
-            self.remember(new, made)
-            rows[missing] = self.find(key[missing])
+            self.remember(key[one], pieces[one], made)
+            rows[missing] = self.find(key[missing], pieces[missing])
         return rows
 
-    def find(self, key: np.ndarray) -> np.ndarray:
+    def find(self, key: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         rows, open_, step = np.full(len(key), -1, np.int32), np.arange(len(key)), 0
         while len(open_):
             at = self.slots[((key[open_] >> np.uint64(20)) + np.uint64(step)) & np.uint64(SLOTS - 1)]
             taken = at >= 0
             open_, at = open_[taken], at[taken]
-            same = self.hashes[at] == key[open_]
+            same = (self.pieces[at] == pieces[open_]).all(1)
             rows[open_[same]] = at[same]
             open_, step = open_[~same], step + 1
         return rows
 
-    def remember(self, new: np.ndarray, made: list[list[int]]) -> None:
+    def remember(self, new: np.ndarray, pieces: np.ndarray, made: list[list[int]]) -> None:
         counts = np.fromiter(map(len, made), np.int32, len(made))
         rows = np.arange(len(self.counts), len(self.counts) + len(made), dtype=np.int32)
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts)
-        self.counts, self.hashes = np.append(self.counts, counts), np.append(self.hashes, new)
+        self.counts, self.pieces = np.append(self.counts, counts), np.append(self.pieces, pieces, axis=0)
         self.ids = np.append(self.ids, np.fromiter((i for m in made for i in m), "<u4", counts.sum()))
         step = 0
         while len(rows):
@@ -238,7 +254,7 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, batch_rows: int = BATCH_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode, write shards to folder in ascending doc_id order, and return the index.
+    """Encode by a tokenizer file of the tokenizers library, write shards to folder in ascending doc_id order, and return the index.
 
     docs has doc_id and text; other columns are ignored. A null text is empty, and so one end id. Rows that share a
     doc_id follow each other in the order of their texts; null doc_ids come first. An empty table gives no shard.

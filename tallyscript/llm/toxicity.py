@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Example
         wanted = wanted | ((F.col("toxic") == label) & (place * n < examples))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
     picked = texts.join(F.broadcast(marked.where(wanted)), "doc_id").collect()  # about two times `examples` rows
-    once = {bytes(r["text"]): (r["doc_id"], r["toxic"], bytes(r["text"])) for r in sorted(picked, key=lambda r: -r["doc_id"])}
+    once = {bytes(r["text"]): (r["doc_id"], r["toxic"], bytes(r["text"])) for r in sorted(picked, key=lambda r: r["doc_id"], reverse=True)}
     terms = sorted({t for text in once for w in words_of(text) for t in terms_of_word(w)})
     return Examples(sorted(once.values()), (sizes.get(0, 0), sizes.get(1, 0)), document_counts(docs, terms))
 

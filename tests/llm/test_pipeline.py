@@ -1,12 +1,15 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
 import itertools
+
+import pytest
+from pyspark.sql import functions as F
 from collections import Counter
 
 import corpus_pipeline
 from tallyscript.llm import mixing
 from tallyscript.llm.common import table, written
-from tests.llm.test_operators import shingle_set
+from tests.llm.test_operators import empty, odd, shingle_set
 
 
 def test_stages(spark, sf_dir):
@@ -17,7 +20,7 @@ def test_stages(spark, sf_dir):
         held.append(written(stage(spark, held[-1], sf_dir), name))
     ids = [[r.doc_id for r in d.select("doc_id").collect()] for d in held]
     assert all(d.columns == columns for d in held[:-1])
-    # language: only texts without a letter go
+    # language: texts without a letter go; the given table has no language that was not learned
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert set(ids[0]) - set(ids[1]) == {i for i in ids[0] if not any(map(str.isalpha, texts[i] or ""))}
     # near duplicates: one document of each component stays
@@ -33,3 +36,28 @@ def test_stages(spark, sf_dir):
     assert Counter(ids[4]) == Counter({i: n for i, n in plan.items() if n})
     assert Counter(ids[5]) == Counter(ids[4])
     assert corpus_pipeline.run(spark, sf_dir).count() == len(ids[5])
+
+
+CLASHING = ("score", "margin", "ambiguous", "lang_pred", "known", "n_words", "n_hit", "items", "spans", "text_hash", "component_id", "set_key", "row", "id", "tokens", "hash", "n", "each", "part", "place", "copies", "source_", "file", "run", "task", "key", "_file", "_key", "bytes", "shard")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, sf_dir, name):
+    """Nulls, empty, long and repeated texts, repeated rows, null ids, columns of any name; then no row at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd(spark).withColumns({c: F.lit(c) for c in CLASHING})
+    got = stage(spark, docs, sf_dir)
+    rows = got.collect()
+    ids = sorted((r.doc_id is not None, r.doc_id) for r in rows)
+    all_ids = sorted((r.doc_id is not None, r.doc_id) for r in docs.collect())
+    if name != "shard":
+        assert got.columns == docs.columns and all(r[c] == c for r in rows for c in CLASHING)
+    if name == "near":
+        assert [i for _, i in ids] == [None, 0, 1, 2, 3, 4, 6]
+    elif name in ("decontaminate", "shard"):
+        assert ids == all_ids
+    elif name == "mix":
+        assert {i for _, i in ids} == {3, 4, 5, 6}  # the others have no words
+    else:
+        assert {i for _, i in ids} <= {3, 4, 5, 6}
+    assert stage(spark, empty(spark), sf_dir).count() == 0
