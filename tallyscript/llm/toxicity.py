@@ -23,8 +23,10 @@ G_HALF = 20.0
 #: A term that one of COMMON examples has is an array over all examples; one of at most FEW examples is added up in full;
 #: for those between, the index has where each block's postings start, and their largest weight.
 COMMON, FEW = 16, 4
-#: Texts whose common terms are multiplied at once.
-TEXTS = 128
+#: Texts that are searched for together; blocks of best bound that each looks at first.
+TEXTS, FIRST_BLOCKS = 128, 8
+#: What a cosine may be off by while common terms are multiplied with single precision; those that it could matter for are added up anew.
+ROUGH = 1e-4
 #: Starts of words in bytes that are terms as the words are: they gather the forms of a word.
 STARTS = (4, 5, 6)
 #: Weight of the base rate beside the votes, in votes of toxic examples at cosine 1.
@@ -92,9 +94,41 @@ class Examples:
         empty = np.array([not len(t) for t, _ in counted], bool)
         rate = lambda of: ((self.votes * self.labels)[of].sum() + 0.1) / (self.votes[of].sum() + 1.0)
         self.base, self.base_empty = (rate(slice(None)), rate(empty)) if len(empty) else (0.1, 0.1)
-        self.texts = [(t.astype(np.int32), c.astype(np.int32)) for t, c in counted]
+        order = self.alike_together(counted)
+        self.ids, self.labels, self.votes = [self.ids[i] for i in order], self.labels[order], self.votes[order]
+        self.texts = [(counted[i][0].astype(np.int32), counted[i][1].astype(np.int32)) for i in order]
         self.invert()
 
+    def alike_together(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """An order of the examples in which those of a block are alike, so that blocks' largest weights bound closely.
+
+        Parts are halved along the direction in which their common terms differ most, found by power iteration.
+        """
+        vectors = [self.weighed(t, c) for t, c in counted]
+        have = np.bincount(np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]), minlength=len(self.vocabulary))
+        common = np.flatnonzero(have * COMMON >= max(len(vectors), 1))
+        rows = np.zeros((len(vectors), len(common)), np.float32)
+        for row, (terms, weights) in zip(rows, vectors, strict=True):
+            at = np.searchsorted(common, terms)
+            held = np.flatnonzero(at < len(common))
+            held = held[common[at[held]] == terms[held]]
+            row[at[held]] = weights[held]
+        parts, done = [np.arange(len(vectors))], []
+        while parts:
+            part = parts.pop()
+            if len(part) <= BLOCK:
+                done.append(part)
+                continue
+            apart = rows[part] - rows[part].mean(0)
+            along = apart[np.argmax((apart * apart).sum(1))]
+            for _ in range(8):
+                along = apart.T @ (apart @ along)
+                along /= np.sqrt((along * along).sum()) or 1
+            part = part[np.argsort(apart @ along, kind="stable")]
+            half = -(-len(part) // (2 * BLOCK)) * BLOCK
+            parts += [part[half:], part[:half]]
+        return np.concatenate([np.empty(0, np.int64), *done])
+
     def __getstate__(self) -> bytes:
         """What the index is made of, as Spark writes what it sends out to each executor's disk."""
         names = ("vocabulary", "ids", "labels", "idf", "votes", "base", "base_empty", "texts")
@@ -116,6 +150,7 @@ class Examples:
         dense = self.column[term] >= 0
         self.common = np.zeros((len(common), self.blocks * BLOCK))
         self.common[self.column[term[dense]], place[dense]] = weight[dense]
+        self.rough = self.common.astype(np.float32)
         order = np.lexsort((place[~dense], term[~dense]))
         term, self.place, self.weight = term[~dense][order], place[~dense][order].astype(np.int32), weight[~dense][order]
         self.start = np.searchsorted(term, np.arange(size + 1))
@@ -152,50 +187,75 @@ class Examples:
 
     def query(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms of the vocabulary and their counts; known holds those of words seen."""
-        words = words_of(text)
-        lists = [known.get(w) or terms_known(w, self.vocabulary, known) for w in words]
-        counts = np.repeat(np.fromiter(words.values(), float, len(words)), np.fromiter(map(len, lists), np.int64, len(words)))
-        terms, at = np.unique(np.fromiter(itertools.chain.from_iterable(lists), np.int64, len(counts)), return_inverse=True)
-        return terms, np.bincount(at, counts, len(terms))
-
-    def common_scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What common terms add to the cosine of each vector and example."""
-        queries = np.zeros((len(vectors), len(self.common)))
-        for row, (terms, weights) in zip(queries, vectors, strict=True):
-            column = self.column[terms]
-            row[column[column >= 0]] = weights[column >= 0]
-        return queries @ self.common
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine over 0, exactly, ties by place: blocks by their bound, until none can matter.
-
-        A block's bound is the most that common terms and those of few examples give one of its examples, and each other
-        term's largest weight in it.
+        _, terms, counts = self.query_all([text], known)
+        return terms, counts
+
+    def query_all(self, texts: list[bytes], known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) of all texts, in the order of texts and terms."""
+        words = [words_of(t) for t in texts]
+        lists = [known[w] if w in known else terms_known(w, self.vocabulary, known) for one in words for w in one]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        of_word = np.repeat(np.arange(len(texts)), [len(one) for one in words])
+        counts = np.fromiter(itertools.chain.from_iterable(one.values() for one in words), float, len(lists))
+        terms = np.fromiter(itertools.chain.from_iterable(lists), np.int64, sizes.sum())
+        size = max(len(self.vocabulary), 1)
+        keys, at = np.unique(np.repeat(of_word, sizes) * size + terms, return_inverse=True)
+        return keys // size, keys % size, np.bincount(at, np.repeat(counts, sizes), len(keys))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
+        return self.nearest_all(np.zeros(len(terms), np.int64), terms, weights, 1, k)[0]
+
+    def nearest_all(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int = NEAREST) -> list[list[tuple[float, int]]]:
+        """For each of n texts the k examples of largest cosine over 0, exactly, ties by place: blocks by their bound, until none can matter.
+
+        text, terms, weights: the texts' unit vectors, in the order of texts. A block's bound is the most that common terms and
+        those of few examples give one of its examples, and each other term's largest weight in it. The blocks of best bound come
+        first; then those whose bound the k-th cosine so far doesn't exclude.
         """
         if not self.blocks:
-            return []
+            return [[] for _ in range(n)]
+        width = self.blocks * BLOCK
+        dense = self.column[terms] >= 0
+        query = np.zeros((n, len(self.common)), np.float32)
+        query[text[dense], self.column[terms[dense]]] = weights[dense]
+        common = query @ self.rough
         row = self.row[terms]
         few = row < 0
-        found, n = ranges(self.start[terms[few]], self.start[terms[few] + 1])
-        held = self.common_scores([(terms, weights)])[0] if common is None else common
-        held = (held + np.bincount(self.place[found], np.repeat(weights[few], n) * self.weight[found], len(held))).reshape(self.blocks, BLOCK)
-        row, weights = row[~few], weights[~few]
-        starts = self.block_start[row]
-        bound = held.max(1) + weights @ self.most[row]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        scores, places, least, at, wave = np.empty(0), np.empty(0, np.int64), 0.0, 0, 8
-        while at < len(order) and (len(scores) < k or bound[order[at]] >= least * (1 - 1e-9)):
-            blocks = order[at : at + wave]
-            found, n = ranges(starts[:, blocks].ravel(), starts[:, blocks + 1].ravel())
-            added = np.bincount(self.place[found], np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[found], held.size)
-            got = (held[blocks] + added.reshape(held.shape)[blocks]).ravel()
-            scores, places = np.append(scores, got), np.append(places, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel())
-            best = np.lexsort((places, -np.round(scores, 12)))[:k]
-            best = best[scores[best] > 0]
-            scores, places, at, wave = scores[best], places[best], at + wave, wave * 2
-            least = scores[-1] if len(scores) else 0.0
-        return list(zip(scores.tolist(), places.tolist(), strict=True))
+        found, size = ranges(self.start[terms[few]], self.start[terms[few] + 1])
+        rest = np.bincount(np.repeat(text[few], size) * width + self.place[found], np.repeat(weights[few], size) * self.weight[found], n * width).reshape(n, width)
+        of, row, weight = text[~few], row[~few], weights[~few]
+        bound = (common + rest).reshape(n, self.blocks, BLOCK).max(2)
+        if len(of):
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            bound[of[first]] += np.add.reduceat(self.most[row] * weight[:, None], first, axis=0)
+        chosen = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(chosen, np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        chosen &= bound > 0
+        scores = np.full((n, width), -1.0)
+        looked = chosen
+        for last in (False, True):
+            if len(of):
+                pair, block = np.nonzero(looked[of])
+                begin, end = self.block_start[row[pair], block], self.block_start[row[pair], block + 1]
+                some = np.flatnonzero(end > begin)
+                found, size = ranges(begin[some].astype(np.int64), end[some].astype(np.int64))
+                pair = np.repeat(pair[some], size)
+                rest += np.bincount(of[pair] * width + self.place[found], weight[pair] * self.weight[found], n * width).reshape(n, width)
+            seen = np.repeat(looked, BLOCK, axis=1)
+            scores[seen] = (common + rest)[seen]
+            least = np.partition(scores, width - min(k, width), axis=1)[:, width - min(k, width)]
+            if not last:
+                looked = ~chosen & (bound > 0) & (bound >= least[:, None] - 2 * ROUGH)
+        out = []
+        at = np.searchsorted(text, np.arange(n + 1))
+        for i in range(n):
+            places = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 2 * ROUGH))
+            own = np.arange(at[i], at[i + 1])
+            own = own[dense[own]]
+            exact = rest[i, places] + weights[own] @ self.common[np.ix_(self.column[terms[own]], places)]
+            best = np.lexsort((places, -np.round(exact, 12)))[:k]
+            out.append([(float(exact[j]), int(places[j])) for j in best if exact[j] > 0])
+        return out
 
     def score(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[float, str]:
         """(score, evidence): shares of cubed cosines, held towards the base rate; the three nearest examples."""
@@ -204,9 +264,12 @@ class Examples:
     def score_all(self, texts: list[bytes], known: dict[bytes, list[int]]) -> list[tuple[float, str]]:
         rows = []
         for start in range(0, len(texts), TEXTS):
-            vectors = [self.vector(self.query(t, known)) for t in texts[start : start + TEXTS]]
-            common = iter(self.common_scores([v for v in vectors if v]))
-            rows += [self.voted(self.nearest(*v, common=next(common))) if v else (float(self.base_empty), "") for v in vectors]
+            some = texts[start : start + TEXTS]
+            text, terms, counts = self.query_all(some, known)
+            weights = (1 + np.log(counts)) * self.idf[terms]
+            weights /= np.sqrt(np.bincount(text, weights * weights, len(some)))[text]
+            have = np.bincount(text, minlength=len(some)) > 0
+            rows += [self.voted(near) if has else (float(self.base_empty), "") for near, has in zip(self.nearest_all(text, terms, weights, len(some)), have, strict=True)]
         return rows
 
     def voted(self, near: list[tuple[float, int]]) -> tuple[float, str]:
