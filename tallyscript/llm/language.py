@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyscript.llm.common import fold_remainder, slices, table, unused
 
-#: Labelled rows of each language that a model learns from, about; buckets of hashed three-byte strings.
-ROWS_PER_LANGUAGE, BUCKETS = 4000, 1 << 14
+#: Labelled rows of each language that a model learns from, about; languages, those with most rows; buckets of hashed three-byte strings.
+ROWS_PER_LANGUAGE, LANGUAGES, BUCKETS = 4000, 512, 1 << 14
 #: Bits of a codeword for more languages than all two-way splits can serve.
 BITS_PER_LANGUAGE_BIT = 8
 #: Share of the rightly decoded rows of the labelled sample whose margin is too small for certainty: what is as near to a second
@@ -91,15 +91,15 @@ class CodeModel:
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> CodeModel | None:
-    """A model of labelled (doc_id, text, lang); of a language with more rows, some rows_per_language by the hash of their id.
+    """A model of labelled (doc_id, text, lang): the LANGUAGES languages of most rows; of one with more rows, some rows_per_language by the hash of their id.
 
     The driver gets a row per language and bucket. None without labelled text. The margin
     under which a prediction is ambiguous is then taken from the model's predictions of the sample.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.join(F.broadcast(sizes), "lang").where(place * F.col("n") < rows_per_language).select("lang", "text")  # sizes: a row per language
+    sample = rows.join(F.broadcast(sizes), "lang").where(place * F.col("n") < rows_per_language).select("lang", "text")  # sizes: LANGUAGES rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -257,7 +257,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
     """Encode by a tokenizer file of the tokenizers library, write shards to folder in ascending doc_id order, and return the index.
 
     docs has doc_id and text; other columns are ignored. A null text is empty, and so one end id. Rows that share a
-    doc_id follow each other in the order of their texts; null doc_ids come first. An empty table gives no shard.
+    doc_id follow each other in the order of their texts' hashes, over several shards if they are many; null doc_ids come
+    first. An empty table gives no shard.
     Index: doc_id, shard, local_start (ids before it in the shard), n_tokens (end id included), start (ids before it).
     """
     spark = docs.sparkSession
@@ -286,7 +287,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
             writer.close()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spread = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = rows.withColumn("hash", F.xxhash64("text"))
+    spread = order.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     index = written(spread.mapInArrow(run, f"doc_id {kind}, shard int, local_start long, n_tokens long"), "index")
     manifest = index.groupBy("shard").agg(F.sum("n_tokens").alias("n_ids"))
     before = manifest.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))  # a row per shard
