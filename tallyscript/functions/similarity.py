@@ -29,22 +29,34 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
 
 
-def jaccard_v04(a: Column, b: Column) -> Column:
-    return bound(F.struct(word_set(F.lower(a)).alias("a"), word_set(F.lower(b)).alias("b")), lambda w: overlap(w["a"], w["b"]))
+def form_v04(text: Column) -> Column:
+    """What alike_v04() compares: text and its set of words."""
+    return F.struct(text.alias("text"), word_set(F.lower(text)).alias("words"))
 
 
-def jaccard_v03(a: Column, b: Column) -> Column:
-    """Of spoken words in plain form; raised by a fifth if both texts have at most three distinct words."""
+def form_v03(text: Column) -> Column:
+    """What alike_v03() compares: text, its spoken words in plain form, and their set."""
+    return bound(plain_words(without_visual(text)), lambda plain: F.struct(text.alias("text"), plain.alias("plain"), word_set(plain).alias("words")))
+
+
+def alike_v04(a: Column, b: Column) -> Column:
+    return overlap(a["words"], b["words"])
+
 
-    def raised(w: Column) -> Column:
-        short = (F.size(w["a"]) <= 3) & (F.size(w["b"]) <= 3)
-        return bound(overlap(w["a"], w["b"]), lambda score: F.when(short, F.least(score * 1.2, F.lit(1.0))).otherwise(score))
+def alike_v03(a: Column, b: Column) -> Column:
+    """Raised by a fifth if both texts have at most three distinct words."""
+    short = (F.size(a["words"]) <= 3) & (F.size(b["words"]) <= 3)
+    raised = bound(overlap(a["words"], b["words"]), lambda score: F.when(short, F.least(score * 1.2, F.lit(1.0))).otherwise(score))
+    return F.when((a["text"] == "") & (b["text"] == ""), 1.0).when((a["text"] == "") | (b["text"] == ""), 0.0).when(a["plain"] == b["plain"], 1.0).otherwise(raised)
 
-    def of_plain(p: Column) -> Column:
-        return F.when(p["a"] == p["b"], 1.0).otherwise(bound(F.struct(word_set(p["a"]).alias("a"), word_set(p["b"]).alias("b")), raised))
 
-    plain = F.struct(plain_words(without_visual(a)).alias("a"), plain_words(without_visual(b)).alias("b"))
-    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(bound(plain, of_plain))
+def jaccard_v04(a: Column, b: Column) -> Column:
+    return bound(F.struct(form_v04(a).alias("a"), form_v04(b).alias("b")), lambda w: alike_v04(w["a"], w["b"]))
+
+
+def jaccard_v03(a: Column, b: Column) -> Column:
+    """Of spoken words in plain form. Where texts are compared with several others, form_v03() of each once and alike_v03() do less."""
+    return bound(F.struct(form_v03(a).alias("a"), form_v03(b).alias("b")), lambda w: alike_v03(w["a"], w["b"]))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscript.functions.similarity import jaccard_v03, jaccard_v04, same_speaker_v04
+from tallyscript.functions.similarity import alike_v03, alike_v04, form_v03, form_v04, same_speaker_v04
 from tallyscript.functions.text import speaker_name
 
 #: Seconds that two lines may be apart.
@@ -16,10 +16,10 @@ TOLERANCE = 5
 CHUNK = ("job_id", "chunk_no")
 
 
-def nearest(base: DataFrame, other: DataFrame, keys: tuple[str, ...] = CHUNK, tolerance: int = TOLERANCE, differ: str | None = None) -> DataFrame:
+def nearest(base: DataFrame, other: DataFrame, keys: tuple[str, ...] = CHUNK, tolerance: int = TOLERANCE, differ: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each line of base and each run of other the line with the least |seconds|, the first on ties; none beyond tolerance.
 
-    differ: a column of both in which the two lines must differ.
+    differ: a column of both in which the two lines must differ. carry: further columns of base to keep.
 
     base: keys, base_run, line_no, sec, speaker, content. other: keys, run_no, line_no, sec, speaker, content. Both meet on
     keys and on time slots of the tolerance's width, so a long chunk is joined in many small parts. Out: keys, base_run,
@@ -33,26 +33,32 @@ def nearest(base: DataFrame, other: DataFrame, keys: tuple[str, ...] = CHUNK, to
     met = left.join(right, [*keys, "slot"]).where(apart <= tolerance)
     met = met.where(F.col(differ) != F.col("_differ")) if differ else met
     best = F.min_by(F.struct("o", apart.alias("distance")), F.struct(apart, F.col("o.line")))
-    out = met.groupBy(*keys, "base_run", "line_no", "run_no").agg(F.first("speaker").alias("speaker"), F.first("content").alias("content"), best.alias("best"))
-    return out.select(*keys, "base_run", "line_no", "run_no", F.col("best.o.line").alias("other_line_no"), F.col("best.distance").alias("distance"), "speaker", "content", F.col("best.o.who").alias("other_speaker"), F.col("best.o.what").alias("other_content"))
+    out = met.groupBy(*keys, "base_run", "line_no", "run_no").agg(F.first("speaker").alias("speaker"), F.first("content").alias("content"), best.alias("best"), *[F.first(c).alias(c) for c in carry])
+    return out.select(*keys, "base_run", "line_no", "run_no", *carry, F.col("best.o.line").alias("other_line_no"), F.col("best.distance").alias("distance"), "speaker", "content", F.col("best.o.who").alias("other_speaker"), F.col("best.o.what").alias("other_content"))
 
 
 def as_base(lines: DataFrame) -> DataFrame:
     return lines.withColumnRenamed("run_no", "base_run")
 
 
-def compared(matches: DataFrame, same: Callable[[Column, Column], Column], similar: Callable[[Column, Column], Column]) -> DataFrame:
-    """matches with same_speaker (0 or 1) and similarity."""
-    return matches.withColumn("same_speaker", same(F.col("speaker"), F.col("other_speaker")).cast("int")).withColumn("similarity", similar(F.col("content"), F.col("other_content")))
+def formed(lines: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
+    """lines with the form of their content that is compared, made once a line."""
+    return lines.withColumn("content", form(F.col("content")))
 
 
-def align_v04(base: DataFrame, lines: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:
+def compared(matches: DataFrame, same: Callable[[Column, Column], Column], alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """matches of formed() lines with same_speaker (0 or 1) and similarity, and the contents as they were."""
+    judged = matches.withColumn("same_speaker", same(F.col("speaker"), F.col("other_speaker")).cast("int")).withColumn("similarity", alike(F.col("content"), F.col("other_content")))
+    return judged.withColumn("content", F.col("content.text")).withColumn("other_content", F.col("other_content.text"))
+
+
+def align_v04(base: DataFrame, lines: DataFrame, keys: tuple[str, ...] = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
     """The baseline's lines against every run, its own included, as it counts too."""
-    return compared(nearest(base, lines, keys), same_speaker_v04, jaccard_v04)
+    return compared(nearest(formed(base, form_v04), formed(lines, form_v04), keys, carry=carry), same_speaker_v04, alike_v04)
 
 
-def align_v03(base: DataFrame, lines: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:
-    return compared(nearest(base, lines, keys), lambda a, b: speaker_name(a) == speaker_name(b), jaccard_v03)
+def align_v03(base: DataFrame, lines: DataFrame, keys: tuple[str, ...] = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    return compared(nearest(formed(base, form_v03), formed(lines, form_v03), keys, carry=carry), lambda a, b: speaker_name(a) == speaker_name(b), alike_v03)
 
 
 def agreement(lines: DataFrame, runs: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:
@@ -61,8 +67,8 @@ def agreement(lines: DataFrame, runs: DataFrame, keys: tuple[str, ...] = CHUNK)
     A matched pair of lines counts 0.6 for the same speaker, by exact name, and 0.4 times the similarity of content. A
     chunk's only run gets 30, one without lines 0, one without a matched pair 15.
     """
-    marked = lines.join(runs.select(*keys, "run_no", F.sha2("text", 256).alias("text_sha")), [*keys, "run_no"])
-    pairs = compared(nearest(as_base(marked), marked, keys, differ="text_sha"), lambda a, b: a == b, jaccard_v03)
+    marked = formed(lines, form_v03).join(runs.select(*keys, "run_no", F.sha2("text", 256).alias("text_sha")), [*keys, "run_no"])
+    pairs = compared(nearest(as_base(marked), marked, keys, differ="text_sha"), lambda a, b: a == b, alike_v03)
     means = pairs.groupBy(*keys, F.col("base_run").alias("run_no")).agg(F.avg(F.col("same_speaker") * 0.6 + F.col("similarity") * 0.4).alias("mean"))
     counts = runs.groupBy(*keys).agg(F.count("*").alias("n_runs"))
     parsed = lines.select(*keys, "run_no").distinct().withColumn("parsed", F.lit(True))

@@ -73,6 +73,12 @@ def line_confidence(base: DataFrame, aligned: DataFrame) -> DataFrame:
     return base.join(means, [*CHUNK, "line_no"], "left").select(*base.columns, F.coalesce("s", F.lit(1.0)).alias("speaker_raw"), F.coalesce("c", F.lit(1.0)).alias("content_raw"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matched"))
 
 
+def confidence_of(aligned: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """line_confidence() where base is one of the runs: each of its lines then matches itself, and comes with its match."""
+    own = ("base_run", "speaker", "content", *carried)
+    return aligned.groupBy(*CHUNK, "line_no").agg(*[F.first(c).alias(c) for c in own], F.avg("same_speaker").alias("speaker_raw"), F.avg("similarity").alias("content_raw"), F.count("*").alias("n_matched"))
+
+
 def second_confidence(segments: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:
     """Segments (start_s, end_s, confidence) to keys, sec, vad: the largest confidence at each second, both ends included."""
     seconds = F.explode(F.sequence(F.col("start_s").cast("int"), F.col("end_s").cast("int"))).alias("sec")
@@ -105,14 +111,14 @@ def classify_v03(lines: DataFrame) -> DataFrame:
 def consensus_v04(runs: DataFrame, lines: DataFrame, voice: DataFrame | None = None, bonus: DataFrame | None = None, weight: float = VOICE_WEIGHT) -> DataFrame:
     """Flagged lines of every chunk's baseline. voice (job_id, chunk_no, sec, vad): confidence of speech by second."""
     base = baseline_lines(lines, baseline_v04(runs, bonus))
-    confident = line_confidence(base, align_v04(base, lines))
+    confident = confidence_of(align_v04(base, lines, carry=("ts", "sec")), ("ts", "sec"))
     confident = confident.join(voice, [*CHUNK, "sec"], "left") if voice is not None else confident.withColumn("vad", F.lit(NO_VOICE))
     return classify_v04(confident, weight)
 
 
 def consensus_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
     base = baseline_lines(lines, baseline_v03(runs, lines))
-    return classify_v03(line_confidence(base, align_v03(base, lines)))
+    return classify_v03(confidence_of(align_v03(base, lines, carry=("ts", "sec", "visual")), ("ts", "sec", "visual")))
 
 
 def quality_v04(flagged: DataFrame) -> DataFrame:

@@ -249,8 +249,9 @@ best3 AS (SELECT job_id, chunk_no, arg_max(run_no, (score, -run_no)) AS base_run
 
 
 def lines_v03(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    runs = derived.runs(spark, sf_dir)
-    return runs, parsing.parse_v03(runs)
+    """Runs and their lines, kept while the plan uses them again and again."""
+    runs = derived.runs(spark, sf_dir).persist()
+    return runs, parsing.parse_v03(runs).persist()
 
 
 @query(f"WITH {RUNS_SQL}, {AGREE_SQL} SELECT job_id, chunk_no, run_no, round(agreement, 6) AS agreement FROM agreement")
