@@ -48,10 +48,10 @@ class ShardStore:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/version={version}")
 
-    def commit(self, shards: DataFrame, version: int) -> None:
-        """Put the manifest in its place in one step; an error if the version exists by then."""
+    def commit(self, shards: DataFrame, version: int, about: int = 0) -> None:
+        """Put the manifest, of about so many rows, in its place in one step; an error if the version exists by then."""
         part = f"part-{uuid.uuid4().hex}"
-        shards.coalesce(1 + shards.count() // 100_000).write.parquet(f"{self.folder}/manifest/.{part}")
+        shards.coalesce(1 + about // 100_000).write.parquet(f"{self.folder}/manifest/.{part}")
         jvm, rename = self.spark._jvm, getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("manifest").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(self.path(f"manifest/.{part}"), self.path(f"manifest/version={version}"), self.spark.sparkContext._gateway.new_array(rename, 0))
@@ -74,7 +74,7 @@ class ShardStore:
         if rows is None:
             return self.spark.createDataFrame([], self.spark.read.parquet(f"{self.folder}/schema").schema)
         file_ = unused("_file", rows.columns)
-        return rows.withColumn(file_, self.file()).join(bounded(shards.select(F.col("file").alias(file_))), file_, "left_semi").drop(file_)
+        return rows.withColumn(file_, self.file()).join(bounded(shards.select(F.col("file").alias(file_)), shards.count()), file_, "left_semi").drop(file_)
 
     def rows(self, paths: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.folder}/data/{p}" for p in paths])
@@ -107,7 +107,8 @@ class ShardStore:
         if version == 1:
             docs.limit(0).write.mode("ignore").parquet(f"{self.folder}/schema")
         docs.write.option("compression", "zstd").option("maxRecordsPerFile", per_shard).parquet(f"{self.folder}/data/{batch}")
-        self.commit(self.manifest(version - 1).unionByName(self.listed(batch, docs.schema)), version)
+        held = self.manifest(version - 1)
+        self.commit(held.unionByName(self.listed(batch, docs.schema)), version, held.count() if version > 1 else 0)
         return version
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int:
@@ -124,27 +125,29 @@ class ShardStore:
         """Merge what is due, commit, and tell whether anything was."""
         version = self.version()
         shards = self.manifest(version)
-        runs = merge_runs(shards, target, fanout)
-        n_runs = runs.select("run").distinct().count()
-        if not n_runs:
+        n = shards.count()
+        runs = merge_runs(shards, n, target, fanout)
+        found = runs.agg(F.max("run").alias("last"), F.count("*").alias("members")).first()
+        if not found["members"]:
             return False
+        n_runs, members = found["last"] + 1, found["members"]
         batch = f"merged-{version + 1:06d}-{uuid.uuid4().hex}"
         rows = self.files(shards.join(runs.select("shard"), "shard", "left_semi"))
         schema, columns = rows.schema, rows.columns
         file_, run_, key_ = (unused(n, columns) for n in ("_file", "run", "_key"))
         keys = task_keys(self.spark, n_runs)
-        numbered = runs.join(bounded(keys), F.col("run") == F.col("task"))
+        numbered = runs.join(bounded(keys, n_runs), F.col("run") == F.col("task"))
         plan = numbered.select(F.col("file").alias(file_), F.col("run").alias(run_), F.col("key").alias(key_))
-        moved = rows.withColumn(file_, self.file()).join(bounded(plan), file_).drop(file_)
+        moved = rows.withColumn(file_, self.file()).join(bounded(plan, members), file_).drop(file_)
         moved.repartition(n_runs, key_).drop(key_).write.option("compression", "zstd").partitionBy(run_).parquet(f"{self.folder}/data/{batch}")
         kept = shards.join(runs.select("shard"), "shard", "left_anti").select(*shards.columns)
-        self.commit(kept.unionByName(self.listed(batch, schema)), version + 1)
+        self.commit(kept.unionByName(self.listed(batch, schema)), version + 1, n)
         return True
 
 
-def bounded(plan: DataFrame) -> DataFrame:
-    """plan, a row per shard, to be broadcast if it is short; else both sides of a join are shuffled."""
-    return F.broadcast(plan) if plan.count() <= BROADCAST_SHARDS else plan
+def bounded(plan: DataFrame, n: int) -> DataFrame:
+    """plan, n rows, one a shard, to be broadcast if it is short; else both sides of a join are shuffled."""
+    return F.broadcast(plan) if n <= BROADCAST_SHARDS else plan
 
 
 def rows_of(docs: DataFrame, size: int) -> int:
@@ -153,13 +156,12 @@ def rows_of(docs: DataFrame, size: int) -> int:
     return max(1, size * about["rows"] // max(1, about["bytes"]))
 
 
-def merge_runs(shards: DataFrame, target: int, fanout: int) -> DataFrame:
-    """shard, file, run of the shards of a manifest that are due to be merged, runs being numbered from 0.
+def merge_runs(shards: DataFrame, n: int, target: int, fanout: int) -> DataFrame:
+    """shard, file, run of the shards of a manifest of n rows that are due to be merged, runs being numbered from 0.
 
     In each lane of a tier, shards under the target follow each other by name; a run ends where it reaches the target. It is
     due if it has `fanout` shards, or two that fill a file.
     """
-    n = shards.count()
     small = shards.where(F.col("bytes") < target).withColumn("lane", F.pmod(F.xxhash64("shard"), F.lit(1 + n // LANE_SHARDS)))
     before = Window.partitionBy("tier", "lane").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = small.withColumn("part", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / F.lit(target)))
@@ -195,13 +197,14 @@ def shard(docs: DataFrame, folder: str, target: int = TARGET_BYTES, arrivals: in
         store.append(docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(arrivals)) == k), per_shard)
         store.compact(target)
     version = store.version()
+    n = store.manifest(version).count()
     about = store.manifest(version).select("file", "shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
     rows = store.files(store.manifest(version))
     if rows is None:
         stored = docs.limit(0).select("doc_id", F.lit("").alias("file"), "text")
     else:
         stored = rows.select("doc_id", store.file().alias("file"), "text")
-    joined = stored.select("doc_id", "file", F.crc32(F.col("text").cast("binary")).alias("text_crc32")).join(bounded(about), "file")
+    joined = stored.select("doc_id", "file", F.crc32(F.col("text").cast("binary")).alias("text_crc32")).join(bounded(about, n), "file")
     return joined.select("doc_id", "shard", "shard_rows", "shard_bytes", "tier", F.lit(version).alias("version"), "text_crc32")
 
 

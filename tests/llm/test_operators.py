@@ -84,7 +84,7 @@ def test_merge_plan_against_a_plain_loop(spark):
             size += n
         want += [sorted(n for n, _ in r) for r in runs.values() if len(r) >= fanout or len(r) > 1 and sum(n for _, n in r) >= target]
     got = {}
-    for r in shards.merge_runs(spark.createDataFrame(held, shards.MANIFEST), target, fanout).collect():
+    for r in shards.merge_runs(spark.createDataFrame(held, shards.MANIFEST), len(held), target, fanout).collect():
         got.setdefault(r.run, []).append(r.shard)
     assert sorted(map(sorted, got.values())) == sorted(want) and sorted(got) == list(range(len(want))) and len(want) > 3
 
