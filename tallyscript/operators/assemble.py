@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscript.functions.similarity import bound
 from tallyscript.functions.text import METADATA_V03, METADATA_V04, ONE_WORD_LINE, QUALITY_MARKS, FAILED_PART_V03, clock_seconds, failed, failed_v03, is_metadata, keeps_context, lines_of, seconds_clock, strip
 
 
@@ -67,6 +68,20 @@ def continuity(chunk_no: Column, previous: Column) -> Column:
     )
 
 
+#: Fixed sentences of the older format's prompt.
+START_V03 = "\n\nIMPORTANT: This is the start of the video. Begin transcription from the very beginning."
+BEFORE_V03 = "\n\nPREVIOUS CONTEXT: Here are the final moments from the previous video segment:\n\n"
+AFTER_V03 = "\n\nIMPORTANT: Continue the transcription naturally from where this context ends. Maintain speaker identification consistency and conversational flow. Use the same speaker names (Ava, A06, A04, BS) as established in the previous context."
+UNKNOWN_V03 = ("\n\nIMPORTANT: This continues from the previous video segment (chunk ", "). Maintain speaker identification consistency.")
+
+
+def full_prompt_v03(base: Column, chunk_no: Column, previous: Column) -> Column:
+    """The older format's prompt: base, and how it goes on from the previous chunk's transcript."""
+    unknown = F.concat(F.lit(UNKNOWN_V03[0]), (chunk_no - 1).cast("string"), F.lit(UNKNOWN_V03[1]))
+    known = bound(F.coalesce(context_v03(previous), F.lit("")), lambda lines: F.when(lines != "", F.concat(F.lit(BEFORE_V03), lines, F.lit(AFTER_V03))).otherwise(unknown))
+    return F.concat(base, F.when(chunk_no == 1, START_V03).otherwise(known))
+
+
 def voice_context(fallback: Column, ratio: Column, segments: Column, confidence: Column) -> Column:
     """The lines that tell a model about voice activity."""
     activity = F.when(segments > 10, "- High speech activity detected - expect multiple speaker turns").when(segments < 3, "- Low speech activity - focus on clear, distinct utterances")

@@ -227,6 +227,17 @@ def consensus_v04_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged_v04(spark, sf_dir).groupBy("job_id", "chunk_no").agg(F.array_join(ordered, "\n").alias("text"))
 
 
+@query(
+    rf"""WITH {JOB_CHUNKS_SQL}, held AS (SELECT job_id, chunk_no, last_value(CASE WHEN NOT (starts_with(text, '[CONSENSUS_FAILED') OR starts_with(text, '[VALIDATION_FAILED')) THEN text END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM job_chunks),
+k AS (SELECT job_id, chunk_no, coalesce(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: contains(x, ':') AND regexp_matches(substr(x, 1, 10), '[0-9]'))[-50:], chr(10)), '') AS c FROM held)
+SELECT job_id, chunk_no, 'Transcribe job ' || job_id || '.' || chr(10) || chr(10) || CASE WHEN chunk_no = 1 THEN 'IMPORTANT: This is the start of the video. Begin transcription from the very beginning.' WHEN c <> '' THEN 'PREVIOUS CONTEXT: Here are the final moments from the previous video segment:' || chr(10) || chr(10) || c || chr(10) || chr(10) || 'IMPORTANT: Continue the transcription naturally from where this context ends. Maintain speaker identification consistency and conversational flow. Use the same speaker names (Ava, A06, A04, BS) as established in the previous context.' ELSE 'IMPORTANT: This continues from the previous video segment (chunk ' || chunk_no - 1 || '). Maintain speaker identification consistency.' END AS prompt FROM k"""
+)
+def prompt_assembly_v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.concat(F.lit("Transcribe job "), F.col("job_id").cast("string"), F.lit("."))
+    rows = assemble.carry_context(chunks_of_jobs(spark, sf_dir), v03=True)
+    return rows.select("job_id", "chunk_no", assemble.full_prompt_v03(base, F.col("chunk_no"), F.col("previous")).alias("prompt"))
+
+
 # Jobs and prompts as tables
 
 
