@@ -27,7 +27,7 @@ from tallyscript.llm.common import SLICE_BYTES, IdFilter, discard, large_join, t
 #: Bytes of a repeated string, and of the anchors by round.
 LENGTH, ANCHORS = 400, (192, 340, 385, 400)
 #: Bytes of the segments of one anchor that are sorted in one task; of segments that are sorted together; segments a task, about.
-GROUP_BYTES, SORT_BYTES, TASK_SEGMENTS = 1 << 20, 1 << 20, 1 << 13
+GROUP_BYTES, SORT_BYTES, TASK_SEGMENTS = 1 << 19, 1 << 18, 1 << 13
 #: Windows that are looked at together in a task.
 PART = 1 << 18
 #: An odd base of the polynomial hash modulo 2**64, and its inverse.

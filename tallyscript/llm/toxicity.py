@@ -25,6 +25,8 @@ G_HALF = 20.0
 COMMON, FEW = 16, 4
 #: Texts that are searched for together; blocks of best bound that each looks at first.
 TEXTS, FIRST_BLOCKS = 128, 8
+#: Words that a task remembers at most, some 200 bytes each.
+WORDS = 200_000
 #: What a cosine may be off by while common terms are multiplied with single precision; those that it could matter for are added up anew.
 ROUGH = 1e-4
 #: Starts of words in bytes that are terms as the words are: they gather the forms of a word.
@@ -185,23 +187,11 @@ class Examples:
     def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
         return self.weighed(*counts) if len(counts[0]) else None
 
-    def query(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The text's terms of the vocabulary and their counts; known holds those of words seen."""
-        _, terms, counts = self.query_all([text], known)
+    def query(self, text: bytes, known: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms of the vocabulary and their counts."""
+        _, terms, counts = terms_of_texts([text], known or Words(self.vocabulary))
         return terms, counts
 
-    def query_all(self, texts: list[bytes], known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count) of all texts, in the order of texts and terms."""
-        words = [words_of(t) for t in texts]
-        lists = [known[w] if w in known else terms_known(w, self.vocabulary, known) for one in words for w in one]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        of_word = np.repeat(np.arange(len(texts)), [len(one) for one in words])
-        counts = np.fromiter(itertools.chain.from_iterable(one.values() for one in words), float, len(lists))
-        terms = np.fromiter(itertools.chain.from_iterable(lists), np.int64, sizes.sum())
-        size = max(len(self.vocabulary), 1)
-        keys, at = np.unique(np.repeat(of_word, sizes) * size + terms, return_inverse=True)
-        return keys // size, keys % size, np.bincount(at, np.repeat(counts, sizes), len(keys))
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         return self.nearest_all(np.zeros(len(terms), np.int64), terms, weights, 1, k)[0]
 
@@ -257,15 +247,15 @@ class Examples:
             out.append([(float(exact[j]), int(places[j])) for j in best if exact[j] > 0])
         return out
 
-    def score(self, text: bytes, known: dict[bytes, list[int]]) -> tuple[float, str]:
+    def score(self, text: bytes) -> tuple[float, str]:
         """(score, evidence): shares of cubed cosines, held towards the base rate; the three nearest examples."""
-        return self.score_all([text], known)[0]
+        return self.score_all([text], Words(self.vocabulary))[0]
 
-    def score_all(self, texts: list[bytes], known: dict[bytes, list[int]]) -> list[tuple[float, str]]:
+    def score_all(self, texts: list[bytes], known: Words) -> list[tuple[float, str]]:
         rows = []
         for start in range(0, len(texts), TEXTS):
             some = texts[start : start + TEXTS]
-            text, terms, counts = self.query_all(some, known)
+            text, terms, counts = terms_of_texts(some, known)
             weights = (1 + np.log(counts)) * self.idf[terms]
             weights /= np.sqrt(np.bincount(text, weights * weights, len(some)))[text]
             have = np.bincount(text, minlength=len(some)) > 0
@@ -281,14 +271,49 @@ class Examples:
         return float(min(1.0, max(0.0, toxic / total))), ",".join(f"{self.ids[e]}:{cosine:.4f}" for cosine, e in near[:3])
 
 
-def terms_known(word: bytes, vocabulary: dict[bytes, int], known: dict[bytes, list[int]]) -> list[int]:
-    terms = known.get(word)
-    if terms is None:
-        terms = [vocabulary[t] for t in terms_of_word(word) if t in vocabulary]
-        if len(known) >= 200_000:
-            known.clear()
-        known[word] = terms
-    return terms
+class Words(dict):
+    """Numbers of the words seen, and the terms of a vocabulary that each stands for."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[list[int]] = []
+        self.start, self.terms = np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append([self.vocabulary[t] for t in terms_of_word(word) if t in self.vocabulary])
+        return number
+
+    def numbers(self, words: Iterator[bytes], n: int) -> np.ndarray:
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        if self.new:
+            self.start = np.append(self.start, self.start[-1] + np.cumsum([len(t) for t in self.new]))
+            self.terms = np.append(self.terms, np.fromiter(itertools.chain.from_iterable(self.new), np.int64))
+            self.new = []
+        return numbers
+
+
+def terms_of_texts(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of all texts, in the order of texts and terms."""
+    if len(known) > WORDS:
+        known.forget()
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(one) for one in words], np.int64)
+    numbers = known.numbers(itertools.chain.from_iterable(words), sizes.sum())
+    counts = np.fromiter(itertools.chain.from_iterable(one.values() for one in words), float, sizes.sum())
+    at, n = ranges(known.start[numbers], known.start[numbers + 1])
+    size = max(len(known.vocabulary), 1)
+    keys = np.repeat(np.repeat(np.arange(len(texts)) * size, sizes), n) + known.terms[at]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    keys, counts = keys[first], np.add.reduceat(np.repeat(counts, n)[order], first) if len(first) else np.empty(0)
+    return keys // size, keys % size, counts
 
 
 def document_counts(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -296,15 +321,12 @@ def document_counts(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict[byte
     shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
-        vocabulary, n = shared.value, np.zeros(len(shared.value) + 1, np.int64)  # the last one counts texts
+        known, n = Words(shared.value), np.zeros(len(shared.value) + 1, np.int64)  # the last one counts texts
         for _, texts in slices(batches):
-            for text in texts:
-                have: set[int] = set()
-                for word in set(text.translate(LETTERS).split()):
-                    have.update(terms_known(word, vocabulary, known))
-                n[np.fromiter(have, np.int64, len(have))] += 1
-                n[-1] += 1
+            n[-1] += len(texts)
+            for start in range(0, len(texts), TEXTS):
+                _, found, _ = terms_of_texts(texts[start : start + TEXTS], known)
+                n[:-1] += np.bincount(found, minlength=len(shared.value))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["term", "n"])
 
@@ -342,7 +364,7 @@ def score(docs: DataFrame, model: Examples) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
+        known = Words(shared.value.vocabulary)
         for part, texts in slices(batches):
             got = shared.value.score_all(texts, known)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= DECISION) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], ["doc_id", "score", "predicted", "evidence"])

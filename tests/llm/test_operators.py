@@ -195,7 +195,7 @@ def test_block_max_search_is_exact(spark, sf_dir):
     for b, block in enumerate(model.postings):
         whole[:, b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK] = block[:, : len(model.ids) - b * toxicity.BLOCK]
     for _ in range(50):
-        vector = model.vector(model.query(" ".join(rng.choices(words, k=8)).encode(), {}))
+        vector = model.vector(model.query(" ".join(rng.choices(words, k=8)).encode()))
         if vector:
             scores = vector[1] @ whole[vector[0]]
             want = sorted(((-round(s, 12), e) for e, s in enumerate(scores) if s > 0))[: toxicity.NEAREST]
@@ -210,7 +210,7 @@ def test_toxicity_held_out():
         return " ".join(rng.choices(neutral, k=60) + rng.choices(["vile", "scumbag", "idiotic"], k=3 * toxic)).encode()
 
     model = toxicity.Examples([(i, i % 2, text(i % 2)) for i in range(300)], (900, 100))
-    scores = [(toxic, model.score(text(toxic), {})[0]) for toxic in (0, 1) * 60]
+    scores = [(toxic, model.score(text(toxic))[0]) for toxic in (0, 1) * 60]
     assert all((s >= toxicity.DECISION) == bool(t) for t, s in scores)
 
 
@@ -222,7 +222,7 @@ def test_toxicity_of_rare_wording():
     model = toxicity.Examples(texts, (180, 20))
     for i, label, text in texts:
         copy = b" ".join(text.split()[2:] + [b"another", b"ending"])
-        score, evidence = model.score(copy, {})
+        score, evidence = model.score(copy)
         assert evidence.startswith(f"{i}:") and (score >= toxicity.DECISION) == bool(label)
 
 
