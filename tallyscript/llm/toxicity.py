@@ -20,15 +20,17 @@ from tallyscript.llm.common import fold_remainder, slices, table
 EXAMPLES, NEAREST, BLOCK = 1500, 15, 64
 #: Every term of an example is in the index; its G statistic over the examples is a weight: at this, half of the largest.
 G_HALF = 20.0
-#: A term that one of COMMON examples has is an array over all examples; one of at most FEW examples is added up in full;
-#: for those between, the index has where each block's postings start, and their largest weight.
-COMMON, FEW = 16, 4
+#: A term that one of COMMON examples has is an array over all examples, in single precision; one of at most FEW examples is
+#: added up in full; for those between, the index has where each block's postings start, and their largest weight.
+COMMON, FEW = 32, 4
+#: Terms that one of ALIKE examples has decide which examples are alike.
+ALIKE = 16
 #: Texts that are searched for together; blocks of best bound that each looks at first.
 TEXTS, FIRST_BLOCKS = 128, 8
 #: Words that a task remembers at most, some 200 bytes each.
 WORDS = 200_000
 #: What a cosine may be off by while common terms are multiplied with single precision; those that it could matter for are added up anew.
-ROUGH = 1e-4
+ROUGH = 3e-4
 #: Starts of words in bytes that are terms as the words are: they gather the forms of a word.
 STARTS = (4, 5, 6)
 #: Weight of the base rate beside the votes, in votes of toxic examples at cosine 1.
@@ -108,7 +110,7 @@ class Examples:
         """
         vectors = [self.weighed(t, c) for t, c in counted]
         have = np.bincount(np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]), minlength=len(self.vocabulary))
-        common = np.flatnonzero(have * COMMON >= max(len(vectors), 1))
+        common = np.flatnonzero(have * ALIKE >= max(len(vectors), 1))
         rows = np.zeros((len(vectors), len(common)), np.float32)
         for row, (terms, weights) in zip(rows, vectors, strict=True):
             at = np.searchsorted(common, terms)
@@ -142,6 +144,7 @@ class Examples:
 
     def invert(self) -> None:
         vectors, size = [self.weighed(t, c) for t, c in self.texts], len(self.vocabulary)
+        self.vectors = vectors
         self.blocks = -(-len(vectors) // BLOCK)
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
         weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
@@ -150,9 +153,8 @@ class Examples:
         self.column = np.full(size, -1)
         self.column[common] = np.arange(len(common))
         dense = self.column[term] >= 0
-        self.common = np.zeros((len(common), self.blocks * BLOCK))
+        self.common = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         self.common[self.column[term[dense]], place[dense]] = weight[dense]
-        self.rough = self.common.astype(np.float32)
         order = np.lexsort((place[~dense], term[~dense]))
         term, self.place, self.weight = term[~dense][order], place[~dense][order].astype(np.int32), weight[~dense][order]
         self.start = np.searchsorted(term, np.arange(size + 1))
@@ -172,12 +174,8 @@ class Examples:
         """Each block as an array of its weights by term and example."""
         for b in range(self.blocks):
             block = np.zeros((len(self.vocabulary), BLOCK))
-            some = self.column >= 0
-            block[some] = self.common[self.column[some], b * BLOCK : (b + 1) * BLOCK]
-            for t in np.flatnonzero(~some):
-                held = np.arange(self.start[t], self.start[t + 1])
-                held = held[self.place[held] // BLOCK == b]
-                block[t, self.place[held] % BLOCK] = self.weight[held]
+            for k, (terms, weights) in enumerate(self.vectors[b * BLOCK : (b + 1) * BLOCK]):
+                block[terms, k] = weights
             yield block
 
     def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +206,7 @@ class Examples:
         dense = self.column[terms] >= 0
         query = np.zeros((n, len(self.common)), np.float32)
         query[text[dense], self.column[terms[dense]]] = weights[dense]
-        common = query @ self.rough
+        common = query @ self.common
         row = self.row[terms]
         few = row < 0
         found, size = ranges(self.start[terms[few]], self.start[terms[few] + 1])
@@ -236,14 +234,15 @@ class Examples:
             least = np.partition(scores, width - min(k, width), axis=1)[:, width - min(k, width)]
             if not last:
                 looked = ~chosen & (bound > 0) & (bound >= least[:, None] - 2 * ROUGH)
-        out = []
+        out, whole = [], np.zeros(len(self.vocabulary))
         at = np.searchsorted(text, np.arange(n + 1))
         for i in range(n):
             places = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 2 * ROUGH))
-            own = np.arange(at[i], at[i + 1])
-            own = own[dense[own]]
-            exact = rest[i, places] + weights[own] @ self.common[np.ix_(self.column[terms[own]], places)]
-            best = np.lexsort((places, -np.round(exact, 12)))[:k]
+            own = terms[at[i] : at[i + 1]]
+            whole[own] = weights[at[i] : at[i + 1]]
+            exact = np.array([whole[t] @ w for t, w in map(self.vectors.__getitem__, places.tolist())])
+            whole[own] = 0
+            best = np.lexsort((places, -np.round(exact, 12)))[:k] if len(places) else ()
             out.append([(float(exact[j]), int(places[j])) for j in best if exact[j] > 0])
         return out
 
