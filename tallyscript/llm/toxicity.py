@@ -285,7 +285,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
-        self.new.append([self.vocabulary[t] for t in terms_of_word(word) if t in self.vocabulary])
+        self.new.append([k for k in map(self.vocabulary.get, terms_of_word(word)) if k is not None])
         return number
 
     def numbers(self, words: Iterator[bytes], n: int) -> np.ndarray:
