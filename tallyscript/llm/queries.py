@@ -19,6 +19,7 @@ NAMED = {
     "op8_host_quality": ("tallyscript.llm.quality", "op8"),
     "op9_repeats": ("tallyscript.llm.repeats", "op9"),
     "op10_token_shards": ("tallyscript.llm.tokens", "op10"),
+    "op11_centroids": ("tallyscript.llm.clusters", "op11"),
 }
 
 #: Query name: the module and the SQL in it.
@@ -27,6 +28,7 @@ SQL = {
     "op5_source_mix": ("tallyscript.llm.mixing", "OP5_SQL"),
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "OP6_SQL"),
     "op8_host_quality": ("tallyscript.llm.quality", "OP8_SQL"),
+    "op11_centroids": ("tallyscript.llm.clusters", "OP11_SQL"),
 }
 
 
