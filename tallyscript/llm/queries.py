@@ -20,6 +20,7 @@ NAMED = {
     "op9_repeats": ("tallyscript.llm.repeats", "op9"),
     "op10_token_shards": ("tallyscript.llm.tokens", "op10"),
     "op11_centroids": ("tallyscript.llm.clusters", "op11"),
+    "op12_periods": ("tallyscript.llm.periods", "op12"),
 }
 
 #: Query name: the module and the SQL in it.
