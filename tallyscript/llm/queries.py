@@ -21,6 +21,7 @@ NAMED = {
     "op10_token_shards": ("tallyscript.llm.tokens", "op10"),
     "op11_centroids": ("tallyscript.llm.clusters", "op11"),
     "op12_periods": ("tallyscript.llm.periods", "op12"),
+    "op13_chats": ("tallyscript.llm.chats", "op13"),
 }
 
 #: Query name: the module and the SQL in it.
@@ -30,6 +31,7 @@ SQL = {
     "op6_decontaminate": ("tallyscript.llm.decontaminate", "OP6_SQL"),
     "op8_host_quality": ("tallyscript.llm.quality", "OP8_SQL"),
     "op11_centroids": ("tallyscript.llm.clusters", "OP11_SQL"),
+    "op13_chats": ("tallyscript.llm.chats", "OP13_SQL"),
 }
 
 
