@@ -103,8 +103,8 @@ def full_prompt(base: Column, voice: Column, sequence: Column) -> Column:
     return F.concat_ws("\n\n", base, voice, sequence)
 
 
-def assemble(chunks: DataFrame) -> DataFrame:
-    """chunks (job_id, chunk_no, start_s, text, voice_line) to a row per job: job_id, n_chunks, n_failed, document.
+def parts(chunks: DataFrame) -> DataFrame:
+    """chunks (job_id, chunk_no, start_s, text, voice_line) to a document's parts: job_id, chunk_no, bad, part.
 
     Each chunk has a head, its voice activity and its shifted lines; a failed one keeps its text under a banner.
     """
@@ -112,20 +112,28 @@ def assemble(chunks: DataFrame) -> DataFrame:
     bad = (text == "") | failed(text)
     body = F.when(bad, F.concat(F.lit("❌ CHUNK "), F.col("chunk_no").cast("string"), F.lit(" FAILED:\n"), text)).otherwise(shift_text(text, F.col("start_s")))
     head = F.concat(F.lit("📌 CHUNK "), F.col("chunk_no").cast("string"), F.format_string(" (Starting at %.1f minutes)", F.col("start_s") / 60))
-    parts = chunks.select("job_id", "chunk_no", bad.alias("bad"), F.concat_ws("\n", head, F.concat(F.lit("   📊 VAD: "), F.coalesce("voice_line", F.lit("Traditional chunking mode"))), F.lit("-" * 60), body, F.lit("")).alias("part"))
+    return chunks.select("job_id", "chunk_no", bad.alias("bad"), F.concat_ws("\n", head, F.concat(F.lit("   📊 VAD: "), F.coalesce("voice_line", F.lit("Traditional chunking mode"))), F.lit("-" * 60), body, F.lit("")).alias("part"))
+
+
+def assemble(chunks: DataFrame) -> DataFrame:
+    """parts() joined to a row per job: job_id, n_chunks, n_failed, document."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))), lambda s: s["part"]), "\n")
-    return parts.groupBy("job_id").agg(F.count("*").alias("n_chunks"), F.count_if("bad").alias("n_failed"), joined.alias("document"))
+    return parts(chunks).groupBy("job_id").agg(F.count("*").alias("n_chunks"), F.count_if("bad").alias("n_failed"), joined.alias("document"))
 
 
-def assemble_v03(chunks: DataFrame) -> DataFrame:
-    """chunks (job_id, chunk_no, start_s, text) to job_id, n_chunks, n_left_out, document: empty and failed chunks are left out."""
+def parts_v03(chunks: DataFrame) -> DataFrame:
+    """chunks (job_id, chunk_no, start_s, text) to job_id, chunk_no, out, part; empty and failed chunks are out, and have no part."""
     text = strip(F.col("text"))
     left_out = (text == "") | failed_v03(text, FAILED_PART_V03)
     head = F.concat(F.lit("--- Chunk "), F.col("chunk_no").cast("string"), F.format_string(" (Starting at %.1f minutes) ---", F.col("start_s") / 60))
-    parts = chunks.select("job_id", "chunk_no", left_out.alias("out"), F.when(~left_out, F.concat_ws("\n", head, shift_text(text, F.col("start_s"), v03=True), F.lit(""))).alias("part"))
+    return chunks.select("job_id", "chunk_no", left_out.alias("out"), F.when(~left_out, F.concat_ws("\n", head, shift_text(text, F.col("start_s"), v03=True), F.lit(""))).alias("part"))
+
+
+def assemble_v03(chunks: DataFrame) -> DataFrame:
+    """parts_v03() joined to a row per job: job_id, n_chunks, n_left_out, document."""
     kept = F.collect_list(F.when(F.col("part").isNotNull(), F.struct("chunk_no", "part")))
     joined = F.array_join(F.transform(F.array_sort(kept), lambda s: s["part"]), "\n")
-    return parts.groupBy("job_id").agg(F.count("*").alias("n_chunks"), F.count_if("out").alias("n_left_out"), joined.alias("document"))
+    return parts_v03(chunks).groupBy("job_id").agg(F.count("*").alias("n_chunks"), F.count_if("out").alias("n_left_out"), joined.alias("document"))
 
 
 def voice_line(segments: Column, ratio: Column, confidence: Column) -> Column:

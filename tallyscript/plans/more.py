@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscript.operators import assemble, chunking, consensus, cost, jobs, parsing, signal, validate
-from tallyscript.plans.queries import FLAGGED_SQL, JOB_CHUNKS_SQL, PLAIN_FLAG_SQL, PROGRESS_SQL, SHIFT_SQL, V03_SQL, V04_SQL, chunks_of_jobs, flagged_v04, lines_v03, query, rounded, shared_folder
+from tallyscript.plans.queries import FLAGGED_SQL, JOB_CHUNKS_SQL, PARTS_SQL, PLAIN_FLAG_SQL, PROGRESS_SQL, SHIFT_SQL, V03_SQL, V04_SQL, chunks_of_jobs, flagged_v04, lines_v03, query, rounded
 from tallyscript.sources import derived, tables
 from tallyscript.sources.derived import CALLS_SQL, JOBS_SQL, RUNS_SQL
+from tallyscript.sources.shared import new_folder
 from tallyscript.sources.tables import table
 from tallyscript.streaming import progress
 
@@ -293,18 +294,40 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sinks, and energy of samples
 
 
-@query(rf"WITH {JOB_CHUNKS_SQL}, {SHIFT_SQL} SELECT job_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM shifted GROUP BY job_id")
+FILES_SQL = rf"""{JOB_CHUNKS_SQL}, {SHIFT_SQL}, {PARTS_SQL},
+good AS (SELECT job_id, chunk_no, row_number() OVER (PARTITION BY job_id, chunk_no ORDER BY run_no) AS run_no, text FROM runs WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 50 AND contains(text, ':')),
+run_lines AS (SELECT job_id, chunk_no, run_no, i, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT job_id, chunk_no, run_no, string_split(text, chr(10)) AS l FROM good))),
+files AS (SELECT 'run' AS kind, job_id, chunk_no, run_no, string_agg(line, chr(10) ORDER BY i) AS text FROM run_lines GROUP BY ALL
+  UNION ALL SELECT 'chunk', job_id, chunk_no, -1, string_agg(line, chr(10) ORDER BY i) FROM (SELECT job_id, chunk_no, i, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT job_id, chunk_no, string_split(text, chr(10)) AS l FROM job_chunks))) GROUP BY job_id, chunk_no
+  UNION ALL SELECT 'combined', job_id, -1, -1, string_agg(part, chr(10) ORDER BY chunk_no) FROM p GROUP BY job_id)"""
+
+
+@query(rf"WITH {FILES_SQL} SELECT kind, job_id, chunk_no, run_no, len(string_split(text, chr(10))) AS n_lines, sha256(text) AS text_sha256 FROM files")
 def transcript_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifted lines, written as text by job and read back."""
-    folder = shared_folder(spark, "transcripts")
-    tables.write_transcripts(assemble.shift_lines(chunks_of_jobs(spark, sf_dir)), folder)
-    return tables.read_transcripts(spark, folder).groupBy("job_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    """The files of all jobs, written as text and read back: one for each valid run, each chunk, and each job's whole document."""
+    folder = new_folder(spark, "transcripts")
+    checked = validate.validate(derived.runs(spark, sf_dir)).where("ok")
+    number = F.row_number().over(Window.partitionBy("job_id", "chunk_no").orderBy("run_no"))
+    chunks = chunks_of_jobs(spark, sf_dir)
+    whole = assemble.parts(chunks.withColumn("voice_line", F.lit(None).cast("string"))).select("job_id", "chunk_no", F.col("part").alias("text"))
+    kinds = {
+        "run": (checked.select("job_id", "chunk_no", number.alias("run_no"), "text"), ("job_id", "chunk_no", "run_no"), ("line_no",)),
+        "chunk": (chunks.select("job_id", "chunk_no", "text"), ("job_id", "chunk_no"), ("line_no",)),
+        "combined": (whole, ("job_id",), ("chunk_no", "line_no")),
+    }
+    read = []
+    for kind, (texts, by, order) in kinds.items():
+        tables.write_transcripts(tables.numbered_lines(texts), f"{folder}/{kind}", by, order)
+        file = tables.read_transcripts(spark, f"{folder}/{kind}", by)
+        column = lambda c, by=by: (F.col(c) if c in by else F.lit(-1)).cast("long").alias(c)
+        read.append(file.select(F.lit(kind).alias("kind"), *map(column, ("job_id", "chunk_no", "run_no")), F.size(F.split("text", "\n", -1)).alias("n_lines"), F.sha2("text", 256).alias("text_sha256")))
+    return read[0].unionByName(read[1]).unionByName(read[2])
 
 
 @query(f"WITH {JOB_CHUNKS_SQL} SELECT job_id, count(*) AS n_chunks, count(*) FILTER (starts_with(text, '[')) AS n_failed FROM job_chunks GROUP BY job_id")
 def summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary of each job, written as JSON and read back."""
-    folder = shared_folder(spark, "summaries")
+    folder = new_folder(spark, "summaries")
     rows = assemble.assemble(chunks_of_jobs(spark, sf_dir).withColumn("voice_line", F.lit(None).cast("string"))).drop("document")
     tables.write_summaries(rows, folder)
     return tables.read_summaries(spark, folder, rows.schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from tallyscript.operators import align, assemble, chunking, consensus, cost, jo
 from tallyscript.plans.voice import VOICE_SQL, runs_voice
 from tallyscript.sources import derived
 from tallyscript.sources.derived import CALLS_SQL, FRAMES_SQL, JOBS_SQL, RUNS_SQL, STREAMS_SQL
+from tallyscript.sources.shared import new_folder
 from tallyscript.sources.tables import event_lines, table
 from tallyscript.streaming import progress
 
@@ -470,11 +470,11 @@ def carry_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.carry_context(chunks_of_jobs(spark, sf_dir)).select("job_id", "chunk_no", F.coalesce("context_chunk_no", F.lit(-1)).alias("context_chunk_no"), "context")
 
 
-@query(
-    rf"""WITH {JOB_CHUNKS_SQL}, {SHIFT_SQL}, body AS (SELECT job_id, chunk_no, string_agg(line, chr(10) ORDER BY line_no) AS body FROM shifted GROUP BY ALL),
-p AS (SELECT c.job_id, c.chunk_no, starts_with(text, '[') AS bad, '📌 CHUNK ' || c.chunk_no || printf(' (Starting at %.1f minutes)', start_s / 60) || chr(10) || '   📊 VAD: Traditional chunking mode' || chr(10) || repeat('-', 60) || chr(10) || CASE WHEN starts_with(text, '[') THEN '❌ CHUNK ' || c.chunk_no || ' FAILED:' || chr(10) || text ELSE body END || chr(10) AS part FROM job_chunks c LEFT JOIN body ON body.job_id = c.job_id AND body.chunk_no = c.chunk_no)
-SELECT job_id, count(*) AS n_chunks, count(*) FILTER (bad) AS n_failed, string_agg(part, chr(10) ORDER BY chunk_no) AS document FROM p GROUP BY job_id"""
-)
+PARTS_SQL = r"""body AS (SELECT job_id, chunk_no, string_agg(line, chr(10) ORDER BY line_no) AS body FROM shifted GROUP BY ALL),
+p AS (SELECT c.job_id, c.chunk_no, starts_with(text, '[') AS bad, '📌 CHUNK ' || c.chunk_no || printf(' (Starting at %.1f minutes)', start_s / 60) || chr(10) || '   📊 VAD: Traditional chunking mode' || chr(10) || repeat('-', 60) || chr(10) || CASE WHEN starts_with(text, '[') THEN '❌ CHUNK ' || c.chunk_no || ' FAILED:' || chr(10) || text ELSE body END || chr(10) AS part FROM job_chunks c LEFT JOIN body ON body.job_id = c.job_id AND body.chunk_no = c.chunk_no)"""
+
+
+@query(rf"WITH {JOB_CHUNKS_SQL}, {SHIFT_SQL}, {PARTS_SQL} SELECT job_id, count(*) AS n_chunks, count(*) FILTER (bad) AS n_failed, string_agg(part, chr(10) ORDER BY chunk_no) AS document FROM p GROUP BY job_id")
 def assemble_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble(chunks_of_jobs(spark, sf_dir).withColumn("voice_line", F.lit(None).cast("string")))
 
@@ -600,14 +600,8 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LATEST_SQL)
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """progress_latest as a stream: the lines are written as text files, and followed until all that is there has been read."""
-    folder = shared_folder(spark, "progress")
+    folder = new_folder(spark, "progress")
     progress.to_text(derived.progress_log(spark, sf_dir)).write.text(f"{folder}/lines")
     lines = progress.from_text(event_lines(spark, f"{folder}/lines"))
     progress.follow(lines, f"{folder}/checkpoint", f"{folder}/state").awaitTermination()
     return progress.followed(spark, f"{folder}/state")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the driver and all executors see it: below the checkpoints, or the warehouse if the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

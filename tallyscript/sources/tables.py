@@ -40,14 +40,27 @@ def importable(prompts: DataFrame) -> DataFrame:
     return prompts.where("name <> '' and prompt_text <> ''")
 
 
-def write_transcripts(rows: DataFrame, path: str) -> None:
-    """Sink: a line per row of `line`, a folder per job."""
-    rows.select("job_id", "line").write.partitionBy("job_id").text(path)
+def numbered_lines(texts: DataFrame) -> DataFrame:
+    """texts (..., text) with a row for each line, in place of text: line_no, line."""
+    return texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """What write_transcripts() wrote: job_id, line."""
-    return spark.read.schema("value string, job_id long").text(path).select("job_id", F.col("value").alias("line"))
+def write_transcripts(rows: DataFrame, path: str, by: tuple[str, ...], order: tuple[str, ...]) -> None:
+    """Sink: a text file for each value of `by`, alone in its folder, with the rows' `line` in the order of `order`.
+
+    Rows are dealt by ranges of `by`, so that one task writes a whole file, and are sorted there before they are written; a
+    file is never held in memory. A null counts as a value. Columns of `by` are numbers, as the order of strings would be
+    lost when folders are made.
+    """
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by, *order)
+    dealt.select(*by, "line").write.partitionBy(*by).text(path)
+
+
+def read_transcripts(spark: SparkSession, path: str, by: tuple[str, ...]) -> DataFrame:
+    """What write_transcripts() wrote, a row a file: by, text (without the last line's end)."""
+    kinds = ", ".join(f"{c} long" for c in by)
+    files = spark.read.schema(f"value string, {kinds}").text(path, wholetext=True)
+    return files.select(*by, F.expr("substring(value, 1, length(value) - 1)").alias("text"))
 
 
 def write_summaries(rows: DataFrame, path: str) -> None:
