@@ -579,29 +579,36 @@ def admit_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Progress
 
 PROGRESS_SQL = """ev AS (SELECT user_id AS job_id, event_id AS seq, event_type AS t, event_id % 23 = 0 AS err, event_id % 17 = 0 AS blank, event_id % 12 + 1 AS c, event_id FROM events WHERE user_id IS NOT NULL),
-js AS (SELECT *, '{"type":"' || t || '","chunk":' || c || ',"total":12,"percent":' || c * 100 // 12 || ',"status":"step ' || c || '","message":"m' || event_id % 100 || '","level":"info"}' AS j FROM ev),
+js AS (SELECT *, CASE WHEN t = 'purchase' THEN '{"type":"complete","chunksProcessed":' || c || ',"message":"m' || event_id % 100 || '"}' ELSE '{"type":"' || t || '","chunk":' || c || ',"total":12,"percent":' || c * 100 // 12 || ',"status":"step ' || c || '","message":"m' || event_id % 100 || '","level":"info"}' END AS j FROM ev),
 ln AS (SELECT *, CASE t WHEN 'view' THEN 'PROGRESS:' || j WHEN 'purchase' THEN 'COMPLETE:' || j WHEN 'error' THEN 'ERROR:' || j WHEN 'signup' THEN 'LOG:' || CASE WHEN event_id % 3 = 0 THEN '{"type":' ELSE j END ELSE 'line ' || event_id END AS line FROM js WHERE NOT blank),
-parsed AS (SELECT job_id, seq, CASE WHEN err OR t IN ('click', 'signup') THEN 'log' WHEN t = 'view' THEN 'progress' WHEN t = 'purchase' THEN 'complete' ELSE 'error' END AS kind, CASE WHEN NOT err AND t <> 'click' THEN c END AS chunk, CASE WHEN NOT err AND t <> 'click' THEN 12 END AS total, CASE WHEN NOT err AND t <> 'click' THEN c * 100 // 12 END AS percent, CASE WHEN NOT err AND t <> 'click' THEN 'step ' || c END AS status, CASE WHEN err OR t = 'click' THEN line ELSE 'm' || event_id % 100 END AS message, CASE WHEN err THEN 'error' ELSE 'info' END AS level FROM ln WHERE err OR NOT (t = 'signup' AND event_id % 3 = 0))"""
+parsed AS (SELECT job_id, seq, CASE WHEN err OR t IN ('click', 'signup') THEN 'log' WHEN t = 'view' THEN 'progress' WHEN t = 'purchase' THEN 'complete' ELSE 'error' END AS kind, CASE WHEN NOT err AND t NOT IN ('click', 'purchase') THEN c END AS chunk, CASE WHEN NOT err AND t NOT IN ('click', 'purchase') THEN 12 END AS total, CASE WHEN NOT err AND t NOT IN ('click', 'purchase') THEN c * 100 // 12 END AS percent, CASE WHEN NOT err AND t NOT IN ('click', 'purchase') THEN 'step ' || c END AS status, CASE WHEN NOT err AND t = 'purchase' THEN c END AS done, CASE WHEN err OR t = 'click' THEN line ELSE 'm' || event_id % 100 END AS message, CASE WHEN err THEN 'error' WHEN t = 'purchase' THEN NULL ELSE 'info' END AS level FROM ln WHERE err OR NOT (t = 'signup' AND event_id % 3 = 0)),
+entries AS (SELECT *, CASE kind WHEN 'progress' THEN status WHEN 'complete' THEN 'Transcription completed successfully' WHEN 'error' THEN 'ERROR: ' || message ELSE message END AS entry FROM parsed)"""
 
 
-@query(f"WITH {PROGRESS_SQL} SELECT job_id, seq, kind, coalesce(chunk, -1)::BIGINT AS chunk, coalesce(total, -1)::BIGINT AS total, coalesce(percent, -1)::BIGINT AS percent, status, message, level FROM parsed")
+@query(f"WITH {PROGRESS_SQL} SELECT job_id, seq, kind, coalesce(chunk, -1)::BIGINT AS chunk, coalesce(total, -1)::BIGINT AS total, coalesce(percent, -1)::BIGINT AS percent, status, coalesce(done, -1)::BIGINT AS chunks_processed, message, level FROM parsed")
 def progress_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.parse(derived.progress_log(spark, sf_dir)).na.fill(-1, ["chunk", "total", "percent"])
+    return progress.parse(derived.progress_log(spark, sf_dir)).na.fill(-1, ["chunk", "total", "percent", "chunks_processed"])
 
 
-LATEST_SQL = f"WITH {PROGRESS_SQL} SELECT job_id, coalesce(arg_max(percent, seq) FILTER (kind = 'progress'), 0)::BIGINT AS percent, coalesce(arg_max(status, seq) FILTER (kind = 'progress'), 'Processing...') AS status, coalesce(arg_max(chunk, seq) FILTER (kind = 'progress'), 0)::BIGINT AS chunk, coalesce(arg_max(total, seq) FILTER (kind = 'progress'), 0)::BIGINT AS total, count(*) FILTER (kind = 'log') AS n_logs, arg_max(kind, seq) FILTER (kind IN ('complete', 'error')) AS outcome FROM parsed GROUP BY job_id"
+STATE_SQL = f"""{PROGRESS_SQL}, lasts AS (SELECT job_id, arg_max(kind, seq) FILTER (kind IN ('progress', 'complete')) AS moved, arg_max(percent, seq) FILTER (kind = 'progress') AS percent, arg_max(status, seq) FILTER (kind = 'progress') AS status, arg_max(chunk, seq) FILTER (kind = 'progress') AS chunk, arg_max(total, seq) FILTER (kind = 'progress') AS total, arg_max(done, seq) FILTER (kind = 'complete') AS done, count(*) AS n_logs, arg_max(kind, seq) FILTER (kind IN ('complete', 'error')) AS outcome FROM parsed GROUP BY job_id),
+states AS (SELECT job_id, CASE moved WHEN 'complete' THEN 100 WHEN 'progress' THEN percent ELSE 0 END::BIGINT AS percent, CASE moved WHEN 'complete' THEN 'Complete!' WHEN 'progress' THEN status ELSE 'Initializing...' END AS status, CASE moved WHEN 'complete' THEN done WHEN 'progress' THEN chunk ELSE 0 END::BIGINT AS chunk, CASE moved WHEN 'complete' THEN done WHEN 'progress' THEN total ELSE 0 END::BIGINT AS total, n_logs, outcome FROM lasts)"""
 
 
-@query(LATEST_SQL)
+@query(f"WITH {STATE_SQL} SELECT job_id, percent, status, chunk, total, n_logs, outcome FROM states")
 def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.latest_state(progress.parse(derived.progress_log(spark, sf_dir)))
 
 
-@query(LATEST_SQL)
+@query(f"WITH {PROGRESS_SQL} SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS entry_no, entry FROM entries")
+def progress_log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.log_entries(progress.parse(derived.progress_log(spark, sf_dir)))
+
+
+@query(f"WITH {STATE_SQL}, logs AS (SELECT job_id, string_agg(entry, chr(10) ORDER BY seq) AS log FROM entries GROUP BY job_id) SELECT s.job_id, percent, status, chunk, total, n_logs, outcome, log FROM states s JOIN logs USING (job_id)")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """progress_latest as a stream: the lines are written as text files, and followed until all that is there has been read."""
+    """progress_latest as a stream, with each job's log: the lines are written as text files, and followed until all that is there has been read."""
     folder = new_folder(spark, "progress")
     progress.to_text(derived.progress_log(spark, sf_dir)).write.text(f"{folder}/lines")
     lines = progress.from_text(event_lines(spark, f"{folder}/lines"))
     progress.follow(lines, f"{folder}/checkpoint", f"{folder}/state").awaitTermination()
-    return progress.followed(spark, f"{folder}/state")
+    return progress.followed(spark, f"{folder}/state").withColumn("log", F.array_join("log", "\n"))

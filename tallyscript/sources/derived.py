@@ -85,7 +85,8 @@ def progress_lines(events: DataFrame) -> DataFrame:
     e = events.where("user_id is not null")
     chunk, total = F.col("event_id") % 12 + 1, F.lit(12)
     json = F.format_string('{"type":"%s","chunk":%d,"total":%d,"percent":%d,"status":"step %d","message":"m%d","level":"info"}', "event_type", chunk, total, F.floor(chunk * 100 / total), chunk, F.col("event_id") % 100)
-    raw = F.when(F.col("event_id") % 17 == 0, "").when(F.col("event_type") == "view", F.concat(F.lit("PROGRESS:"), json)).when(F.col("event_type") == "purchase", F.concat(F.lit("COMPLETE:"), json)).when(F.col("event_type") == "error", F.concat(F.lit("ERROR:"), json)).when(F.col("event_type") == "signup", F.concat(F.lit("LOG:"), F.when(F.col("event_id") % 3 == 0, '{"type":').otherwise(json))).otherwise(F.concat(F.lit("  line "), F.col("event_id").cast("string")))
+    done = F.format_string('{"type":"complete","chunksProcessed":%d,"message":"m%d"}', chunk, F.col("event_id") % 100)
+    raw = F.when(F.col("event_id") % 17 == 0, "").when(F.col("event_type") == "view", F.concat(F.lit("PROGRESS:"), json)).when(F.col("event_type") == "purchase", F.concat(F.lit("COMPLETE:"), done)).when(F.col("event_type") == "error", F.concat(F.lit("ERROR:"), json)).when(F.col("event_type") == "signup", F.concat(F.lit("LOG:"), F.when(F.col("event_id") % 3 == 0, '{"type":').otherwise(json))).otherwise(F.concat(F.lit("  line "), F.col("event_id").cast("string")))
     return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), raw.alias("raw"), F.when(F.col("event_id") % 23 == 0, "stderr").otherwise("stdout").alias("source"))
 
 
