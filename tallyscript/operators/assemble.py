@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tallyscript.functions.similarity import bound
 from tallyscript.functions.text import METADATA_V03, METADATA_V04, ONE_WORD_LINE, QUALITY_MARKS, FAILED_PART_V03, clock_seconds, failed, failed_v03, is_metadata, keeps_context, lines_of, seconds_clock, strip
 
+#: Chunks of a job that one task sees at least.
+SLICE = 1024
+
 
 def shift_lines(chunks: DataFrame, v03: bool = False) -> DataFrame:
     """chunks (job_id, chunk_no, start_s, text) to job_id, chunk_no, line_no, line: clocks moved by the chunk's start.
@@ -47,11 +50,18 @@ def context_v03(text: Column) -> Column:
     return F.array_join(last(clean, 50), "\n")
 
 
-def carry_context(chunks: DataFrame, v03: bool = False) -> DataFrame:
-    """chunks (job_id, chunk_no, text) with the text of the last earlier chunk that did not fail: context_chunk_no, previous, context."""
-    before = Window.partitionBy("job_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+def carry_context(chunks: DataFrame, v03: bool = False, width: int = SLICE) -> DataFrame:
+    """chunks (job_id, chunk_no, text) with the text of the last earlier chunk that did not fail: context_chunk_no, previous, context.
+
+    Chunks are carried first within slices of a job, then from slice to slice by each one's last good chunk. No window holds a whole job.
+    """
     good = F.when(~(failed_v03 if v03 else failed)(F.col("text")), F.struct("chunk_no", "text"))
-    held = chunks.withColumn("held", F.last(good, ignorenulls=True).over(before))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    marked = chunks.withColumn("slice", F.floor(F.col("chunk_no") / width))
+    inside = marked.withColumn("held", F.last(good, ignorenulls=True).over(before("job_id", "slice").orderBy("chunk_no")))
+    lasts = marked.groupBy("job_id", "slice").agg(F.max_by(good, F.when(good.isNotNull(), F.col("chunk_no"))).alias("last"))
+    carried = lasts.select("job_id", "slice", F.last("last", ignorenulls=True).over(before("job_id").orderBy("slice")).alias("carried"))
+    held = inside.join(carried, ["job_id", "slice"]).withColumn("held", F.coalesce("held", "carried"))
     return held.select(*chunks.columns, F.col("held.chunk_no").alias("context_chunk_no"), F.col("held.text").alias("previous"), (context_v03 if v03 else context_v04)(F.col("held.text")).alias("context"))
 
 

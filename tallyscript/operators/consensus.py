@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscript.functions.text import BRACKETS, SCORED_LINE, lines_of, strip
-from tallyscript.operators.align import CHUNK, agreement, align_v03, align_v04, as_base
+from tallyscript.operators.intervals import largest, look_up
+from tallyscript.operators.align import CHUNK, align_v04, as_base, pairs_v03
 
 #: Weight of voice activity, confidence without any, thresholds in percent and in shares, marks of review.
 VOICE_WEIGHT, NO_VOICE, SPEAKER_PERCENT, CONTENT_PERCENT = 0.3, 0.5, 70, 85
@@ -45,22 +46,43 @@ def baseline_v04(runs: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
     return best_run(scored.select(*CHUNK, "run_no", (F.col("base_score") + F.coalesce("bonus", F.lit(0.0))).alias("score")))
 
 
+def scored_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of two kinds: every run's lines with the means over the runs that they match, and, with a null line_no, the run itself.
+
+    Each has its run's (base_run) parse_score, format_score, richness, agreement, score (at most 100), and best_run, the chunk's
+    run of the highest score, the first of equals. Lines are paired once; scores and choice follow by windows over the pairs' chunk.
+
+    A matched pair of lines of runs with different texts agrees by 0.6 for the same speaker, by exact name, and 0.4 times the
+    similarity of content; a run's agreement is 30 times the mean. A chunk's only run gets 30, one without lines 0, one without such a pair 15.
+    """
+    carried = ("ts", "sec", "visual")
+    pairs = pairs_v03(lines, runs, carry=carried)
+    agreed = F.when(F.col("another"), F.col("same_name") * 0.6 + F.col("similarity") * 0.4)
+    own = [F.first(c).alias(c) for c in ("speaker", "content", *carried)]
+    said = pairs.groupBy(*CHUNK, "base_run", "line_no").agg(*own, F.avg("same_speaker").alias("speaker_raw"), F.avg("similarity").alias("content_raw"), F.count("*").alias("n_matched"), F.sum(agreed).alias("agreed"), F.count(agreed).alias("n_agreed"))
+    counts = F.struct(F.size(lines_of(strip(F.col("text")))).alias("lines"), F.regexp_count("text", F.lit(r"\S+")).alias("words"), F.regexp_count("text", F.lit(BRACKETS)).alias("visual"), F.regexp_count("text", F.lit(r"\[unclear\]|\[inaudible\]|\[uncertain\]")).alias("unclear"))
+    rows = said.unionByName(runs.select(*CHUNK, F.col("run_no").alias("base_run"), counts.alias("text")), allowMissingColumns=True).repartition(*CHUNK)
+    run, chunk = Window.partitionBy(*CHUNK, "base_run"), Window.partitionBy(*CHUNK)
+    over = {"n_parsed": F.count("line_no"), "speakers": F.collect_set("speaker"), "n_content": F.count_if(F.trim("content") != ""), "agreed": F.sum("agreed"), "n_agreed": F.sum("n_agreed"), "text": F.max("text")}
+    rows = rows.withColumns({f"_{c}": f.over(run) for c, f in over.items()}).withColumn("_n_runs", F.count_if(F.col("line_no").isNull()).over(chunk))
+    n = F.col("_text.lines")
+    parse = 20 * (F.col("_n_parsed") / n * 0.5 + F.when(F.col("_n_parsed") > 0, 0.5).otherwise(0.0))
+    form = 20 * (1 - F.least(F.col("_text.unclear") / n, F.lit(0.5))) * F.least(F.size("_speakers") / F.greatest(F.col("_n_parsed") / 10, F.lit(1.0)), F.lit(1.0))
+    rich = 30 * (F.least(F.col("_text.words") / 1000, F.lit(1.0)) * 0.4 + F.least(F.col("_text.visual") / 20, F.lit(1.0)) * 0.3 + F.col("_n_content") / n * 0.3)
+    agreement = F.when(F.col("_n_runs") <= 1, 30.0).when(F.col("_n_parsed") == 0, 0.0).otherwise(F.coalesce(30 * F.try_divide("_agreed", "_n_agreed"), F.lit(15.0)))
+    rows = rows.withColumns({"parse_score": parse, "format_score": form, "richness": F.when(F.col("_text.words") == 0, 0.0).otherwise(rich), "agreement": agreement})
+    rows = rows.withColumn("score", F.least(F.col("parse_score") + F.col("format_score") + F.col("richness") + F.col("agreement"), F.lit(100.0)))
+    rows = rows.withColumn("best_run", F.max_by("base_run", F.struct("score", -F.col("base_run"))).over(chunk))
+    return rows.select(*CHUNK, "base_run", "line_no", "speaker", "content", *carried, "speaker_raw", "content_raw", "n_matched", "parse_score", "format_score", "richness", "agreement", "score", "best_run")
+
+
 def score_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
     """job_id, chunk_no, run_no, parse_score, format_score, richness, agreement, score (at most 100)."""
-    keys = [*CHUNK, "run_no"]
-    parsed = lines.groupBy(*keys).agg(F.count("*").alias("n_parsed"), F.count_distinct("speaker").alias("n_speakers"), F.count_if(F.trim("content") != "").alias("n_content"))
-    text = runs.select(*keys, F.size(lines_of(strip(F.col("text")))).alias("n_lines"), F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.regexp_count("text", F.lit(BRACKETS)).alias("n_visual"), F.regexp_count("text", F.lit(r"\[unclear\]|\[inaudible\]|\[uncertain\]")).alias("n_unclear"))
-    rows = text.join(parsed, keys, "left").na.fill(0, ["n_parsed", "n_speakers", "n_content"]).join(agreement(lines, runs), keys)
-    n = F.col("n_lines")
-    parse = 20 * (F.col("n_parsed") / n * 0.5 + F.when(F.col("n_parsed") > 0, 0.5).otherwise(0.0))
-    form = 20 * (1 - F.least(F.col("n_unclear") / n, F.lit(0.5))) * F.least(F.col("n_speakers") / F.greatest(F.col("n_parsed") / 10, F.lit(1.0)), F.lit(1.0))
-    rich = 30 * (F.least(F.col("n_words") / 1000, F.lit(1.0)) * 0.4 + F.least(F.col("n_visual") / 20, F.lit(1.0)) * 0.3 + F.col("n_content") / n * 0.3)
-    rows = rows.select(*keys, parse.alias("parse_score"), form.alias("format_score"), F.when(F.col("n_words") == 0, 0.0).otherwise(rich).alias("richness"), "agreement")
-    return rows.withColumn("score", F.least(F.col("parse_score") + F.col("format_score") + F.col("richness") + F.col("agreement"), F.lit(100.0)))
+    return scored_v03(runs, lines).where("line_no is null").select(*CHUNK, F.col("base_run").alias("run_no"), "parse_score", "format_score", "richness", "agreement", "score")
 
 
 def baseline_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
-    return best_run(score_v03(runs, lines).select(*CHUNK, "run_no", "score"))
+    return scored_v03(runs, lines).where("line_no is null and base_run = best_run").select(*CHUNK, "base_run", "score")
 
 
 def baseline_lines(lines: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -79,10 +101,18 @@ def confidence_of(aligned: DataFrame, carried: tuple[str, ...]) -> DataFrame:
     return aligned.groupBy(*CHUNK, "line_no").agg(*[F.first(c).alias(c) for c in own], F.avg("same_speaker").alias("speaker_raw"), F.avg("similarity").alias("content_raw"), F.count("*").alias("n_matched"))
 
 
+def voice_stretches(segments: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:
+    """Segments (start_s, end_s, confidence) to stretches of seconds: keys, from_, to, vad, the largest confidence from one second up to another, without it.
+
+    A segment counts at the seconds that its ends fall in, both included.
+    """
+    whole = segments.where("end_s >= start_s").select(*keys, F.col("start_s").cast("long").alias("a"), (F.col("end_s").cast("long") + 1).alias("b"), F.col("confidence").alias("vad"))
+    return largest(whole, keys, "vad")
+
+
 def second_confidence(segments: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:
-    """Segments (start_s, end_s, confidence) to keys, sec, vad: the largest confidence at each second, both ends included."""
-    seconds = F.explode(F.sequence(F.col("start_s").cast("int"), F.col("end_s").cast("int"))).alias("sec")
-    return segments.where("end_s >= start_s").select(*keys, seconds, "confidence").groupBy(*keys, "sec").agg(F.max("confidence").alias("vad"))
+    """voice_stretches() with a row for each second: keys, sec, vad."""
+    return voice_stretches(segments, keys).select(*keys, F.explode(F.sequence(F.col("from_").cast("int"), (F.col("to") - 1).cast("int"))).alias("sec"), "vad")
 
 
 def classify_v04(lines: DataFrame, weight: float = VOICE_WEIGHT) -> DataFrame:
@@ -109,16 +139,17 @@ def classify_v03(lines: DataFrame) -> DataFrame:
 
 
 def consensus_v04(runs: DataFrame, lines: DataFrame, voice: DataFrame | None = None, bonus: DataFrame | None = None, weight: float = VOICE_WEIGHT) -> DataFrame:
-    """Flagged lines of every chunk's baseline. voice (job_id, chunk_no, sec, vad): confidence of speech by second."""
+    """Flagged lines of every chunk's baseline. voice: confidence of speech as voice_stretches()."""
     base = baseline_lines(lines, baseline_v04(runs, bonus))
     confident = confidence_of(align_v04(base, lines, carry=("ts", "sec")), ("ts", "sec"))
-    confident = confident.join(voice, [*CHUNK, "sec"], "left") if voice is not None else confident.withColumn("vad", F.lit(NO_VOICE))
+    confident = look_up(confident, "sec", voice, CHUNK, "vad") if voice is not None else confident.withColumn("vad", F.lit(NO_VOICE))
     return classify_v04(confident, weight)
 
 
 def consensus_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
-    base = baseline_lines(lines, baseline_v03(runs, lines))
-    return classify_v03(confidence_of(align_v03(base, lines, carry=("ts", "sec", "visual")), ("ts", "sec", "visual")))
+    """Flagged lines of every chunk's baseline."""
+    chosen = scored_v03(runs, lines).where("line_no is not null and base_run = best_run")
+    return classify_v03(chosen.select(*CHUNK, "line_no", "base_run", "speaker", "content", "ts", "sec", "visual", "speaker_raw", "content_raw", "n_matched"))
 
 
 def quality_v04(flagged: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tallyscript.operators import align, assemble, chunking, consensus, cost, jo
 from tallyscript.plans.voice import VOICE_SQL, runs_voice
 from tallyscript.sources import derived
 from tallyscript.sources.derived import CALLS_SQL, FRAMES_SQL, JOBS_SQL, RUNS_SQL, STREAMS_SQL
-from tallyscript.sources.shared import new_folder
+from tallyscript.sources.shared import new_folder, written
 from tallyscript.sources.tables import event_lines, table
 from tallyscript.streaming import progress
 
@@ -249,15 +249,14 @@ best3 AS (SELECT job_id, chunk_no, arg_max(run_no, (score, -run_no)) AS base_run
 
 
 def lines_v03(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Runs and their lines, kept while the plan uses them again and again."""
-    runs = derived.runs(spark, sf_dir).persist()
-    return runs, parsing.parse_v03(runs).persist()
+    """Runs and their lines."""
+    runs = derived.runs(spark, sf_dir)
+    return runs, parsing.parse_v03(runs)
 
 
 @query(f"WITH {RUNS_SQL}, {AGREE_SQL} SELECT job_id, chunk_no, run_no, round(agreement, 6) AS agreement FROM agreement")
 def agreement_v03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, lines = lines_v03(spark, sf_dir)
-    return rounded(align.agreement(lines, runs), "agreement")
+    return rounded(consensus.score_v03(*lines_v03(spark, sf_dir)).select(*KEYS, "agreement"), "agreement")
 
 
 @query(f"WITH {RUNS_SQL}, {AGREE_SQL}, {SCORE_V03_SQL} SELECT job_id, chunk_no, run_no, round(parse_score, 6) AS parse_score, round(format_score, 6) AS format_score, round(richness, 6) AS richness, round(agreement, 6) AS agreement, round(score, 6) AS score FROM score3")
@@ -298,7 +297,7 @@ def flagged_v04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = derived.runs(spark, sf_dir)
-    return consensus.consensus_v04(runs, parsing.parse_v04(runs), consensus.second_confidence(runs_voice(runs)))
+    return consensus.consensus_v04(runs, parsing.parse_v04(runs), consensus.voice_stretches(runs_voice(runs)))
 
 
 @query(f"WITH {V04_SQL}, {PLAIN_FLAG_SQL} SELECT {FLAGGED_SQL} FROM flagged")
@@ -432,7 +431,8 @@ def gap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {CALLS_SQL}, {GAPS_SQL}, {CHUNKS_SQL}, cutup AS (SELECT c.stream_id, chunk_no, least(c.end_s - c.start_s, s.end_s - c.start_s) - greatest(0, s.start_s - c.start_s) AS duration, confidence FROM chunks c JOIN segments s ON s.stream_id = c.stream_id AND s.end_s > c.start_s AND s.start_s < c.end_s), kept AS (SELECT * FROM cutup WHERE duration > 0.1::DOUBLE) SELECT c.stream_id, c.chunk_no, c.start_s, c.end_s, round(coalesce(sum(k.duration), 0), 6) AS speech_s, count(k.duration) AS num_segments, round(coalesce(avg(k.confidence), 0), 6) AS avg_confidence, round(coalesce(sum(k.duration), 0) / (c.end_s - c.start_s), 6) AS speech_ratio FROM chunks c LEFT JOIN kept k ON k.stream_id = c.stream_id AND k.chunk_no = c.chunk_no GROUP BY c.stream_id, c.chunk_no, c.start_s, c.end_s")
 def chunk_vad_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, streams = derived.calls(spark, sf_dir)
-    chunks = chunking.gap_chunks(chunking.boundaries(segments, streams, 120), streams)
+    segments = written(segments, "segments")  # cuts, chunks and overlaps each follow from them
+    chunks = written(chunking.gap_chunks(chunking.boundaries(segments, streams, 120), streams), "chunks")
     return rounded(chunking.chunk_voice(chunks, segments), "speech_s", "avg_confidence", "speech_ratio")
 
 

@@ -190,8 +190,8 @@ def test_prompt_table(spark):
 
 def test_sinks_and_sources(spark, tmp_path):
     lines = spark.createDataFrame([(1, "00:01 A: x"), (2, "00:02 B: y"), (2, "")], "job_id long, line string")
-    tables.write_transcripts(lines, f"{tmp_path}/t")
-    assert sorted(map(tuple, tables.read_transcripts(spark, f"{tmp_path}/t").collect())) == sorted(map(tuple, lines.collect()))
+    tables.write_transcripts(lines, f"{tmp_path}/t", ("job_id",), ("line",))
+    assert sorted(map(tuple, tables.read_transcripts(spark, f"{tmp_path}/t", ("job_id",)).collect())) == [(1, "00:01 A: x"), (2, "\n00:02 B: y")]
     assert tables.transcripts(spark, f"{tmp_path}/t/*/*.txt").count() >= 2
     rows = spark.createDataFrame([(1, 2.5, "é")], "job_id long, rate double, note string")
     tables.write_summaries(rows, f"{tmp_path}/s")
@@ -203,7 +203,7 @@ def test_followed_text(spark, tmp_path):
     progress.to_text(raw).write.text(f"{tmp_path}/lines")
     progress.follow(progress.from_text(tables.event_lines(spark, f"{tmp_path}/lines")), f"{tmp_path}/c", f"{tmp_path}/state").awaitTermination()
     got = progress.followed(spark, f"{tmp_path}/state").collect()
-    assert [(r.job_id, r.percent, r.n_logs) for r in got] == [(1, 25, 1)]
+    assert [(r.job_id, r.percent, r.n_logs) for r in got] == [(1, 25, 2)]
 
 
 def test_frame_energy(spark):
@@ -244,4 +244,4 @@ def test_progress(spark):
     events = progress.parse(raw)
     assert [(r.seq, r.kind, r.level) for r in events.orderBy("seq").collect()] == [(1, "progress", None), (4, "log", "info"), (5, "log", "error"), (6, "complete", None)]
     state = progress.latest_state(events).first()
-    assert (state.percent, state.status, state.n_logs, state.outcome) == (25, "s", 2, "complete")
+    assert (state.percent, state.status, state.n_logs, state.outcome) == (100, "Complete!", 4, "complete")
