@@ -65,6 +65,7 @@ def boundaries(segments: DataFrame, streams: DataFrame, chunk_s: float, min_gap:
     turns = F.sequence(F.lit(1), F.ceil(F.col("duration_s") / (d * LEAST_SHARE)).cast("int") + 1)
     start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("cuts"))
     rows = streams.where("duration_s > 0").join(has, "stream_id", "left").join(gaps, "stream_id", "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<double>")))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id")  # few bytes, much work: not to be put into few tasks
     whole, stop = F.lit(int(chunk_s)), F.col("duration_s").cast("int")
     plain = F.when(stop > whole, F.transform(F.sequence(F.lit(1), F.floor((stop - 1) / whole).cast("int")), lambda k: (k * whole).cast("double"))).otherwise(F.array().cast("array<double>"))
     cuts = rows.select("stream_id", F.when(F.col("has"), F.aggregate(turns, start, step)["cuts"]).otherwise(plain).alias("cuts"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of bins: one of level k is 2^k wide.
-LEVELS = 62
+#: Width of the narrowest bins of overlaps(), how much wider a level's bins are than those of the level below, and levels at most.
+NARROWEST, WIDER, LEVELS = 64.0, 8.0, 20
 
 
 def levels_of(rows: DataFrame) -> Column:
@@ -21,11 +23,11 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, l_ends: tuple[str, str
     the higher one's level: each has rows for its own level, and for those above it that the other side has at all. So an
     interval of any length has a few rows, and a pair is made once, in the bin where its overlap begins.
     """
-    wide = lambda level: F.pow(F.lit(2.0), level)
+    wide = lambda level: F.lit(NARROWEST) * F.pow(F.lit(WIDER), level)
 
     def levelled(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
-        length = F.greatest(F.col(ends[1]) - F.col(ends[0]), F.lit(1.0))
-        return df.where(F.col(ends[1]) > F.col(ends[0])).withColumn("level", F.least(F.ceil(F.log2(length)), F.lit(LEVELS)).cast("int"))
+        over = F.greatest((F.col(ends[1]) - F.col(ends[0])) / NARROWEST, F.lit(1.0))
+        return df.where(F.col(ends[1]) > F.col(ends[0])).withColumn("level", F.least(F.ceil(F.log2(over) / math.log2(WIDER)), F.lit(LEVELS)).cast("int"))
 
     def binned(df: DataFrame, ends: tuple[str, str], others: Column, own: str) -> DataFrame:
         levels = F.array_union(F.array("level"), F.filter(F.coalesce(F.col("_others"), F.array().cast("array<int>")), lambda k: k > F.col("level")))
