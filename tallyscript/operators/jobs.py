@@ -10,6 +10,8 @@ STATES = ("queued", "processing", "complete", "failed", "cancelled")
 ENDED = ("complete", "failed", "cancelled")
 #: Field of a job's settings that is not stored.
 SECRET = "apiKey"
+#: Fixed texts of a file that is not admitted.
+NOT_FOUND, INVALID_TYPE = "File not found", "Invalid file type. Supported: "
 VIDEOS = (".mp4", ".mov", ".avi", ".mkv", ".webm")
 
 
@@ -123,6 +125,21 @@ def admit_videos(files: DataFrame) -> DataFrame:
     return files.select("path", "bytes", ending.alias("ending"), ending.isin(*VIDEOS).alias("admitted"), F.round(F.col("bytes") / 1048576, 2).alias("size_mb"))
 
 
+def admit_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (path) with what is known of the files (path, length): valid, error, filename, size_mb, extension; the last three are null unless valid.
+
+    files come from tables.file_sizes(), which reads no content. A path that isn't among them is not found; only then its ending counts.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    known = files.select(plain("path").alias("_at"), F.col("length").alias("_bytes"))
+    rows = wanted.withColumn("_at", plain("path")).join(known, "_at", "left")
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    error = F.when(F.col("_bytes").isNull(), NOT_FOUND).when(~ending.isin(*VIDEOS), INVALID_TYPE + ", ".join(VIDEOS))
+    valid = error.isNull()
+    name = F.regexp_extract("path", r"([^/]*)/*$", 1)
+    return rows.select(*wanted.columns, valid.alias("valid"), error.alias("error"), F.when(valid, name).alias("filename"), F.when(valid, F.round(F.col("_bytes") / 1048576, 2)).alias("size_mb"), F.when(valid, ending).alias("extension"))
+
+
 def with_results(jobs: DataFrame, transcripts: DataFrame) -> DataFrame:
     """jobs (output_path, stats_json) with the transcript's text and the parsed counters."""
     stats = F.from_json("stats_json", "chunks long, lines long, autoAccept long, needsReview long")

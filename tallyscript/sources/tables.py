@@ -17,6 +17,11 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below folder, without their content: path, length. Spark passes over empty files, so they are not among them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of running jobs' output as a stream: raw."""
     return spark.readStream.text(path).withColumnRenamed("value", "raw")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyscript.plans import more  # noqa: F401  adds its queries
+from tallyscript.plans import files, more  # noqa: F401  add their queries
 from tallyscript.plans.queries import QUERIES, SQL
 from tests.oracle import connect, rows
 
