@@ -20,15 +20,13 @@ from tallyscript.llm.common import fold_remainder, slices, table
 EXAMPLES, NEAREST, BLOCK = 1500, 15, 64
 #: Every term of an example is in the index; its G statistic over the examples is a weight: at this, half of the largest.
 G_HALF = 20.0
-#: A term that one of COMMON examples has is an array over all examples, in single precision; one of at most FEW examples is
-#: added up in full; for those between, the index has where each block's postings start, and their largest weight.
-COMMON, FEW = 32, 4
+#: A term that one of COMMON examples has is an array over the examples of each block, in single precision, with its largest weight
+#: there; rarer ones have postings.
+COMMON = 32
 #: Terms that one of ALIKE examples has decide which examples are alike.
 ALIKE = 16
 #: Texts that are searched for together; blocks of best bound that each looks at first.
 TEXTS, FIRST_BLOCKS = 128, 8
-#: Words that a task remembers at most, some 200 bytes each.
-WORDS = 200_000
 #: What a cosine may be off by while common terms are multiplied with single precision; those that it could matter for are added up anew.
 ROUGH = 3e-4
 #: Starts of words in bytes that are terms as the words are: they gather the forms of a word.
@@ -101,7 +99,9 @@ class Examples:
         order = self.alike_together(counted)
         self.ids, self.labels, self.votes = [self.ids[i] for i in order], self.labels[order], self.votes[order]
         self.texts = [(counted[i][0].astype(np.int32), counted[i][1].astype(np.int32)) for i in order]
+        self.knots = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self.invert()
+        self.knots = self.calibrated()
 
     def alike_together(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """An order of the examples in which those of a block are alike, so that blocks' largest weights bound closely.
@@ -135,7 +135,7 @@ class Examples:
 
     def __getstate__(self) -> bytes:
         """What the index is made of, as Spark writes what it sends out to each executor's disk."""
-        names = ("vocabulary", "ids", "labels", "idf", "votes", "base", "base_empty", "texts")
+        names = ("vocabulary", "ids", "labels", "idf", "votes", "base", "base_empty", "texts", "knots")
         return zlib.compress(pickle.dumps({n: getattr(self, n) for n in names}, 5), 1)
 
     def __setstate__(self, state: bytes) -> None:
@@ -144,7 +144,7 @@ class Examples:
 
     def invert(self) -> None:
         vectors, size = [self.weighed(t, c) for t, c in self.texts], len(self.vocabulary)
-        self.vectors = vectors
+        self.vectors, self.terms = vectors, Terms(self.vocabulary)
         self.blocks = -(-len(vectors) // BLOCK)
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
         weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
@@ -153,21 +153,12 @@ class Examples:
         self.column = np.full(size, -1)
         self.column[common] = np.arange(len(common))
         dense = self.column[term] >= 0
-        self.common = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        self.common[self.column[term[dense]], place[dense]] = weight[dense]
+        self.common = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.common[place[dense] // BLOCK, self.column[term[dense]], place[dense] % BLOCK] = weight[dense]
+        self.most = np.ascontiguousarray(self.common.max(2, initial=0).T)
         order = np.lexsort((place[~dense], term[~dense]))
         term, self.place, self.weight = term[~dense][order], place[~dense][order].astype(np.int32), weight[~dense][order]
         self.start = np.searchsorted(term, np.arange(size + 1))
-        between = np.flatnonzero(np.diff(self.start) > FEW)
-        self.row = np.full(size, -1)
-        self.row[between] = np.arange(len(between))
-        inside = np.flatnonzero(self.row[term] >= 0)
-        part = self.row[term[inside]], self.place[inside] // BLOCK
-        self.most = np.zeros((len(between), self.blocks))
-        np.maximum.at(self.most, part, self.weight[inside])
-        held = np.zeros((len(between), self.blocks + 1), np.int32)
-        np.add.at(held, (part[0], part[1] + 1), 1)
-        self.block_start = (self.start[between][:, None] + held.cumsum(1)).astype(np.int32)
 
     @property
     def postings(self) -> Iterator[np.ndarray]:
@@ -185,9 +176,9 @@ class Examples:
     def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
         return self.weighed(*counts) if len(counts[0]) else None
 
-    def query(self, text: bytes, known: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def query(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms of the vocabulary and their counts."""
-        _, terms, counts = terms_of_texts([text], known or Words(self.vocabulary))
+        _, terms, counts = self.terms.of([text])
         return terms, counts
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
@@ -196,48 +187,37 @@ class Examples:
     def nearest_all(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int = NEAREST) -> list[list[tuple[float, int]]]:
         """For each of n texts the k examples of largest cosine over 0, exactly, ties by place: blocks by their bound, until none can matter.
 
-        text, terms, weights: the texts' unit vectors, in the order of texts. A block's bound is the most that common terms and
-        those of few examples give one of its examples, and each other term's largest weight in it. The blocks of best bound come
-        first; then those whose bound the k-th cosine so far doesn't exclude.
+        text, terms, weights: the texts' unit vectors, in the order of texts. Rare terms' postings are added up in full. What
+        common terms may add in a block is bounded by their largest weights there; with the most that rare terms gave one of its
+        examples this is the block's bound. The blocks of best bound come first; then those that the k-th cosine so far doesn't exclude.
         """
         if not self.blocks:
             return [[] for _ in range(n)]
         width = self.blocks * BLOCK
         dense = self.column[terms] >= 0
-        query = np.zeros((n, len(self.common)), np.float32)
+        query = np.zeros((n, self.common.shape[1]), np.float32)
         query[text[dense], self.column[terms[dense]]] = weights[dense]
-        common = query @ self.common
-        row = self.row[terms]
-        few = row < 0
-        found, size = ranges(self.start[terms[few]], self.start[terms[few] + 1])
-        rest = np.bincount(np.repeat(text[few], size) * width + self.place[found], np.repeat(weights[few], size) * self.weight[found], n * width).reshape(n, width)
-        of, row, weight = text[~few], row[~few], weights[~few]
-        bound = (common + rest).reshape(n, self.blocks, BLOCK).max(2)
-        if len(of):
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            bound[of[first]] += np.add.reduceat(self.most[row] * weight[:, None], first, axis=0)
-        chosen = np.zeros((n, self.blocks), bool)
-        np.put_along_axis(chosen, np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
-        chosen &= bound > 0
-        scores = np.full((n, width), -1.0)
-        looked = chosen
+        rare = terms[~dense]
+        found, size = ranges(self.start[rare], self.start[rare + 1])
+        scores = np.bincount(np.repeat(text[~dense] * width, size) + self.place[found], np.repeat(weights[~dense], size) * self.weight[found], n * width).astype(float, copy=False).reshape(n, self.blocks, BLOCK)
+        bound = query @ self.most + scores.max(2)
+        looked = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(looked, np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        looked &= bound > 0
+        known, wanted = np.zeros((n, self.blocks), bool), looked
         for last in (False, True):
-            if len(of):
-                pair, block = np.nonzero(looked[of])
-                begin, end = self.block_start[row[pair], block], self.block_start[row[pair], block + 1]
-                some = np.flatnonzero(end > begin)
-                found, size = ranges(begin[some].astype(np.int64), end[some].astype(np.int64))
-                pair = np.repeat(pair[some], size)
-                rest += np.bincount(of[pair] * width + self.place[found], weight[pair] * self.weight[found], n * width).reshape(n, width)
-            seen = np.repeat(looked, BLOCK, axis=1)
-            scores[seen] = (common + rest)[seen]
-            least = np.partition(scores, width - min(k, width), axis=1)[:, width - min(k, width)]
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                scores[rows, b] += query[rows] @ self.common[b] if len(rows) < n else query @ self.common[b]
+            known |= wanted
+            seen = np.where(known[:, :, None], scores, -1.0).reshape(n, width)
+            least = np.partition(seen, width - min(k, width), axis=1)[:, width - min(k, width)]
             if not last:
-                looked = ~chosen & (bound > 0) & (bound >= least[:, None] - 2 * ROUGH)
+                wanted = ~known & (bound > 0) & (bound >= least[:, None] - 2 * ROUGH)
         out, whole = [], np.zeros(len(self.vocabulary))
         at = np.searchsorted(text, np.arange(n + 1))
         for i in range(n):
-            places = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 2 * ROUGH))
+            places = np.flatnonzero((seen[i] > 0) & (seen[i] >= least[i] - 2 * ROUGH))
             own = terms[at[i] : at[i + 1]]
             whole[own] = weights[at[i] : at[i + 1]]
             exact = np.array([whole[t] @ w for t, w in map(self.vectors.__getitem__, places.tolist())])
@@ -248,13 +228,13 @@ class Examples:
 
     def score(self, text: bytes) -> tuple[float, str]:
         """(score, evidence): shares of cubed cosines, held towards the base rate; the three nearest examples."""
-        return self.score_all([text], Words(self.vocabulary))[0]
+        return self.score_all([text])[0]
 
-    def score_all(self, texts: list[bytes], known: Words) -> list[tuple[float, str]]:
+    def score_all(self, texts: list[bytes]) -> list[tuple[float, str]]:
         rows = []
         for start in range(0, len(texts), TEXTS):
             some = texts[start : start + TEXTS]
-            text, terms, counts = terms_of_texts(some, known)
+            text, terms, counts = self.terms.of(some)
             weights = (1 + np.log(counts)) * self.idf[terms]
             weights /= np.sqrt(np.bincount(text, weights * weights, len(some)))[text]
             have = np.bincount(text, minlength=len(some)) > 0
@@ -267,52 +247,118 @@ class Examples:
             vote = self.votes[e] * cosine**3
             total += vote
             toxic += vote * self.labels[e]
-        return float(min(1.0, max(0.0, toxic / total))), ",".join(f"{self.ids[e]}:{cosine:.4f}" for cosine, e in near[:3])
+        share = min(1.0, max(0.0, toxic / total))
+        return float(np.interp(share, *self.knots)), ",".join(f"{self.ids[e]}:{cosine:.4f}" for cosine, e in near[:3])
 
+    def calibrated(self) -> tuple[np.ndarray, np.ndarray]:
+        """A rising line through (share of votes, share of toxic labels), from each example's vote by all the others.
 
-class Words(dict):
-    """Numbers of the words seen, and the terms of a vocabulary that each stands for."""
+        Neighbouring shares are pooled until the labels' shares rise; classes count by how many labelled rows they have. A pool is
+        held towards the base rate by the weight of one row. Beyond the largest share that an example has, a copy of one has more;
+        there the share itself holds.
+        """
+        counted = [(t, w) for t, w in self.vectors if len(t)]
+        which = [i for i, (t, _) in enumerate(self.vectors) if len(t)]
+        shares = []
+        for start in range(0, len(counted), TEXTS):
+            some = counted[start : start + TEXTS]
+            text = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+            near = self.nearest_all(text, np.concatenate([t for t, _ in some]).astype(np.int64), np.concatenate([w for _, w in some]), len(some), NEAREST + 1)
+            shares += [self.voted([x for x in found if x[1] != i][:NEAREST])[0] for found, i in zip(near, which[start : start + TEXTS], strict=True)]
+        pools: list[list[float]] = []  # weight, weight of toxic ones, weighted share
+        for k in np.argsort(shares, kind="stable").tolist():
+            w = self.votes[which[k]]
+            pools.append([w, w * self.labels[which[k]], w * shares[k]])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        if not pools:
+            return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        w, toxic, share = np.array(pools).T
+        rate = np.maximum.accumulate((toxic + self.base) / (w + 1))
+        most = share[-1] / w[-1]
+        beyond = min(1.0, most + 0.05)
+        return np.concatenate([[0.0], share / w, [beyond, 1.0]]), np.concatenate([[rate[0] / 2], rate, [max(rate[-1], beyond), 1.0]])
+
+
+MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+#: The low n bytes of eight.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Table:
+    """Numbers of unique 64-bit keys, found for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.numbers = keys[order], numbers[order]
+        bits = max(8, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, or -1."""
+        part = (keys >> self.shift).astype(np.int64)
+        at, end, found = self.first[part], self.first[part + 1], np.full(len(keys), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            found[left[hit]] = self.numbers[here[hit]]
+            at[left] += 1
+            left = left[~hit & (here + 1 < end[left])]
+        return found
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words in the order of texts: the text's number, a key of the word, its first eight bytes, its length.
+
+    The key of a word of up to eight bytes is exact for its length, that of a longer one a 64-bit hash.
+    """
+    plain = [t.translate(LETTERS) for t in texts]
+    data = np.frombuffer(b" " + b" ".join(plain) + b" " * 9, np.uint8)
+    letter = data != 32
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    eight = lambda at: np.lib.stride_tricks.sliding_window_view(data, 8)[at].copy().view("<u8").ravel()
+    first = eight(start) & LOW[np.minimum(length, 8)]
+    key, long, read = first.copy(), np.flatnonzero(length > 8), 8
+    while len(long):
+        h = key[long]
+        key[long] = (h ^ (h >> TURN)) * MIX ^ (eight(start[long] + read) & LOW[np.minimum(length[long] - read, 8)])
+        read += 8
+        long = long[length[long] > read]
+    key = (key ^ length.astype(np.uint64) << np.uint64(56)) * MIX
+    ends = np.cumsum([len(t) + 1 for t in plain])
+    return np.searchsorted(ends, start), key, first, length
+
+
+class Terms:
+    """Numbers of a vocabulary's words, and of the starts of words, for all words of many texts at once."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.new: list[list[int]] = []
-        self.start, self.terms = np.zeros(1, np.int64), np.empty(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append([k for k in map(self.vocabulary.get, terms_of_word(word)) if k is not None])
-        return number
-
-    def numbers(self, words: Iterator[bytes], n: int) -> np.ndarray:
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, n)
-        if self.new:
-            self.start = np.append(self.start, self.start[-1] + np.cumsum([len(t) for t in self.new]))
-            self.terms = np.append(self.terms, np.fromiter(itertools.chain.from_iterable(self.new), np.int64))
-            self.new = []
-        return numbers
-
-
-def terms_of_texts(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of all texts, in the order of texts and terms."""
-    if len(known) > WORDS:
-        known.forget()
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(one) for one in words], np.int64)
-    numbers = known.numbers(itertools.chain.from_iterable(words), sizes.sum())
-    counts = np.fromiter(itertools.chain.from_iterable(one.values() for one in words), float, sizes.sum())
-    at, n = ranges(known.start[numbers], known.start[numbers + 1])
-    size = max(len(known.vocabulary), 1)
-    keys = np.repeat(np.repeat(np.arange(len(texts)) * size, sizes), n) + known.terms[at]
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    keys, counts = keys[first], np.add.reduceat(np.repeat(counts, n)[order], first) if len(first) else np.empty(0)
-    return keys // size, keys % size, counts
+        self.size = max(len(vocabulary), 1)
+        words = {t: k for t, k in vocabulary.items() if not t.endswith(b"*")}
+        starts = {t[:-1]: k for t, k in vocabulary.items() if t.endswith(b"*")}
+        self.words = Table(word_keys(list(words))[1], np.array(list(words.values()), np.int32))
+        _, _, first, length = word_keys(list(starts))
+        self.starts = Table(self.start_keys(first, length), np.array(list(starts.values()), np.int32))
+
+    @staticmethod
+    def start_keys(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Exact keys of starts of at most seven bytes."""
+        return (first | length.astype(np.uint64) << np.uint64(56)) * MIX
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) of all texts, in the order of texts and terms; each term of a text once."""
+        text, key, first, length = word_keys(texts)
+        base, keys = text * self.size, []
+        for found, words in [(self.words.find(key), None), *((self.starts.find(self.start_keys(first[w] & LOW[n], np.full(len(w), n))), w) for n in STARTS for w in [np.flatnonzero(length >= n)])]:
+            some = np.flatnonzero(found >= 0)
+            keys.append(base[some if words is None else words[some]] + found[some])
+        keys = np.sort(np.concatenate(keys))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        return keys[at] // self.size, keys[at] % self.size, np.diff(np.append(at, len(keys))).astype(float)
 
 
 def document_counts(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -320,11 +366,11 @@ def document_counts(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict[byte
     shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = Words(shared.value), np.zeros(len(shared.value) + 1, np.int64)  # the last one counts texts
+        known, n = Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)  # the last one counts texts
         for _, texts in slices(batches):
             n[-1] += len(texts)
             for start in range(0, len(texts), TEXTS):
-                _, found, _ = terms_of_texts(texts[start : start + TEXTS], known)
+                _, found, _ = known.of(texts[start : start + TEXTS])
                 n[:-1] += np.bincount(found, minlength=len(shared.value))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["term", "n"])
@@ -363,9 +409,8 @@ def score(docs: DataFrame, model: Examples) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(shared.value.vocabulary)
         for part, texts in slices(batches):
-            got = shared.value.score_all(texts, known)
+            got = shared.value.score_all(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= DECISION) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], ["doc_id", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
