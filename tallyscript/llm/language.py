@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import fold_remainder, slices, table, unused
+from tallyscript.llm.common import fold_remainder, large_join, slices, table, unused, written
 
-#: Labelled rows of each language that a model learns from, about; languages, those with most rows; buckets of hashed three-byte strings.
-ROWS_PER_LANGUAGE, LANGUAGES, BUCKETS = 4000, 512, 1 << 14
+#: Labelled rows of each language that a model learns from, about; buckets of hashed three-byte strings; languages up to which their sizes are sent to all tasks.
+ROWS_PER_LANGUAGE, BUCKETS, SENT = 4000, 1 << 14, 1 << 14
 #: Bits of a codeword for more languages than all two-way splits can serve.
 BITS_PER_LANGUAGE_BIT = 8
 #: Share of the rightly decoded rows of the labelled sample whose margin is too small for certainty: what is as near to a second
@@ -91,15 +91,16 @@ class CodeModel:
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> CodeModel | None:
-    """A model of labelled (doc_id, text, lang): the LANGUAGES languages of most rows; of one with more rows, some rows_per_language by the hash of their id.
+    """A model of labelled (doc_id, text, lang) with all their languages; of one with more rows, some rows_per_language by the hash of their id.
 
-    The driver gets a row per language and bucket. None without labelled text. The margin
-    under which a prediction is ambiguous is then taken from the model's predictions of the sample.
+    The driver gets a row per language and bucket, as an Arrow table. None without labelled text. The margin under which a
+    prediction is ambiguous is then taken from the model's predictions of the sample.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.join(F.broadcast(sizes), "lang").where(place * F.col("n") < rows_per_language).select("lang", "text")  # sizes: LANGUAGES rows at most
+    sized = rows.join(F.broadcast(sizes), "lang") if sizes.count() <= SENT else large_join(rows, sizes, "lang")
+    sample = sized.where(place * F.col("n") < rows_per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -113,11 +114,14 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Code
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(held[some])], ["lang", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(counted.column("lang").to_pylist()))
+    named = counted.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(named.dictionary.to_pylist())
     if not languages:
         return None
+    number = {language: k for k, language in enumerate(languages)}
+    rank = np.array([number[x] for x in named.dictionary.to_pylist()])
     counts = np.zeros((len(languages), BUCKETS))
-    counts[[languages.index(x) for x in counted.column("lang").to_pylist()], counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    counts[rank[named.indices.to_numpy()], counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     model = CodeModel(languages, counts)
     right = predict(sample, model, ("lang",)).where("lang = lang_pred")
     model.ambiguous_under = right.agg(F.percentile("margin", F.lit(AMBIGUOUS))).first()[0] or 0.0
@@ -131,7 +135,7 @@ PREDICTED = ("lang_pred", "score", "margin", "ambiguous", "known")
 def predict(docs: DataFrame, model: CodeModel | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = PREDICTED) -> DataFrame:
     """One row per row of docs: the kept columns, lang_pred, score (0 to 1), margin, ambiguous, known, under these or other names.
 
-    Only text is looked at. A null text, one without a letter, or any text without a model is `und` with score, margin and
+    Only text is looked at; bytes that are no UTF-8 are no letters. A null text, one without a letter, or any text without a model is `und` with score, margin and
     known 0 and ambiguous. Repeated rows and null ids are predicted row by row; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -140,7 +144,7 @@ def predict(docs: DataFrame, model: CodeModel | None, keep: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for part, texts in slices(batches, text):
-            got = [model.predict(t) if model and any(map(str.isalpha, t.decode())) else ("und", 0.0, 0.0, 0.0) for t in texts]
+            got = [model.predict(t) if model and any(map(str.isalpha, t.decode(errors="replace"))) else ("und", 0.0, 0.0, 0.0) for t in texts]
             columns = [pa.array([g[k] for g in got], pa.float64()) for k in (1, 2, 3)]
             columns.insert(2, pa.array([g[0] == "und" or model is not None and g[2] < model.ambiguous_under for g in got], pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array([g[0] for g in got], pa.string()), *columns], [*keep, *names])
