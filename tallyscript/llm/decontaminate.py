@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscript.llm.common import slices, table, unused, written
+from tallyscript.llm.common import discard, slices, table, unused, written
 
 #: Words in a window.
 WINDOW = 10
@@ -180,13 +180,22 @@ def searched(rows: DataFrame, items: list[tuple[str, bytes]], window: int, keep:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a window of a benchmark item occurs; others keep all their columns, whatever their names.
 
+    A benchmark of several blocks is searched for block by block; what each leaves is written, so that one block's windows are in
+    memory at a time.
+
     Null and empty texts hold no window and stay, as do repeated rows and rows with a null id. An empty table stays empty.
     """
     columns = docs.columns
     names = tuple(unused(n, columns) for n in FOUND)
-    for block in blocks_of(table(spark, sf_dir, "benchmark"), PATTERN_BYTES):
-        docs = searched(docs, block, WINDOW, tuple(columns), names).where(F.col(names[1]) == 0).select(*columns)
-    return docs
+    kept, held = docs, None
+    for number, block in enumerate(blocks_of(table(spark, sf_dir, "benchmark"), PATTERN_BYTES)):
+        if number:
+            fresh = written(kept, "clean")
+            if held is not None:
+                discard(held)
+            kept = held = fresh
+        kept = searched(kept, block, WINDOW, tuple(columns), names).where(F.col(names[1]) == 0).select(*columns)
+    return kept
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
