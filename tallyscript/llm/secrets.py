@@ -82,7 +82,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def scan(texts: list[bytes]) -> list[list]:
     rows = []
     for raw in texts:
-        base = base_spans(text := raw.decode())
+        base = base_spans(text := raw.decode(errors="replace"))
         kinds = [k for _, k, _ in base]
         rows.append([kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + entropy_spans(text))])
     return [list(c) for c in zip(*rows, strict=True)]
@@ -92,7 +92,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans has the base spans and those of the entropy rule, which may overlap: a key that a base pattern finds by its form is
-    confirmed by its entropy. docs has doc_id and text; other columns are ignored. A null text is empty and has no span; a null doc_id stays null;
+    confirmed by its entropy. docs has doc_id and text; other columns are ignored. A null text is empty and has no span; bytes that are no UTF-8 count as replacement characters; a null doc_id stays null;
     repeated rows give repeated results. Texts are scanned whole, one at a time, without a shuffle.
     """
     fields = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
