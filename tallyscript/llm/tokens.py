@@ -87,7 +87,8 @@ class Encoder:
         self.counts, self.starts, self.ids = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, "<u4")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers; bytes that are no UTF-8 are encoded as replacement characters."""
+        texts = [readable(t) for t in texts]
         if not self.by_piece:
             return [packed(e.ids) for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         joined = b"\n".join(texts) + b"\n"
@@ -180,6 +181,14 @@ class Encoder:
         return self.library.encode(word, add_special_tokens=False).ids
 
 
+def readable(text: bytes) -> bytes:
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode(errors="replace").encode()
+
+
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
