@@ -28,6 +28,8 @@ from tallyscript.llm.common import SLICE_BYTES, IdFilter, discard, large_join, t
 LENGTH, ANCHORS = 400, (192, 340, 385, 400)
 #: Bytes of the segments of one anchor that are sorted in one task; of segments that are sorted together; segments a task, about.
 GROUP_BYTES, SORT_BYTES, TASK_SEGMENTS = 1 << 19, 1 << 18, 1 << 13
+#: Bits of the digest that stands for a segment's bytes; seed of a second one, which finds two segments to compare.
+DIGEST_BITS, SECOND_SEED = 64, 7
 #: Windows that are looked at together in a task.
 PART = 1 << 18
 #: An odd base of the polynomial hash modulo 2**64, and its inverse.
@@ -74,8 +76,8 @@ def least_places(hashes: np.ndarray, w: int) -> np.ndarray:
     return (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def segments(text: bytes, k: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """(first window, number of windows, anchor's place, anchor's hash, digest) of the text's segments, part by part."""
+def segments(text: bytes, k: int, length: int, bits: int = DIGEST_BITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]]:
+    """(first window, number of windows, anchor's place, anchor's hash, digest, second digest) of the text's segments, part by part."""
     n = len(text) - length + 1
     for at in range(0, n, PART):
         part = text[at : min(at + PART, n) + length - 1]
@@ -83,52 +85,57 @@ def segments(text: bytes, k: int, length: int) -> Iterator[tuple[np.ndarray, np.
         place = least_places(hashes, length - k + 1)
         first = np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1)
         count = np.diff(np.append(first, len(place)))
-        digests = [xxhash.xxh3_64_intdigest(part[s : s + c + length - 1]) - (1 << 63) for s, c in zip(first.tolist(), count.tolist(), strict=True)]
-        yield first + at, count, place[first] + at, hashes[place[first]].view(np.int64), digests
+        pieces = [part[s : s + c + length - 1] for s, c in zip(first.tolist(), count.tolist(), strict=True)]
+        digests = [(xxhash.xxh3_64_intdigest(p) - (1 << 63)) >> 64 - bits for p in pieces]
+        yield first + at, count, place[first] + at, hashes[place[first]].view(np.int64), digests, [xxhash.xxh64_intdigest(p, SECOND_SEED) - (1 << 63) for p in pieces]
 
 
-def cut(contexts: DataFrame, k: int, length: int) -> DataFrame:
-    """The segments of (id, h, start, context), places being counted from the text's begin: id, h, start, lo, n, place, anchor, digest."""
+def cut(contexts: DataFrame, k: int, length: int, bits: int) -> DataFrame:
+    """The segments of (id, h, start, context), places being counted from the text's begin: id, h, start, lo, n, place, anchor, digest, second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held = [], [[], [], [], [], []]
+            rows, held = [], [[] for _ in range(6)]
             size = 0
             starts = batch.column(2).to_pylist()
             for i, text in enumerate(batch.column(3)):
                 text = text.as_py() or b""
-                for lo, n, place, anchors, digests in segments(text, k, length) if len(text) >= length else ():
+                for lo, n, place, anchors, *digests in segments(text, k, length, bits) if len(text) >= length else ():
                     rows.append(np.full(len(lo), i))
-                    for out, x in zip(held, (lo + starts[i], n, place + starts[i], anchors, digests), strict=True):
+                    for out, x in zip(held, (lo + starts[i], n, place + starts[i], anchors, *digests), strict=True):
                         out.append(x)
                     size += len(text)
                 if size > SLICE_BYTES or i == len(starts) - 1 and rows:
                     own = pa.array(np.concatenate(rows))
                     columns = [batch.column(c).take(own) for c in range(3)] + [pa.array(np.concatenate(x), pa.int64()) for x in held]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "h", "start", "lo", "n", "place", "anchor", "digest"])
-                    rows, held, size = [], [[], [], [], [], []], 0
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "h", "start", "lo", "n", "place", "anchor", "digest", "second"])
+                    rows, held, size = [], [[] for _ in range(6)], 0
 
-    return contexts.mapInArrow(run, "id string, h long, start long, lo long, n long, place long, anchor long, digest long")
+    return contexts.mapInArrow(run, "id string, h long, start long, lo long, n long, place long, anchor long, digest long, second long")
 
 
-def one_round(contexts: DataFrame, k: int, length: int) -> tuple[DataFrame, DataFrame]:
-    """Repeated stretches of windows (id, h, lo, n), and undecided segments (id, h, start, lo, n, place, anchor, bytes).
+def one_round(contexts: DataFrame, k: int, length: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments that occur twice by their digests, undecided segments, and pairs that tell whether a digest lied.
 
-    bytes: of all undecided segments of the anchor together.
+    shared: id, h, start, lo, n, place, anchor, digest of all segments whose anchor occurs twice. ahead: one of each undecided
+    kind, with bytes, those of all undecided segments of the anchor together. pairs: of each kind that occurs twice, those two
+    segments that differ most by the second digest; if any two differ, these do.
     """
-    every = written(cut(contexts, k, length), "segments")
+    every = written(cut(contexts, k, length, bits), "segments")
     # small sides are written before they are joined, as Spark can then split the rows of an anchor among tasks
     often = written(every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "often")
     shared = written(large_join(every, often, "anchor"), "shared")
-    kinds = shared.groupBy("anchor", "digest").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "start", "lo", "n", "place")).alias("one"))
+    at = F.struct("id", "h", "start", "lo", "n", "place")
+    kinds = shared.groupBy("anchor", "digest").agg(F.count("*").alias("k"), F.min(at).alias("one"), F.min(F.struct("second", at.alias("at"))).alias("low"), F.max(F.struct("second", at.alias("at"))).alias("high"))
     kinds = written(kinds, "kinds")
-    repeated = written(large_join(shared, kinds.where("k > 1").select("anchor", "digest"), ["anchor", "digest"]).select("id", "h", "lo", "n").distinct(), "repeated")
     # an anchor with one kind of segment only, or of which every kind is repeated, is done
     of_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("k").alias("least"), F.sum(F.col("one.n") + length - 1).alias("bytes"))
     undecided = written(of_anchor.where("kinds > 1 and least = 1").select("anchor", "bytes"), "undecided")
     ahead = written(large_join(kinds, undecided, "anchor").select("one.*", "anchor", "bytes"), "ahead")
-    discard(every, often, shared, kinds, undecided)
-    return repeated, ahead
+    twice = kinds.where("k > 1").select("anchor", "digest", F.explode(F.array("low.at", "high.at")).alias("at"))
+    pairs = written(twice.select("at.*", "anchor", "digest"), "pairs")
+    discard(every, often, undecided, kinds)
+    return shared, ahead, pairs
 
 
 class Suffixes:
@@ -280,28 +287,44 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("context"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, group_bytes: int = GROUP_BYTES, digest_bits: int = DIGEST_BITS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     docs has doc_id and text; other columns are ignored. Texts are UTF-8 bytes, a null one is empty. A string that occurs at
     any second place, in the same text or another row's, is removed wherever it occurs; strings are judged on the input. spans
     lists the removed stretches as start:end, comma-joined. Repeated rows are each other's second place. Null doc_ids
     are rows like others. Texts shorter than `length` bytes keep all. An empty table gives no row.
+
+    Segments of one anchor and digest are repeated once the two of them that a second digest puts farthest apart have the same
+    bytes; if they don't, the digest lied, and all its segments are sorted as suffixes. digest_bits are fewer in tests only.
     """
     contexts = keyed(docs).where(F.length("context") >= length).select("id", "h", F.lit(0).cast("long").alias("start"), "context")
     found = []
     for k in anchors:
-        repeated, ahead = one_round(contexts, k, length)
-        found.append(repeated)
-        if k == anchors[-1] or ahead.isEmpty():
+        shared, ahead, pairs = one_round(contexts, k, length, digest_bits)
+        wanted = ahead.select("id", "h", "start", "lo", "n", "place", "anchor", "bytes", F.lit(None).cast("long").alias("digest"))
+        wanted = wanted.unionByName(pairs.withColumn("bytes", F.lit(None).cast("long")), allowMissingColumns=True)
+        near = contexts.where(IdFilter(wanted.select("id").distinct()).column("id"))
+
+        def with_bytes(rows: DataFrame) -> DataFrame:
+            piece = F.substring(F.col("context"), F.col("lo") - F.col("start") + 1, F.col("n") + length - 1)
+            return large_join(rows, near, ["id", "h", "start"]).select("anchor", "digest", "place", "bytes", "id", "h", F.col("lo").alias("start"), piece.alias("context"))
+
+        fetched = written(with_bytes(wanted), "fetched")
+        differ = fetched.where("bytes is null").groupBy("anchor", "digest").agg(F.collect_set("context").alias("contexts")).where(F.size("contexts") > 1)
+        lied = written(differ.select("anchor").distinct(), "lied")
+        kinds, undecided = pairs.select("anchor", "digest").distinct(), fetched.where("bytes is not null")
+        if not lied.isEmpty():  # of these anchors all segments are undecided, whatever their bytes
+            kinds, near = large_join(kinds, lied, "anchor", "left_anti"), contexts
+            members = large_join(shared.distinct(), lied, "anchor").withColumn("bytes", F.lit(0).cast("long"))
+            undecided = written(large_join(undecided, lied, "anchor", "left_anti").unionByName(with_bytes(members)), "undecided")
+        found.append(written(large_join(shared, kinds, ["anchor", "digest"]).select("id", "h", "lo", "n").distinct(), "repeated"))
+        discard(shared, pairs)
+        if undecided.isEmpty():
             break
-        near = contexts.where(IdFilter(ahead.select("id").distinct()).column("id"))
-        piece = F.substring(F.col("context"), F.col("lo") - F.col("start") + 1, F.col("n") + length - 1)
-        undecided = large_join(ahead, near, ["id", "h", "start"]).select("anchor", "place", "bytes", "id", "h", F.col("lo").alias("start"), piece.alias("context"))
-        undecided = written(undecided, "undecided")
         found.append(written(sort_suffixes(undecided.where(F.col("bytes") <= group_bytes), length), "sorted"))
         contexts = undecided.where(F.col("bytes") > group_bytes).select("id", "h", "start", "context")
-        if contexts.isEmpty():
+        if k == anchors[-1] or contexts.isEmpty():
             break
     windows = found[0]
     for other in found[1:]:
