@@ -318,8 +318,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
             kinds, near = large_join(kinds, lied, "anchor", "left_anti"), contexts
             members = large_join(shared.distinct(), lied, "anchor").withColumn("bytes", F.lit(0).cast("long"))
             undecided = written(large_join(undecided, lied, "anchor", "left_anti").unionByName(with_bytes(members)), "undecided")
+        kinds = written(kinds, "kinds")  # before the join, so that Spark can split the rows of one kind among tasks
         found.append(written(large_join(shared, kinds, ["anchor", "digest"]).select("id", "h", "lo", "n").distinct(), "repeated"))
-        discard(shared, pairs)
+        discard(shared, pairs, kinds)
         if undecided.isEmpty():
             break
         found.append(written(sort_suffixes(undecided.where(F.col("bytes") <= group_bytes), length), "sorted"))
