@@ -41,7 +41,8 @@ def stream_percentile(frames: DataFrame, share: float = PERCENTILE, width: int =
 
     The values around the wanted rank are found by counting: each round cuts the range that is left into bins, counts by slice and
     bin, and keeps the bins that hold the rank and the next. What is left after the rounds is counted by value. A task sees
-    a slice of frames, or a stream's bins, or the few values left of it; equal values are one. Nulls don't count.
+    a slice of frames, or a stream's bins, or the few values left of it; equal values are one. Nulls don't count. Between two equal
+    values lies that value itself, which weights of both would miss by a rounding, so that frames of that energy would count as above it.
     """
     rows = sliced(frames.where("energy is not null").select("stream_id", "frame_idx", "energy"), width).select("stream_id", "slice", "energy")
     by_slice = rows.groupBy("stream_id", "slice").agg(F.count("*").alias("n"), F.min("energy").alias("lo"), F.max("energy").alias("hi"))
@@ -68,7 +69,7 @@ def stream_percentile(frames: DataFrame, share: float = PERCENTILE, width: int =
     upto = values.withColumn("upto", F.col("below") + F.sum("k").over(order.orderBy("energy")))
     at = lambda r: F.min(F.when(F.col("upto") > r, F.col("energy")))
     found = upto.groupBy("stream_id").agg(F.first("rank").alias("rank"), at(first).alias("v1"), at(second).alias("v2"))
-    between = F.when(first == second, F.col("v1")).otherwise((second - F.col("rank")) * F.col("v1") + (F.col("rank") - first) * F.col("v2"))
+    between = F.when(F.col("v1") == F.col("v2"), F.col("v1")).otherwise((second - F.col("rank")) * F.col("v1") + (F.col("rank") - first) * F.col("v2"))
     return found.select("stream_id", between.alias("threshold")).join(slices, "stream_id")
 
 

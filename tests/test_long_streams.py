@@ -3,11 +3,13 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyscript.operators import align, assemble, chunking, consensus, intervals, signal
+from tallyscript.plans.queries import SQL
 
 
 def frames_of(spark, seed=1, sizes=(1, 2, 5, 37, 200)):
@@ -33,6 +35,20 @@ def test_percentile_of_odd_streams(spark):
     assert got == {(1, 5.0), (3, 2.0)}
 
 
+def test_percentile_between_equal_values(spark, tmp_path):
+    """Of equal values the percentile is that value, so that none of its frames is above it; the SQL says the same."""
+    sizes = {(1, 29.27): 2, (2, 26.11): 2, (3, 29.27): 9, (4, 122.79): 30}
+    rows = [(s, i, v) for (s, v), n in sizes.items() for i in range(n)]
+    frames = spark.createDataFrame(rows, "stream_id long, frame_idx int, energy double")
+    got = signal.threshold(frames).collect()
+    assert len(got) == len(rows) and all(r.threshold == r.energy and r.voiced == 0 for r in got)
+    events = frames.select(F.monotonically_increasing_id().alias("event_id"), F.timestamp_seconds("frame_idx").alias("ts"), F.col("stream_id").alias("user_id"), F.col("energy").alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert con.sql(f"SELECT count(*), sum(voiced) FROM ({SQL['frame_threshold']})").fetchall() == [(len(rows), 0.0)]
+
+
 def test_same_segments_for_every_slice(spark):
     rng = random.Random(7)
     _, frames = frames_of(spark, 3, (40, 300))
