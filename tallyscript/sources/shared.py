@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import urllib.parse
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +27,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def at(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if "://" in path:
+        return pyarrow.fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/"))
+    return pyarrow.fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, if the session still runs."""
     if spark.sparkContext._jsc is not None:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscript.sources.shared import at
+
+#: How Spark names the folder of a null.
+NULL = "__HIVE_DEFAULT_PARTITION__"
 PROMPT = "struct<name string, description string, prompt string>"
 
 
@@ -53,12 +61,43 @@ def numbered_lines(texts: DataFrame) -> DataFrame:
 def write_transcripts(rows: DataFrame, path: str, by: tuple[str, ...], order: tuple[str, ...]) -> None:
     """Sink: a text file for each value of `by`, alone in its folder, with the rows' `line` in the order of `order`.
 
-    Rows are dealt by ranges of `by`, so that one task writes a whole file, and are sorted there before they are written; a
-    file is never held in memory. A null counts as a value. Columns of `by` are numbers, as the order of strings would be
-    lost when folders are made.
+    Rows are dealt by `by`, so that one task writes a whole file, and are sorted there before they are written; a file is never
+    held in memory. A null counts as a value. Columns of `by` are numbers.
+
+    Tasks write through pyarrow, as Spark's own writer renames each file in the driver and, on a local disk, starts a process for
+    each folder and file to set its rights. There are as many tasks as shuffles have, however few bytes the files hold. A file gets its name when it is whole.
     """
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by, *order)
-    dealt.select(*by, "line").write.partitionBy(*by).text(path)
+    at(path)[0].create_dir(at(path)[1], recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = at(path)
+        key, file, n = None, None, 0
+        part = f"{uuid.uuid4().hex}.txt"
+
+        def finish() -> None:
+            file.close()
+            folder = f"{root}/{'/'.join(key)}"
+            store.move(f"{folder}/.{part}", f"{folder}/part-0.txt")
+
+        for batch in batches:
+            *keys, lines = (column.to_pylist() for column in batch.columns)
+            for *values, line in zip(*keys, lines):
+                names = [f"{c}={NULL if v is None else v}" for c, v in zip(by, values)]
+                if names != key:
+                    if file:
+                        finish()
+                    key, n = names, n + 1
+                    folder = f"{root}/{'/'.join(key)}"
+                    store.create_dir(folder, recursive=True)
+                    file = store.open_output_stream(f"{folder}/.{part}")
+                file.write(((line or "") + "\n").encode())
+        if file:
+            finish()
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, *by).sortWithinPartitions(*by, *order)
+    dealt.select(*by, "line").mapInArrow(put, "files long").write.format("noop").mode("overwrite").save()
 
 
 def read_transcripts(spark: SparkSession, path: str, by: tuple[str, ...]) -> DataFrame:

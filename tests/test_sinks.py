@@ -31,3 +31,21 @@ def test_transcripts_over_eight_partitions(spark, tmp_path):
     assert {(r.job_id, r.chunk_no): r.text for r in tables.read_transcripts(spark, f"{tmp_path}/chunks", ("job_id", "chunk_no")).collect()} == texts
     whole = {r.job_id: r.text for r in tables.read_transcripts(spark, f"{tmp_path}/combined", ("job_id",)).collect()}
     assert whole == {j: "\n".join(texts[j, c] for c in range(1, 13)) for j in (1, 2, 10, None)}
+
+
+def test_a_task_for_each_shuffle_partition_and_no_file_half_written(spark, tmp_path):
+    """Small files are written by as many tasks as shuffles have, not by the one that their few bytes fill; odd paths and empty tables work."""
+    path = f"{tmp_path}/a b%20c"
+    lines = spark.range(400).select(F.floor(F.col("id") / 2).alias("job_id"), (F.col("id") % 2).alias("line_no"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("line"))
+    tracker, group = spark.sparkContext.statusTracker(), "sink"
+    spark.sparkContext.setJobGroup(group, group)
+    tables.write_transcripts(lines, f"file://{path}", ("job_id",), ("line_no",))
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert max(s.numTasks for s in stages if s and s.numCompletedTasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = glob.glob(f"{path}/**/*", recursive=True, include_hidden=True)
+    assert sum(f.endswith("part-0.txt") for f in files) == 200 and len(files) == 400  # folders and their files
+    with open(f"{path}/job_id=7/part-0.txt", encoding="utf-8") as f:
+        assert f.read() == "14\n\n"
+    tables.write_transcripts(lines.where("job_id < 0"), f"{tmp_path}/none", ("job_id",), ("line_no",))
+    assert tables.read_transcripts(spark, f"{tmp_path}/none", ("job_id",)).collect() == []
