@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscript.functions.text import BRACKETS, SCORED_LINE, lines_of, strip
@@ -46,6 +46,16 @@ def baseline_v04(runs: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
     return best_run(scored.select(*CHUNK, "run_no", (F.col("base_score") + F.coalesce("bonus", F.lit(0.0))).alias("score")))
 
 
+def over_runs(*columns: str | Column) -> list[Column]:
+    """Of one line's matches: the sum of each column, nulls left out, taken in order of runs, as sums of doubles depend on it."""
+    held = F.array_sort(F.collect_list(F.struct("run_no", *[(F.col(c) if isinstance(c, str) else c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)])))
+
+    def total(field: str) -> Column:
+        return F.aggregate(held, F.lit(None).cast("double"), lambda s, m: F.when(m[field].isNull(), s).otherwise(F.coalesce(s, F.lit(0.0)) + m[field]))
+
+    return [total(f"x{k}") for k in range(len(columns))]
+
+
 def scored_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows of two kinds: every run's lines with the means over the runs that they match, and, with a null line_no, the run itself.
 
@@ -53,16 +63,18 @@ def scored_v03(runs: DataFrame, lines: DataFrame) -> DataFrame:
     run of the highest score, the first of equals. Lines are paired once; scores and choice follow by windows over the pairs' chunk.
 
     A matched pair of lines of runs with different texts agrees by 0.6 for the same speaker, by exact name, and 0.4 times the
-    similarity of content; a run's agreement is 30 times the mean. A chunk's only run gets 30, one without lines 0, one without such a pair 15.
+    similarity of content; a run's agreement is 30 times the mean, summed by line in order of runs, then over lines in order. A chunk's only run gets 30, one without lines 0, one without such a pair 15.
     """
     carried = ("ts", "sec", "visual")
     pairs = pairs_v03(lines, runs, carry=carried)
     agreed = F.when(F.col("another"), F.col("same_name") * 0.6 + F.col("similarity") * 0.4)
     own = [F.first(c).alias(c) for c in ("speaker", "content", *carried)]
-    said = pairs.groupBy(*CHUNK, "base_run", "line_no").agg(*own, F.avg("same_speaker").alias("speaker_raw"), F.avg("similarity").alias("content_raw"), F.count("*").alias("n_matched"), F.sum(agreed).alias("agreed"), F.count(agreed).alias("n_agreed"))
+    speaker, content, total = over_runs("same_speaker", "similarity", agreed)
+    said = pairs.groupBy(*CHUNK, "base_run", "line_no").agg(*own, (speaker / F.count("*")).alias("speaker_raw"), (content / F.count("*")).alias("content_raw"), F.count("*").alias("n_matched"), total.alias("agreed"), F.count(agreed).alias("n_agreed"))
     counts = F.struct(F.size(lines_of(strip(F.col("text")))).alias("lines"), F.regexp_count("text", F.lit(r"\S+")).alias("words"), F.regexp_count("text", F.lit(BRACKETS)).alias("visual"), F.regexp_count("text", F.lit(r"\[unclear\]|\[inaudible\]|\[uncertain\]")).alias("unclear"))
     rows = said.unionByName(runs.select(*CHUNK, F.col("run_no").alias("base_run"), counts.alias("text")), allowMissingColumns=True).repartition(*CHUNK)
-    run, chunk = Window.partitionBy(*CHUNK, "base_run"), Window.partitionBy(*CHUNK)
+    run = Window.partitionBy(*CHUNK, "base_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chunk = Window.partitionBy(*CHUNK)
     over = {"n_parsed": F.count("line_no"), "speakers": F.collect_set("speaker"), "n_content": F.count_if(F.trim("content") != ""), "agreed": F.sum("agreed"), "n_agreed": F.sum("n_agreed"), "text": F.max("text")}
     rows = rows.withColumns({f"_{c}": f.over(run) for c, f in over.items()}).withColumn("_n_runs", F.count_if(F.col("line_no").isNull()).over(chunk))
     n = F.col("_text.lines")
@@ -91,14 +103,16 @@ def baseline_lines(lines: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def line_confidence(base: DataFrame, aligned: DataFrame) -> DataFrame:
     """Each line of base with the means over its matched runs, 1 where none matched: speaker_raw, content_raw, n_matched."""
-    means = aligned.groupBy(*CHUNK, "line_no").agg(F.avg("same_speaker").alias("s"), F.avg("similarity").alias("c"), F.count("*").alias("n"))
+    speaker, content = over_runs("same_speaker", "similarity")
+    means = aligned.groupBy(*CHUNK, "line_no").agg((speaker / F.count("*")).alias("s"), (content / F.count("*")).alias("c"), F.count("*").alias("n"))
     return base.join(means, [*CHUNK, "line_no"], "left").select(*base.columns, F.coalesce("s", F.lit(1.0)).alias("speaker_raw"), F.coalesce("c", F.lit(1.0)).alias("content_raw"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matched"))
 
 
 def confidence_of(aligned: DataFrame, carried: tuple[str, ...]) -> DataFrame:
     """line_confidence() where base is one of the runs: each of its lines then matches itself, and comes with its match."""
     own = ("base_run", "speaker", "content", *carried)
-    return aligned.groupBy(*CHUNK, "line_no").agg(*[F.first(c).alias(c) for c in own], F.avg("same_speaker").alias("speaker_raw"), F.avg("similarity").alias("content_raw"), F.count("*").alias("n_matched"))
+    speaker, content = over_runs("same_speaker", "similarity")
+    return aligned.groupBy(*CHUNK, "line_no").agg(*[F.first(c).alias(c) for c in own], (speaker / F.count("*")).alias("speaker_raw"), (content / F.count("*")).alias("content_raw"), F.count("*").alias("n_matched"))
 
 
 def voice_stretches(segments: DataFrame, keys: tuple[str, ...] = CHUNK) -> DataFrame:

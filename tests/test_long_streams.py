@@ -170,3 +170,13 @@ def test_nearest_in_one_slot_of_many_lines(spark):
     began = time.perf_counter()
     got = align.nearest(align.as_base(lines.where("run_no = 0")), lines)
     assert got.count() == 20_000 and got.where("distance > 1").count() == 0 and time.perf_counter() - began < 60
+
+
+def test_means_over_runs_in_order_of_runs(spark):
+    """However a line's matches arrive, they are summed in order of runs, so that no whole percent is lost or won by chance."""
+    values = [0.1, 0.2, 0.3]
+    for rows in ([2, 1, 0], [0, 1, 2], [1, 2, 0]):
+        aligned = spark.createDataFrame([(1, 1, 0, r, 0, "A", "b", 1, values[r]) for r in rows], "job_id int, chunk_no int, line_no int, run_no int, base_run int, speaker string, content string, same_speaker int, similarity double").coalesce(1)
+        row = consensus.confidence_of(aligned, ()).first()
+        assert (row.speaker_raw, row.content_raw, row.n_matched) == (1.0, (0.1 + 0.2 + 0.3) / 3, 3)
+        assert consensus.line_confidence(aligned.select("job_id", "chunk_no", "line_no").distinct(), aligned).first().content_raw == (0.1 + 0.2 + 0.3) / 3
