@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscript.operators import jobs, parsing, summaries, validate
@@ -108,7 +108,12 @@ ANALYSIS_SQL = f"""{V03_SQL.replace(RUNS_SQL, VALID_RUNS_SQL)},
 said AS (SELECT b.job_id, b.chunk_no, b.line_no, count(a.run_no) AS n FROM base b LEFT JOIN aligned a ON a.job_id = b.job_id AND a.chunk_no = b.chunk_no AND a.line_no = b.line_no GROUP BY ALL),
 shown AS (SELECT j.*, n, CASE quality WHEN 'accept' THEN '✅' WHEN 'review' THEN '⚠️' ELSE '🚨' END AS flag, CASE WHEN quality <> 'accept' THEN '👤' || round_even(speaker_raw * 100, 0)::INT || '💬' || round_even(content_raw * 100, 0)::INT END AS why FROM judged j JOIN said s ON s.job_id = j.job_id AND s.chunk_no = j.chunk_no AND s.line_no = j.line_no),
 chunk AS (SELECT job_id, chunk_no, string_agg(ts || ' ' || speaker || ': ' || content || ' ' || flag || coalesce(' *' || why || '*', ''), chr(10) ORDER BY line_no) AS flagged, count(*) AS total_lines, count(*) FILTER (quality = 'accept') AS accept, count(*) FILTER (quality = 'review') AS review, count(*) FILTER (quality = 'critical') AS critical, avg(speaker_raw) AS speaker, avg(content_raw) AS content,
-  string_agg(concat_ws('|', ts, speaker, content, flag, (quality <> 'accept')::VARCHAR, coalesce(why, '-'), printf('%.4f', speaker_raw), printf('%.4f', content_raw), n::VARCHAR), chr(10) ORDER BY line_no) AS lines FROM shown GROUP BY ALL)"""
+  string_agg(concat_ws('|', ts, speaker, content, flag, (quality <> 'accept')::VARCHAR, coalesce(why, '-'), printf('%.4f', floor(speaker_raw * 10000 + 0.5::DOUBLE) / 10000), printf('%.4f', floor(content_raw * 10000 + 0.5::DOUBLE) / 10000), n::VARCHAR), chr(10) ORDER BY line_no) AS lines FROM shown GROUP BY ALL)"""
+
+
+def four_places(value: Column) -> Column:
+    """A number from 0 up at four places, halves up; formats alone differ on halves, as some round the decimal and some the binary number."""
+    return F.format_string("%.4f", F.floor(value * 10000 + 0.5) / 10000)
 
 
 @query(
@@ -126,7 +131,7 @@ def consensus_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.write_transcripts(rows.select(*CHUNK, summaries.as_json("analysis").alias("line")), folder, tuple(CHUNK), ("line",))
     read = tables.read_transcripts(spark, folder, tuple(CHUNK)).select(*CHUNK, F.from_json("text", rows.schema["analysis"].dataType.simpleString()).alias("a"))
     s, v = "a.analysis_summary.", "a.validation_summary."
-    line = lambda x: F.concat_ws("|", x["timestamp"], x["speaker"], x["content"], x["flag"], x["review_needed"].cast("string"), F.coalesce(x["flag_reason"], F.lit("-")), F.format_string("%.4f", x["confidence"]["speaker"]), F.format_string("%.4f", x["confidence"]["content"]), x["total_comparisons"].cast("string"))
+    line = lambda x: F.concat_ws("|", x["timestamp"], x["speaker"], x["content"], x["flag"], x["review_needed"].cast("string"), F.coalesce(x["flag_reason"], F.lit("-")), four_places(x["confidence"]["speaker"]), four_places(x["confidence"]["content"]), x["total_comparisons"].cast("string"))
     places = lambda c: F.round(c, 6).alias(c.rsplit(".", 1)[1])
     return read.select(
         *CHUNK, F.sha2("a.flagged_transcript", 256).alias("flagged_sha256"), f"{s}total_runs", f"{s}flagging_used", f"{s}algorithm_used", F.col(f"{s}baseline_selected.run_index").cast("long").alias("run_index"), places(f"{s}baseline_selected.quality_score"), f"{s}baseline_selected.selection_reason", f"{s}total_lines", f"{s}quality_distribution.*",

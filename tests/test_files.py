@@ -2,12 +2,15 @@
 
 import json
 import os
+import re
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyscript.operators import jobs, parsing, summaries, validate
+from tallyscript.plans import files
 from tallyscript.sources import sqlite, tables
 from tests.test_goldens import THREE, runs_frame
 
@@ -107,3 +110,11 @@ def test_analysis_has_the_fields_of_the_file(spark):
     assert '"flag_reason":null' in row.json
     one = runs_frame(spark, THREE[0]).withColumn("run_no", F.lit(1))
     assert summaries.consensus_analysis(one, parsing.parse_v03(one), validate.admit(validate.validate(one))).collect() == []  # one valid run has no analysis
+
+
+def test_four_places_as_the_sql_has_them(spark):
+    values = [0.97825, 0.93125, 0.00005, 1.0, 0.0, 2 / 3, 0.12345]
+    form = re.search(r"printf\('%.4f', .*? / 10000\)", files.ANALYSIS_SQL).group().replace("speaker_raw", "x")
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").orderBy("k").select(files.four_places(F.col("x"))).collect()]
+    assert got == [duckdb.sql(f"SELECT {form} FROM (SELECT {v!r}::DOUBLE AS x)").fetchall()[0][0] for v in values]
+    assert got[:3] == ["0.9783", "0.9313", "0.0001"]
