@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds of a frame as the segments' clock counts it, percentile of energy, width of the moving mean,
@@ -12,6 +12,9 @@ FRAME_S, PERCENTILE, WIDTH, WEIGHTS, SPEECH, SHORTEST_S = 0.02, 0.3, 5, (0.7, 1
 #: Frames of a slice, the part of a stream that one task sees at least; bins that a range of energies is cut into, and how often.
 SLICE, BINS, ROUNDS = 1 << 16, 1024, 2
 
+#: Units of a confidence of 1.
+UNITS = 1 << 40
+
 
 def frame_energy(samples: DataFrame, hop: int) -> DataFrame:
     """samples (stream_id, idx, x) to frames (stream_id, frame_idx, energy): the sum of squares over two hops, a frame beginning at each hop.
@@ -41,11 +44,12 @@ def stream_percentile(frames: DataFrame, share: float = PERCENTILE, width: int =
 
     The values around the wanted rank are found by counting: each round cuts the range that is left into bins, counts by slice and
     bin, and keeps the bins that hold the rank and the next. What is left after the rounds is counted by value. A task sees
-    a slice of frames, or a stream's bins, or the few values left of it; equal values are one. Nulls don't count. Between two equal
+    a slice of frames, or a stream's bins, or the few values left of it; equal values are one. Nulls don't count, but a slice of nulls has its stream's percentile. Between two equal
     values lies that value itself, which weights of both would miss by a rounding, so that frames of that energy would count as above it.
     """
-    rows = sliced(frames.where("energy is not null").select("stream_id", "frame_idx", "energy"), width).select("stream_id", "slice", "energy")
-    by_slice = rows.groupBy("stream_id", "slice").agg(F.count("*").alias("n"), F.min("energy").alias("lo"), F.max("energy").alias("hi"))
+    every = sliced(frames.select("stream_id", "frame_idx", "energy"), width).select("stream_id", "slice", "energy")
+    by_slice = every.groupBy("stream_id", "slice").agg(F.count("energy").alias("n"), F.min("energy").alias("lo"), F.max("energy").alias("hi"))
+    rows = every.where("energy is not null")
     whole = by_slice.groupBy("stream_id").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     rank = (F.col("n") - 1) * F.lit(share)
     bounds = whole.select("stream_id", rank.alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"))
@@ -109,9 +113,15 @@ def blend(frames: DataFrame) -> DataFrame:
     return frames.withColumn("confidence", F.col("smoothed") * WEIGHTS[0] + F.col("asr") * WEIGHTS[1])
 
 
+def units(confidence: str) -> Column:
+    """A confidence in whole units, halves up, whose sums are exact in every order."""
+    return F.floor(F.col(confidence) * F.lit(float(UNITS)) + 0.5).cast("decimal(20,0)")
+
+
 def segments(frames: DataFrame, frame_s: float = FRAME_S, speech: float = SPEECH, shortest: float = SHORTEST_S, compat: bool = True, width: int = SLICE) -> DataFrame:
     """Runs of frames above `speech`: stream_id, seg_no, start_s, end_s, duration, confidence.
 
+    Confidences are summed in whole units of 1 / UNITS, so that means don't depend on the order of frames, slices and tasks.
     Runs are made slice by slice, and those that meet at a slice's edge are joined by their summaries, so a stream's windows hold
     its runs and not its frames. compat takes the mean from the frame that the start's seconds point back at, which rounding puts one frame early at times.
     """
@@ -120,13 +130,14 @@ def segments(frames: DataFrame, frame_s: float = FRAME_S, speech: float = SPEECH
     on = F.col("confidence") > speech
     flagged = seen.where("own").withColumn("on", on)
     flagged = flagged.withColumn("turn", F.sum((F.col("on") != F.coalesce(F.lag("on").over(order), F.lit(False))).cast("int")).over(order))
-    parts = flagged.where("on").groupBy("stream_id", "slice", "turn").agg(F.min("frame_idx").alias("first"), (F.max("frame_idx") + 1).alias("stop"), F.sum("confidence").alias("total"), F.count("*").alias("k"), F.min_by("before", "frame_idx").alias("earlier"))
+    parts = flagged.where("on").groupBy("stream_id", "slice", "turn").agg(F.min("frame_idx").alias("first"), (F.max("frame_idx") + 1).alias("stop"), F.sum(units("confidence")).alias("total"), F.count("*").alias("k"), F.min_by("before", "frame_idx").alias("earlier"))
     along = Window.partitionBy("stream_id").orderBy("first")
     fresh = (F.col("first") != F.coalesce(F.lag("stop").over(along), F.lit(-1))).cast("int")
     runs = parts.withColumn("run", F.sum(fresh).over(along)).groupBy("stream_id", "run").agg(F.min_by("earlier", "first").alias("earlier"), F.min("first").alias("first"), F.max("stop").alias("stop"), F.sum("total").alias("total"), F.sum("k").alias("k"))
     start, end = F.col("first") * F.lit(frame_s), F.col("stop") * F.lit(frame_s)
     early = F.lit(compat) & ((start / F.lit(frame_s)).cast("int") < F.col("first"))
-    mean = (F.col("total") + F.when(early, F.col("earlier")).otherwise(0.0)) / (F.col("k") + early.cast("int"))
+    total = (F.col("total") + F.when(early, units("earlier")).otherwise(0)).cast("double")
+    mean = total / (F.col("k") + early.cast("int")) / F.lit(float(UNITS))
     kept = runs.select("stream_id", start.alias("start_s"), end.alias("end_s"), (end - start).alias("duration"), mean.alias("confidence")).where(F.col("duration") > shortest)
     return kept.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("start_s")).alias("seg_no"), "start_s", "end_s", "duration", "confidence")
 

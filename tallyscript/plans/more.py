@@ -333,7 +333,7 @@ def summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_summaries(spark, folder, rows.schema)
 
 
-@query("WITH s AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS idx, value / 100 AS x FROM events WHERE user_id IS NOT NULL), h AS (SELECT stream_id, idx // 4 AS frame_idx, sum(x * x) AS e FROM s GROUP BY ALL HAVING count(*) = 4) SELECT a.stream_id, a.frame_idx, round(a.e + b.e, 6) AS energy FROM h a JOIN h b ON b.stream_id = a.stream_id AND b.frame_idx = a.frame_idx + 1")
+@query("WITH s AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id NULLS LAST, value NULLS LAST) - 1) AS idx, value / 100 AS x FROM events WHERE user_id IS NOT NULL), h AS (SELECT stream_id, idx // 4 AS frame_idx, sum(x * x) AS e FROM s GROUP BY ALL HAVING count(*) = 4) SELECT a.stream_id, a.frame_idx, round(a.e + b.e, 6) AS energy FROM h a JOIN h b ON b.stream_id = a.stream_id AND b.frame_idx = a.frame_idx + 1")
 def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = derived.frames(spark, sf_dir).select("stream_id", F.col("frame_idx").cast("long").alias("idx"), (F.col("energy") / 100).alias("x"))
     return rounded(signal.frame_energy(samples, 4), "energy")

@@ -40,13 +40,13 @@ timed AS (SELECT *, (string_split(ts, ':')[1]::INT * 60 + string_split(ts, ':')[
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream_id, frame_idx, energy: the events of a user as frames in order of time."""
+    """stream_id, frame_idx, energy: the events of a user as frames in order of time, event and value, nulls last, so that no order of equal events is left to chance."""
     events = table(spark, sf_dir, "events").where("user_id is not null")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    order = Window.partitionBy("user_id").orderBy(*(F.asc_nulls_last(c) for c in ("ts", "event_id", "value")))
     return events.select(F.col("user_id").alias("stream_id"), (F.row_number().over(order) - 1).alias("frame_idx"), F.col("value").alias("energy"))
 
 
-FRAMES_SQL = "frames AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame_idx, value AS energy FROM events WHERE user_id IS NOT NULL)"
+FRAMES_SQL = "frames AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id NULLS LAST, value NULLS LAST) - 1)::INT AS frame_idx, value AS energy FROM events WHERE user_id IS NOT NULL)"
 
 
 def asr_segments(frames_: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyscript.operators import align, assemble, chunking, consensus, intervals, signal
 from tallyscript.plans.queries import SQL
+from tallyscript.sources import derived
 
 
 def frames_of(spark, seed=1, sizes=(1, 2, 5, 37, 200)):
@@ -49,6 +50,33 @@ def test_percentile_between_equal_values(spark, tmp_path):
     assert con.sql(f"SELECT count(*), sum(voiced) FROM ({SQL['frame_threshold']})").fetchall() == [(len(rows), 0.0)]
 
 
+def test_equal_moments_have_one_order(spark, tmp_path):
+    """Frames of one moment and event are ordered by value, nulls last, in the query and in its SQL, however the rows lie."""
+    rows = [(7, t, 1, None if v == 5 else float(v)) for t in (1, None, 2) for v in range(9, -1, -1)]
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, value double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r.frame_idx, r.energy) for r in derived.frames(spark, str(tmp_path)).orderBy("frame_idx").collect()]
+    assert got == list(enumerate(3 * [0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 7.0, 8.0, 9.0, None]))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert con.sql(f"WITH {derived.FRAMES_SQL} SELECT frame_idx, energy FROM frames ORDER BY frame_idx").fetchall() == got
+
+
+def test_a_slice_of_nulls_stays(spark):
+    """Frames whose slice has no energy at all are kept, with their stream's percentile."""
+    frames = spark.createDataFrame([(1, i, None if 4 <= i < 8 else float(i)) for i in range(12)] + [(2, 0, None)], "stream_id long, frame_idx int, energy double")
+    got = {r.frame_idx: (r.threshold, r.voiced) for r in signal.threshold(frames, width=4).where("stream_id = 1").collect()}
+    assert sorted(got) == list(range(12)) and len({t for t, _ in got.values()}) == 1 and all(got[i][1] is None for i in range(4, 8))
+
+
+def test_mean_confidence_is_exact_in_every_order(spark):
+    rng = random.Random(2)
+    rows = [(s, i, rng.choice([0.72, 0.86, 1.0, 0.3 + 0.14 * 3])) for s in range(20) for i in range(32 + s)]
+    frames = spark.createDataFrame(rows, "stream_id long, frame_idx int, confidence double")
+    seen = [sorted((r.stream_id, r.confidence) for r in signal.segments(frames.repartition(3), width=w).collect()) for w in (1, 3, 11, 1 << 16)]
+    assert all(s == seen[0] for s in seen) and len(seen[0]) == 20
+
+
 def test_same_segments_for_every_slice(spark):
     rng = random.Random(7)
     _, frames = frames_of(spark, 3, (40, 300))
