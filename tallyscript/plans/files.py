@@ -75,9 +75,10 @@ def database(spark: SparkSession) -> str:
 
 @query(f"WITH {JOBS_SQL} SELECT id, 'v' || id || '.mp4' AS video_filename, minutes AS video_duration_minutes, output_path, created_at, completed_at FROM (SELECT *, CASE WHEN status = 'complete' THEN 'out/' || id END AS output_path, NULL::TIMESTAMP AS completed_at FROM jobs) WHERE status = 'complete' AND id >= 100")
 def sqlite_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs written to SQLite and read back by ranges, with the conditions in the scan."""
+    """Jobs written to SQLite, by ranges of ids in order, and read back by ranges, with the conditions in the scan."""
     path = database(spark)
-    stored_jobs(spark, sf_dir).write.format("sqlite").option("path", path).option("table", "jobs").mode("append").save()
+    rows = stored_jobs(spark, sf_dir).repartitionByRange(sqlite.ATTACHED, "id").sortWithinPartitions("id")
+    rows.write.format("sqlite").option("path", path).option("table", "jobs").mode("append").save()
     held = sqlite.load(spark, path, "jobs", [("status", "=", "complete"), ("id", ">=", 100)])
     return held.select("id", "video_filename", "video_duration_minutes", "output_path", "created_at", "completed_at")
 

@@ -1,5 +1,6 @@
 """Files and databases: admission without reading content, SQLite round trips, nested summaries."""
 
+import datetime
 import json
 import os
 import re
@@ -8,6 +9,7 @@ import sqlite3
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from tallyscript.operators import jobs, parsing, summaries, validate
 from tallyscript.plans import files
@@ -83,6 +85,25 @@ def test_a_broken_row_writes_nothing(spark, database):
     assert sqlite.load(spark, database, "jobs").count() == 1
 
 
+def test_more_files_than_attach_and_moments_of_all_kinds(spark, database):
+    """Thirty tasks' rows come in, the last of a key stays, moments keep their parts of a second, and no row passes through Python in the commit."""
+    at = [datetime.datetime(2024, 1, 1, 5, 6, 7), datetime.datetime(1969, 12, 31, 23, 59, 59, 999999), None]
+    rows = spark.range(0, 900, 1, 30).select((F.col("id") % 800).alias("id"), *(F.lit(x).alias(x) for x in ("video_path", "video_filename", "prompt_name", "config_json")), F.col("id").cast("double").alias("video_duration_minutes"), F.lit("queued").alias("status"), F.element_at(F.array(*map(F.lit, at)), (F.col("id") % 3 + 1).cast("int")).alias("created_at"))
+    put(rows, database, "jobs")
+    held = {r.id: (r.video_duration_minutes, r.at) for r in sqlite.load(spark, database, "jobs").select("*", F.col("created_at").cast("string").alias("at")).collect()}
+    texts = ["2024-01-01 05:06:07", "1969-12-31 23:59:59.999999", None]
+    assert held == {i: (float(n), texts[n % 3]) for n in range(900) for i in [n % 800]}
+    db = sqlite3.connect(database)
+    assert [r[0] for r in db.execute("SELECT created_at FROM jobs WHERE id IN (300, 301, 302) ORDER BY id")] == texts
+    db.execute("UPDATE jobs SET created_at = '2024-02-03T04:05:06+01:00' WHERE id = 300")
+    db.execute("UPDATE jobs SET created_at = '' WHERE id = 301")
+    db.commit()
+    db.close()
+    odd = sqlite.load(spark, database, "jobs", [("id", "in", [300, 301])]).orderBy("id").select(F.col("created_at").cast("string")).collect()
+    assert [r[0] for r in odd] == ["2024-02-03 03:05:06", None]
+    assert not [f for f in os.listdir(os.path.dirname(database)) if f.endswith(".staged")] and issubclass(sqlite.SqliteWriter, DataSourceArrowWriter)
+
+
 def test_settings_replace(spark, database):
     frame = lambda *rows: spark.createDataFrame(rows, "key string, value string")
     put(frame(("theme", "light"), ("a'b", 'c"d')), database, "settings")
