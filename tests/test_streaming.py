@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyscript.sources.tables import event_lines
@@ -74,3 +75,35 @@ def test_state_expires(spark, tmp_path):
         progress.follow(progress.from_text(event_lines(spark, lines)), checkpoint, state, kept_ms=1).awaitTermination()
     last = progress.followed(spark, state).first()
     assert (last.percent, last.n_logs, last.log) == (0, 1, ["PROGRESS:a warning"])
+
+
+def test_a_batch_is_one_element_of_a_log():
+    """However many lines of a job a batch has, the store gets one element; later batches put their entries in order among the earlier ones."""
+
+    class Held:
+        def __init__(self):
+            self.values, self.calls = [], 0
+
+        def exists(self):
+            return bool(self.values)
+
+        def get(self):
+            return iter(self.values) if isinstance(self.values, list) else self.values
+
+        def appendValue(self, value):  # noqa: N802
+            self.values.append(value)
+            self.calls += 1
+
+        def appendList(self, values):  # noqa: N802
+            self.values += values
+            self.calls += len(values)
+
+        def update(self, value):
+            self.values = value
+
+    live = progress.LiveState()
+    live.figures, live.log = Held(), Held()
+    line = lambda k: Row(seq=k, percent=k, status="s", chunk=1, total=2, entry=f'"é\n{k}', outcome=None)
+    for some in (range(999, 0, -2), range(0, 1000, 2)):
+        (shown,) = live.handleInputRows((1,), iter([line(k) for k in some]), None)
+    assert live.log.calls == 2 and shown.n_logs == 1000 and shown.percent == 999 and shown.log == [f'"é\n{k}' for k in range(1000)]
