@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from tallyscript.sources.shared import at
 
 #: How Spark names the folder of a null.
 NULL = "__HIVE_DEFAULT_PARTITION__"
+#: Text that a task gathers before it hands it on.
+READ_BYTES = 4 << 20
 PROMPT = "struct<name string, description string, prompt string>"
 
 
@@ -101,9 +105,51 @@ def write_transcripts(rows: DataFrame, path: str, by: tuple[str, ...], order: tu
 
 
 def read_transcripts(spark: SparkSession, path: str, by: tuple[str, ...]) -> DataFrame:
-    """What write_transcripts() wrote, a row a file: by, text (without the last line's end)."""
-    kinds = ", ".join(f"{c} long" for c in by)
-    files = spark.read.schema(f"value string, {kinds}").text(path, wholetext=True)
+    """What write_transcripts() wrote, a row a file: by, text (without the last line's end). No rows if it wrote none.
+
+    Tasks list the folders, a level after the other, and read the files through pyarrow, as Spark's own reader lists every folder and file in
+    the driver, whose memory then grows with their number, and takes a task for some 32 files. Names in one folder are listed by one task.
+    """
+
+    def inside(store: pyarrow.fs.FileSystem, root: str, folder: str) -> Iterator[str]:
+        """The names in a folder below root, less hidden ones, as Spark passes over them."""
+        found = store.get_file_info(pyarrow.fs.FileSelector(f"{root}{folder}"))
+        return (f"{folder}/{f.base_name}" for f in found if not f.base_name.startswith((".", "_")))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = at(path)
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            names = inside(store, root, folder)
+            while some := list(itertools.islice(names, 10_000)):
+                yield pa.RecordBatch.from_pydict({"name": some})
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = pa.schema([*((c, pa.int64()) for c in by), ("value", pa.string())])
+        return pa.RecordBatch.from_arrays([pa.array(column, kind.type) for column, kind in zip(zip(*rows), kinds)], schema=kinds)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = at(path)
+        rows, held = [], 0
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            pairs = [name.split("=", 1) for name in folder.split("/")[1:]]
+            if [c for c, *_ in pairs] != list(by):
+                raise ValueError(f"{root}{folder} is not a folder of {', '.join(by)}")
+            key = [None if value == NULL else int(value) for _, value in pairs]
+            for name in inside(store, root, folder):
+                with store.open_input_stream(f"{root}{name}") as file:
+                    rows.append((*key, file.read()))
+                held += len(rows[-1][-1])
+                if held >= READ_BYTES or len(rows) == 10_000:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.range(0, 1, 1, 1).select(F.lit("").alias("name"))
+    for _ in by:
+        names = names.mapInArrow(listed, "name string").repartition(tasks, "name")
+    files = names.mapInArrow(texts, ", ".join([*(f"{c} long" for c in by), "value string"]))
     return files.select(*by, F.expr("substring(value, 1, length(value) - 1)").alias("text"))
 
 

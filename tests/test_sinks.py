@@ -49,3 +49,22 @@ def test_a_task_for_each_shuffle_partition_and_no_file_half_written(spark, tmp_p
         assert f.read() == "14\n\n"
     tables.write_transcripts(lines.where("job_id < 0"), f"{tmp_path}/none", ("job_id",), ("line_no",))
     assert glob.glob(f"{tmp_path}/none") and not glob.glob(f"{tmp_path}/none/*", include_hidden=True)
+
+
+def test_transcripts_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """However many files there are, the driver lists none and the reading takes as many tasks as shuffles have; an empty sink has no rows."""
+    by = ("job_id", "chunk_no")
+    lines = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 3)).alias("job_id"), F.col("id").alias("chunk_no"), F.lit(0).alias("line_no"), F.concat(F.lit("é\n"), "id").alias("line"))
+    tables.write_transcripts(lines, f"{tmp_path}/t", by, ("line_no",))
+    for hidden in (f"{tmp_path}/t/_SUCCESS", f"{tmp_path}/t/job_id=0/chunk_no=1/.part"):  # of a task that died
+        with open(hidden, "w") as f:
+            f.write("half")
+    monkeypatch.setattr(tables, "READ_BYTES", 100, raising=False)
+    read = tables.read_transcripts(spark, f"file://{tmp_path}/t", by)
+    assert read.inputFiles() == []
+    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert read.dtypes == [("job_id", "bigint"), ("chunk_no", "bigint"), ("text", "string")]
+    rows = read.collect()
+    assert len(rows) == 600 and {tuple(r) for r in rows} == {(i // 3 if i % 3 else None, i, f"é\n{i}") for i in range(600)}
+    tables.write_transcripts(lines.where("job_id < 0"), f"{tmp_path}/none", by, ("line_no",))
+    assert tables.read_transcripts(spark, f"{tmp_path}/none", by).collect() == []
